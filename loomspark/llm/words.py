@@ -24,8 +24,14 @@ class _Memo(dict):
 _MEMO = _Memo()
 
 
+#: For ASCII texts: letters in lower case, digits as they are, all else a blank.
+_ASCII = bytes(ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else 32 for i in range(256))
+
+
 def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return text.encode("ascii").translate(_ASCII).decode("ascii").split() if text.isascii() else WORD.findall(text.lower())
 
 
 def hashed(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
