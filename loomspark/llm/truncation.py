@@ -172,7 +172,9 @@ def ending(text: str, recorded: int | None, total: np.ndarray, ends: np.ndarray)
         b = _bucket(w)
         at_end, seen = ends[b], total[b]
         odds = math.log((seen - at_end + 0.5) / (at_end + 0.5)) if seen else 1.5
-        if seen >= 20 and not at_end:
+        if at_end >= 3:
+            odds = min(odds, 2.0)  # a word that does end items
+        elif seen >= 20 and not at_end:
             odds += 3
         elif not seen and total.sum() > 20_000:
             odds += 3  # a rich corpus doesn't know the word: cut inside it
@@ -182,6 +184,14 @@ def ending(text: str, recorded: int | None, total: np.ndarray, ends: np.ndarray)
     return "open_sentence", STRONG
 
 
+def line_counts(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Corpus-wide (counts, counts at the end of an item) of words by bucket; lines has a column text without nulls."""
+    t, e = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in lines.mapInArrow(_line_counts, "bucket long, total long, ends long").groupBy("bucket").agg(F.sum("total").alias("t"), F.sum("ends").alias("e")).collect():  # at most BUCKETS rows
+        t[r.bucket], e[r.bucket] = r.t, r.e
+    return t, e
+
+
 def _judge(limits, counts):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, ends = counts.value
@@ -216,10 +226,7 @@ def truncation_evidence(docs: DataFrame, id: str = "doc_id", text: str = "text",
     Null, empty and blank texts are left out, as nothing says that they were cut; a null source is reported as ''; null ids and repeated rows are kept.
     """
     spark = docs.sparkSession
-    t, e = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    lines = docs.select(F.col(text).alias("text")).where("text is not null")
-    for r in lines.mapInArrow(_line_counts, "bucket long, total long, ends long").groupBy("bucket").agg(F.sum("total").alias("t"), F.sum("ends").alias("e")).collect():  # at most BUCKETS rows
-        t[r.bucket], e[r.bucket] = r.t, r.e
+    counts = line_counts(docs.select(F.col(text).alias("text")).where("text is not null"))
     limits = length_limits(docs, text, source).select("source", "limit", "posterior")
     rows = limits.limit(SOURCES_SENT + 1).collect()
     base = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"), F.col(recorded).cast("long").alias("recorded"))
@@ -230,7 +237,7 @@ def truncation_evidence(docs: DataFrame, id: str = "doc_id", text: str = "text",
     else:
         here = limits.withColumnsRenamed({"source": "s", "limit": "l"})
         base = base.join(here, (F.col("source") == F.col("s")) & (F.length("text") == F.col("l")), "left").drop("s", "l")
-    return base.mapInArrow(_judge(sent, spark.sparkContext.broadcast((t, e))), "doc_id long, source string, kind string, odds double")
+    return base.mapInArrow(_judge(sent, spark.sparkContext.broadcast(counts)), "doc_id long, source string, kind string, odds double")
 
 
 def truncated(docs: DataFrame, **columns: str) -> DataFrame:
