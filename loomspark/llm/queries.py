@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import bpe, cross_split, leakage, near_duplicates, pair_defects, rank_aggregation, truncation
+from loomspark.llm import bpe, cross_split, leakage, markup, near_duplicates, pair_defects, rank_aggregation, splitting, truncation, vectors
 from loomspark.session import table
 
 
@@ -20,6 +20,24 @@ def p1_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_split.overlap_report(table(spark, sf_dir, "golden_items"))
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, contents, sections = (table(spark, sf_dir, t) for t in ("chunks", "contents", "sections"))
+    block_text = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
+    return (
+        splitting.oversized_items("chunks", chunks, "chunk_id", "text", "loaded_at")
+        .unionByName(splitting.oversized_items("contents", contents, "id", "text"))
+        .unionByName(splitting.oversized_items("sections", sections, "section_id", block_text, "loaded_at"))
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_items(_oversized(spark, sf_dir)).where("pieces > 1 and piece = 0").select("src", "item_key")
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_items(_oversized(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "contents"))
     a, b = groups.select("component", F.col("id").alias("id_a")), groups.select("component", F.col("id").alias("id_b"))
@@ -43,6 +61,18 @@ def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_aggregation.ranking(table(spark, sf_dir, "hits"), table(spark, sf_dir, "retrieval_configs"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = markup.residue(table(spark, sf_dir, "contents"), "id", "text").withColumn("src", F.lit("contents"))
+    terms = markup.residue(table(spark, sf_dir, "glossary_terms"), "row_id", "body").withColumn("src", F.lit("glossary_terms"))
+    return contents.unionByName(terms).select("src", "row_key", "family")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contents = markup.cleaned(table(spark, sf_dir, "contents"), "id", "text").withColumn("src", F.lit("contents"))
+    terms = markup.cleaned(table(spark, sf_dir, "glossary_terms"), "row_id", "body").withColumn("src", F.lit("glossary_terms"))
+    return contents.unionByName(terms).select("src", "row_key", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.pair_kinds(table(spark, sf_dir, "generation_rows")).where("defect is not null").select("row_id", "defect")
 
@@ -51,6 +81,16 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defect_report(table(spark, sf_dir, "generation_rows"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.most_similar(table(spark, sf_dir, "content_vectors"))
+    return near.select("model", F.least("id", "neighbour").alias("content_id_a"), F.greatest("id", "neighbour").alias("content_id_b")).distinct()
+
+
+def p7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vectors.most_similar(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", None)
+    return near.select("id", "neighbour", "place", F.round("similarity", 6).alias("similarity"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"))
 
