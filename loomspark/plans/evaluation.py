@@ -1 +1,258 @@
-"""Queries."""
+"""Queries of evaluation: answers, citations, resampling, agreement, sampling, validation of the golden set."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspark.functions import text as T
+from loomspark.operators import metrics, validation
+from loomspark.operators.rows import latest
+from loomspark.plans.catalog import ANSWERS, CHUNKS, ITEMS, query
+from loomspark.plans.search import _FACTS, _NORM, _PAGE_KEYED
+from loomspark.session import table
+
+SEED, SAMPLES = 7, 200
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "generation_rows"), "row_id")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    return latest(table(spark, d, "golden_items"), "id")
+
+
+_RATE = "round(avg(CASE WHEN {0} THEN CAST(NOT coalesce(found, false) AS INT) END), 4)"
+
+
+@query("refusal_rates", f"SELECT run, count(*) AS answers, {_RATE.format('answerable')} AS false_refusals, {_RATE.format('NOT answerable AND category = ' + chr(39) + 'unanswerable' + chr(39))} AS declined_unanswerable, {_RATE.format('category = ' + chr(39) + 'false_premise' + chr(39))} AS declined_false_premise FROM {ANSWERS} GROUP BY run")
+def refusal_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of answers not found, over three populations; a null flag counts as not found."""
+    refused = (~F.coalesce("found", F.lit(False))).cast("int")
+    rate = lambda c, name: F.round(F.avg(F.when(F.expr(c), refused)), 4).alias(name)
+    return answers(spark, d).groupBy("run").agg(F.count("*").alias("answers"), rate("answerable", "false_refusals"), rate("not answerable and category = 'unanswerable'", "declined_unanswerable"), rate("category = 'false_premise'", "declined_false_premise"))
+
+
+@query(
+    "generation_summary",
+    f"""SELECT run, coalesce(category, 'all') AS category, count(*) AS answers, round(avg(CASE WHEN answerable THEN CAST(citation_hit AS INT) END), 4) AS citation_hit_answerable, round(avg(CAST(citation_hit AS INT)), 4) AS citation_hit_flagged, round(CAST(sum(CASE WHEN isnan(citation_precision) THEN NULL ELSE CAST(citation_precision AS DECIMAL(18,6)) END) AS DOUBLE) / nullif(count(CASE WHEN isnan(citation_precision) THEN NULL ELSE citation_precision END), 0), 4) AS citation_precision,
+    CAST(sum(usage.input_tokens) AS BIGINT) AS input_tokens, CAST(sum(usage.output_tokens) AS BIGINT) AS output_tokens, CAST(sum(CAST(usd AS DECIMAL(18,6))) AS DOUBLE) AS usd FROM {ANSWERS} GROUP BY GROUPING SETS ((run, category), (run))""",
+)
+def generation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """By run and category and over each run; the hit rate over answerable items and over all items with a flag, which differ."""
+    a = answers(spark, d)
+    hit = F.col("citation_hit").cast("int")
+    out = a.rollup("run", "category").agg(
+        F.count("*").alias("answers"), F.round(F.avg(F.when(F.col("answerable"), hit)), 4).alias("citation_hit_answerable"), F.round(F.avg(hit), 4).alias("citation_hit_flagged"), F.round(F.expr("sum(cast(nullif(citation_precision, double('NaN')) as decimal(18,6)))").cast("double") / F.expr("nullif(count(nullif(citation_precision, double('NaN'))), 0)"), 4).alias("citation_precision"),
+        F.sum("usage.input_tokens").alias("input_tokens"), F.sum("usage.output_tokens").alias("output_tokens"), F.sum(F.col("usd").cast("decimal(18,6)")).cast("double").alias("usd"),
+    )
+    return out.where("run is not null").withColumn("category", F.coalesce("category", F.lit("all")))
+
+
+@query("stop_reason_histogram", f"SELECT run, coalesce(stop_reason, 'unknown') AS stop_reason, count(*) AS answers FROM {ANSWERS} GROUP BY 1, 2")
+def stop_reason_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return answers(spark, d).groupBy("run", F.coalesce("stop_reason", F.lit("unknown")).alias("stop_reason")).agg(F.count("*").alias("answers"))
+
+
+@query(
+    "citation_numbering",
+    f"""WITH s AS (SELECT a.row_id, CAST(u.o - 1 AS INT) AS pos, u.s.url AS url FROM {ANSWERS} a, unnest(a.sources) WITH ORDINALITY u(s, o)), f AS (SELECT row_id, url, min(pos) AS first FROM s GROUP BY 1, 2),
+    n AS (SELECT row_id, url, row_number() OVER (PARTITION BY row_id ORDER BY first) AS number FROM f) SELECT s.row_id, s.pos, s.url, n.number FROM s JOIN n ON n.row_id = s.row_id AND n.url IS NOT DISTINCT FROM s.url""",
+)
+def citation_numbering(spark: SparkSession, d: str) -> DataFrame:
+    """Different URLs of an answer numbered in the order of first use. Within each row's array, so nothing is shuffled."""
+    a = answers(spark, d).where(F.size("sources") > 0).withColumn("urls", F.array_distinct(F.transform("sources", lambda s: s["url"])))
+    return a.select("row_id", "urls", F.posexplode("sources").alias("pos", "s")).select("row_id", "pos", F.col("s.url").alias("url"), F.array_position("urls", F.col("s.url")).alias("number"))
+
+
+_CITED = f"""S AS (SELECT a.row_id, a.run, a.id, u.o AS pos, {_PAGE_KEYED.format('u.s.url')} AS page, c.text FROM {ANSWERS} a, unnest(a.sources) WITH ORDINALITY u(s, o) LEFT JOIN {CHUNKS} c ON c.chunk_id = u.s.chunk_id), F AS {_FACTS},
+H AS (SELECT DISTINCT S.row_id, S.pos FROM S JOIN F ON F.id = S.id AND F.page = S.page AND length({_NORM.format('F.quote')}) > 0 AND contains({_NORM.format('S.text')}, {_NORM.format('F.quote')}))"""
+
+
+@query(
+    "citation_hit_precision",
+    f"""WITH {_CITED}, P AS (SELECT row_id, count(*) AS sources FROM S GROUP BY 1), N AS (SELECT row_id, count(*) AS covering FROM H GROUP BY 1)
+    SELECT a.row_id, CASE WHEN len(i.evidence) > 0 THEN coalesce(N.covering, 0) > 0 END AS hit, CASE WHEN len(i.evidence) > 0 AND P.sources > 0 THEN round(coalesce(N.covering, 0) / P.sources, 6) END AS precision
+    FROM {ANSWERS} a LEFT JOIN {ITEMS} i ON i.id = a.id LEFT JOIN P ON P.row_id = a.row_id LEFT JOIN N ON N.row_id = a.row_id""",
+)
+def citation_hit_precision(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a cited source covers a fact of the item, and the share of sources that do; null where an item has no evidence, and the precision also without sources."""
+    a = answers(spark, d).select("row_id", "id", "sources")
+    golden = items(spark, d)
+    text = latest(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "text")
+    cited = a.select("row_id", "id", F.posexplode("sources").alias("pos", "s")).select("row_id", "id", "pos", T.page_identity(F.col("s.url")).alias("page"), F.col("s.chunk_id").alias("chunk_id")).join(text, "chunk_id", "left")
+    facts = metrics.facts_of(golden)
+    covering = cited.join(facts, ["id", "page"]).where(T.contains_quote(F.col("text"), F.col("quote"))).select("row_id", "pos").distinct().groupBy("row_id").agg(F.count("*").alias("covering"))
+    has = golden.select("id", (F.size("evidence") > 0).alias("has_evidence"))
+    rows = a.join(has, "id", "left").join(covering, "row_id", "left").withColumn("covering", F.coalesce("covering", F.lit(0)))
+    return rows.select("row_id", F.when(F.col("has_evidence"), F.col("covering") > 0).alias("hit"), F.when(F.col("has_evidence") & (F.size("sources") > 0), F.round(F.col("covering") / F.size("sources"), 6)).alias("precision"))
+
+
+def _poisson_sql(u: str) -> str:
+    import math
+
+    cdf, p, cases = 0.0, math.exp(-1), []
+    for k in range(7):
+        cdf += p
+        cases.append(f"WHEN {u} < {cdf!r} THEN {k}")
+        p /= k + 1
+    return f"CASE {' '.join(cases)} ELSE 7 END"
+
+
+def _bootstrap_sql(values: str, group: str) -> str:
+    u = f"CAST(('0x' || substr(md5(concat_ws(':', '{SEED}', s, unit)), 1, 8)) AS BIGINT) / 4294967296.0"
+    return f"""V AS ({values}), D AS (SELECT {group}, s, x, {_poisson_sql(u)} AS w FROM V, range({SAMPLES}) r(s)), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
+    O AS (SELECT {group}, count(*) AS n, round(avg(x), 4) AS mean FROM V GROUP BY 1) SELECT O.{group}, n, mean, round(ms[greatest(CAST(floor(len(ms) * 0.025) AS INT) + 1, 1)], 4) AS low, round(ms[greatest(CAST(floor(len(ms) * 0.975) AS INT), 1)], 4) AS high, round(len(list_filter(ms, lambda m: m <= 0)) / len(ms), 4) AS share_not_above_0 FROM O JOIN L ON L.{group} = O.{group}"""
+
+
+@query("bootstrap_ci", "WITH " + _bootstrap_sql(f"SELECT run, row_id AS unit, citation_precision AS x FROM {ANSWERS} WHERE citation_precision IS NOT NULL AND NOT isnan(citation_precision)", "run"))
+def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
+    a = answers(spark, d).select("run", F.col("row_id").alias("unit"), F.expr("nullif(citation_precision, double('NaN'))").alias("x"))
+    return metrics.bootstrap(a, "run", "unit", "x", SAMPLES, SEED)
+
+
+_PER_ID = f"(SELECT run, id, avg(CASE WHEN isnan(citation_precision) THEN NULL ELSE citation_precision END) AS v FROM {ANSWERS} GROUP BY 1, 2)"
+
+
+@query("paired_diff", "WITH " + _bootstrap_sql(f"SELECT a.run, a.id AS unit, a.v - b.v AS x FROM {_PER_ID} a JOIN {_PER_ID} b ON a.id = b.id AND b.run = 'baseline' AND a.run <> 'baseline' WHERE a.v - b.v IS NOT NULL", "run"))
+def paired_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Each run against the baseline on the items both have."""
+    per = answers(spark, d).groupBy("run", "id").agg(F.avg(F.expr("nullif(citation_precision, double('NaN'))")).alias("v"))
+    base = per.where("run = 'baseline'").select("id", F.col("v").alias("b"))
+    diffs = per.where("run <> 'baseline'").join(base, "id").select("run", F.col("id").alias("unit"), (F.col("v") - F.col("b")).alias("x"))
+    return metrics.bootstrap(diffs, "run", "unit", "x", SAMPLES, SEED)
+
+
+_GRADE = "CASE WHEN v >= 0.8 THEN 2 WHEN v >= 0.4 THEN 1 ELSE 0 END"
+_PAIRS = f"(SELECT a.id, {_GRADE.replace('v', 'a.v')} AS a, {_GRADE.replace('v', 'b.v')} AS b FROM {_PER_ID} a JOIN {_PER_ID} b ON a.id = b.id AND a.run = 'baseline' AND b.run = 'default' WHERE a.v IS NOT NULL AND b.v IS NOT NULL)"
+
+
+def rater_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Grades 0 to 2 of two runs on the items both have, as two raters."""
+    per = answers(spark, d).groupBy("run", "id").agg(F.avg(F.expr("nullif(citation_precision, double('NaN'))")).alias("v")).where("v is not null")
+    grade = F.when(F.col("v") >= 0.8, 2).when(F.col("v") >= 0.4, 1).otherwise(0)
+    one = lambda run, name: per.where(F.col("run") == run).select("id", grade.alias(name))
+    return one("baseline", "a").join(one("default", "b"), "id")
+
+
+@query("confusion_matrix", f"SELECT a, b, count(*) AS n FROM {_PAIRS} GROUP BY a, b")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.confusion(rater_pairs(spark, d), "a", "b")
+
+
+@query(
+    "cohen_kappa",
+    f"""WITH p AS (SELECT a, b FROM {_PAIRS}), n AS (SELECT count(*) AS n FROM p), ma AS (SELECT a, count(*) AS c FROM p GROUP BY a), mb AS (SELECT b, count(*) AS c FROM p GROUP BY b),
+    o AS (SELECT count(*) FILTER (a <> b) AS d, sum(power(a - b, 2)) AS w FROM p), e AS (SELECT sum(CASE WHEN a <> b THEN ma.c * mb.c ELSE 0 END) / max(n) AS d, sum(ma.c * mb.c * power(a - b, 2)) / max(n) AS w FROM ma, mb, n)
+    SELECT n, round(1 - o.d / n, 6) AS agreement, round(CASE WHEN e.d = 0 THEN 1 ELSE 1 - o.d / e.d END, 6) AS kappa, round(CASE WHEN e.w = 0 THEN 1 ELSE 1 - o.w / e.w END, 6) AS weighted_kappa FROM n, o, e""",
+)
+def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.kappa(rater_pairs(spark, d), "a", "b", 3)
+
+
+@query("agreement", f"SELECT id, a, b FROM {_PAIRS} WHERE abs(a - b) >= 1")
+def agreement(spark: SparkSession, d: str) -> DataFrame:
+    """The disagreements, for a second look."""
+    return rater_pairs(spark, d).where("abs(a - b) >= 1")
+
+
+@query(
+    "stratified_sample",
+    f"""WITH i AS (SELECT id, category FROM {ITEMS}), q AS (SELECT category, greatest(1, least(100, CAST(round_even(count(*) * 100 / (SELECT count(*) FROM i), 0) AS INT))) AS quota FROM i GROUP BY category)
+    SELECT i.id, i.category FROM i JOIN q ON q.category = i.category QUALIFY row_number() OVER (PARTITION BY i.category ORDER BY md5('7:' || i.id), i.id) <= max(q.quota) OVER (PARTITION BY i.category)""",
+)
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.stratified(items(spark, d), "id", "category", 100, SEED)
+
+
+@query("quota_sample", f"SELECT id, category FROM {ITEMS} QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('7:' || id), id) <= CASE category WHEN 'fact' THEN 20 WHEN 'howto' THEN 15 ELSE 5 END")
+def quota_sample(spark: SparkSession, d: str) -> DataFrame:
+    order = Window.partitionBy("category").orderBy(F.md5(F.concat(F.lit("7:"), "id")), "id")
+    quota = F.when(F.col("category") == "fact", 20).when(F.col("category") == "howto", 15).otherwise(5)
+    return items(spark, d).select("id", "category").withColumn("r", F.row_number().over(order)).where(F.col("r") <= 20).where(F.col("r") <= quota).select("id", "category")
+
+
+@query("split_assignment")
+def split_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Items of each category go to dev up to a quota and else to test; items that share a pair tag stay together."""
+    return validation.assign_splits(items(spark, d), {"fact": 40, "howto": 30, "version": 25, "multihop": 20, "unanswerable": 20, "false_premise": 10}, SEED)
+
+
+_TARGETS = "(VALUES ('fact', 0.30), ('howto', 0.22), ('version', 0.18), ('multihop', 0.12), ('unanswerable', 0.12), ('false_premise', 0.06)) t(category, target)"
+
+
+@query("category_mix", f"WITH c AS (SELECT split, category, count(*) AS n FROM {ITEMS} GROUP BY 1, 2), s AS (SELECT split, sum(n) AS total FROM c GROUP BY 1) SELECT s.split, t.category, CAST(coalesce(c.n, 0) AS BIGINT) AS items, round(coalesce(c.n, 0) / s.total, 4) AS share, round(t.target, 4)::DOUBLE AS target FROM s CROSS JOIN {_TARGETS} LEFT JOIN c ON c.split = s.split AND c.category = t.category")
+def category_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = {"fact": 0.30, "howto": 0.22, "version": 0.18, "multihop": 0.12, "unanswerable": 0.12, "false_premise": 0.06}
+    c = items(spark, d).groupBy("split", "category").agg(F.count("*").alias("n"))
+    totals = c.groupBy("split").agg(F.sum("n").alias("total"))
+    wanted = totals.select("split", "total", F.explode(F.create_map(*[F.lit(x) for p in targets.items() for x in p])).alias("category", "target"))
+    return wanted.join(c, ["split", "category"], "left").select("split", "category", F.coalesce("n", F.lit(0)).alias("items"), F.round(F.coalesce("n", F.lit(0)) / F.col("total"), 4).alias("share"), "target")
+
+
+@query("leakage_check", f"SELECT {_NORM.format('lower(question)')} AS question, string_agg(DISTINCT split, ',' ORDER BY split) AS splits, count(*) AS items FROM {ITEMS} WHERE question IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def leakage_check(spark: SparkSession, d: str) -> DataFrame:
+    q = items(spark, d).where("question is not null").groupBy(T.normalised(F.lower("question")).alias("question")).agg(F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.count("*").alias("items"))
+    return q.where(F.contains("splits", F.lit(",")))
+
+
+@query("duplicate_questions", f"SELECT md5({_NORM.format('lower(question)')}) AS question, count(*) AS items, min(id) AS first_id FROM {ITEMS} WHERE question IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_questions(spark: SparkSession, d: str) -> DataFrame:
+    return items(spark, d).where("question is not null").groupBy(F.md5(T.normalised(F.lower("question"))).alias("question")).agg(F.count("*").alias("items"), F.min("id").alias("first_id")).where("items > 1")
+
+
+@query(
+    "schema_rules",
+    f"""SELECT id, array_to_string(list_filter([CASE WHEN NOT regexp_matches(id, '^(train|dev|test)-\\d{{8}}$') THEN 'id' END, CASE WHEN split_part(id, '-', 1) <> split THEN 'split' END, CASE WHEN version IS NULL OR NOT regexp_matches(version, '^\\d+\\.\\d+$') THEN 'version' END, CASE WHEN length(trim(question)) < 10 THEN 'question' END,
+    CASE WHEN answerable AND len(evidence) = 0 THEN 'answerable without evidence' END, CASE WHEN NOT answerable AND category = 'fact' THEN 'fact not answerable' END, CASE WHEN answerable AND trim(reference_answer) = '' THEN 'no reference answer' END], lambda e: e IS NOT NULL), '; ') AS errors FROM {ITEMS}
+    WHERE NOT regexp_matches(id, '^(train|dev|test)-\\d{{8}}$') OR split_part(id, '-', 1) <> split OR version IS NULL OR NOT regexp_matches(version, '^\\d+\\.\\d+$') OR length(trim(question)) < 10 OR (answerable AND len(evidence) = 0) OR (NOT answerable AND category = 'fact') OR (answerable AND trim(reference_answer) = '')""",
+)
+def schema_rules(spark: SparkSession, d: str) -> DataFrame:
+    return validation.broken_rules(
+        items(spark, d), "id",
+        {
+            "id": "not id rlike '^(train|dev|test)-\\\\d{8}$'", "split": "split_part(id, '-', 1) <> split", "version": "version is null or not version rlike '^\\\\d+\\\\.\\\\d+$'", "question": "length(trim(question)) < 10",
+            "answerable without evidence": "answerable and size(evidence) = 0", "fact not answerable": "not answerable and category = 'fact'", "no reference answer": "answerable and trim(reference_answer) = ''",
+        },
+    )
+
+
+@query(
+    "evidence_check",
+    f"""WITH F AS {_FACTS}, C AS (SELECT {_PAGE_KEYED.format('url')} AS page, {_NORM.format('text')} AS text FROM {CHUNKS}), P AS (SELECT DISTINCT page FROM C),
+    Q AS (SELECT DISTINCT F.id, F.fact, F.page, F.quote FROM F), H AS (SELECT DISTINCT Q.id, Q.fact, Q.page, Q.quote FROM Q JOIN C ON C.page = Q.page AND length({_NORM.format('Q.quote')}) > 0 AND contains(C.text, {_NORM.format('Q.quote')}))
+    SELECT Q.id, Q.fact, Q.page, CASE WHEN P.page IS NULL THEN 'page missing' WHEN H.id IS NULL THEN 'quote missing' ELSE 'ok' END AS result, count(*) AS ways FROM Q LEFT JOIN P ON P.page = Q.page LEFT JOIN H ON H.id = Q.id AND H.fact = Q.fact AND H.page = Q.page AND H.quote = Q.quote GROUP BY 1, 2, 3, 4""",
+)
+def evidence_check(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule that each way to state a fact breaks: its page must exist, and a chunk of the page must hold its quote."""
+    c = latest(table(spark, d, "chunks"), "chunk_id").select(T.page_identity(F.col("url")).alias("page"), "text")
+    ways = metrics.facts_of(items(spark, d)).distinct()
+    pages = c.select("page").distinct().withColumn("known", F.lit(True))
+    held = ways.join(c, "page").where(T.contains_quote(F.col("text"), F.col("quote"))).select("id", "fact", "page", "quote").distinct().withColumn("held", F.lit(True))
+    result = F.when(F.col("known").isNull(), "page missing").when(F.col("held").isNull(), "quote missing").otherwise("ok")
+    return ways.join(pages, "page", "left").join(held, ["id", "fact", "page", "quote"], "left").withColumn("result", result).groupBy("id", "fact", "page", "result").agg(F.count("*").alias("ways"))
+
+
+@query("unknown_versions", f"SELECT i.id, i.version FROM {ITEMS} i WHERE i.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version = i.version)")
+def unknown_versions(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "chunks").select("version").distinct()
+    return items(spark, d).where("version is not null").join(known, "version", "left_anti").select("id", "version")
+
+
+@query(
+    "faithfulness",
+    f"""SELECT row_id, round(list_sum(list_transform(retrieved, lambda r: CASE WHEN list_contains(list_transform(sources, lambda s: s.chunk_id), r) THEN 1.0 WHEN list_contains(list_transform(sources, lambda s: split_part(s.chunk_id, '::', 1)), split_part(r, '::', 1)) THEN 0.5 ELSE 0.0 END)) / nullif(len(retrieved), 0), 6) AS support FROM {ANSWERS}""",
+)
+def faithfulness(spark: SparkSession, d: str) -> DataFrame:
+    """Mean weight (1, a half, 0) of an answer's claims: here how its retrieved chunks are backed by cited ones, in full or by the same record; null without claims."""
+    cited, records = F.transform("sources", lambda s: s["chunk_id"]), F.transform("sources", lambda s: F.split_part(s["chunk_id"], F.lit("::"), F.lit(1)))
+    weights = F.transform("retrieved", lambda r: F.when(F.array_contains(cited, r), 1.0).when(F.array_contains(records, F.split_part(r, F.lit("::"), F.lit(1))), 0.5).otherwise(0.0))
+    return answers(spark, d).select("row_id", F.round(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) / F.expr("nullif(size(retrieved), 0)"), 6).alias("support"))
+
+
+@query("report_table", f"SELECT concat('| ', run, ' | ', count(*), ' | ', printf('%.3f', avg(CASE WHEN isnan(citation_precision) THEN NULL ELSE citation_precision END)), ' | ', printf('%.2f', sum(usd)), ' |') AS line FROM {ANSWERS} GROUP BY run")
+def report_table(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a Markdown report."""
+    per = answers(spark, d).groupBy("run").agg(F.count("*").alias("n"), F.avg(F.expr("nullif(citation_precision, double('NaN'))")).alias("p"), F.sum("usd").alias("usd"))
+    return per.select(F.format_string("| %s | %d | %.3f | %.2f |", "run", "n", "p", "usd").alias("line"))
