@@ -21,8 +21,8 @@ def word_count(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Runs of blanks, tabs and line ends as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))
 
 
 def contains_quote(text: Column, quote: Column) -> Column:
