@@ -141,7 +141,7 @@ def version_choice(spark: SparkSession, d: str) -> DataFrame:
     return i.select("id", F.when(indexed, F.col("wanted")).otherwise(F.element_at(names, -1)).alias("version"), note.alias("note"))
 
 
-@query("response_cache_keys", "SELECT md5(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) || '|' || coalesce(version, '')) AS key, count(*) AS items, min(id) AS first_id FROM " + ITEMS + " WHERE question IS NOT NULL GROUP BY 1")
+@query("response_cache_keys", "SELECT md5(trim(regexp_replace(lower(question), '\\s+', ' ', 'g'), ' ') || '|' || coalesce(version, '')) AS key, count(*) AS items, min(id) AS first_id FROM " + ITEMS + " WHERE question IS NOT NULL GROUP BY 1")
 def response_cache_keys(spark: SparkSession, d: str) -> DataFrame:
     i = latest(table(spark, d, "golden_items"), "id").where("question is not null")
     key = F.md5(F.concat(T.normalised(F.lower("question")), F.lit("|"), F.coalesce("version", F.lit(""))))

@@ -155,7 +155,7 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 _PAGE = "regexp_replace(regexp_replace({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', '')"
 _PAGE_KEYED = f"CASE WHEN regexp_replace({_PAGE}, '\\?.*$', '') IN ('/docs/reference/toggle-register/') THEN regexp_replace({{0}}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') ELSE {_PAGE} END"
-_NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), ' ')"
 _FACTS = f"""(SELECT id, fact, {_PAGE_KEYED.format('w.url')} AS page, w.quote AS quote FROM (SELECT i.id, CAST(u.o - 1 AS INT) AS fact, unnest(list_concat([struct_pack(url := u.e.url, quote := u.e.quote)], coalesce(u.e.alternatives, []))) AS w FROM {ITEMS} i, unnest(i.evidence) WITH ORDINALITY u(e, o)))"""
 _COVER = f"""R AS (SELECT r.config_id, r.question_id AS id, r.rank, {_PAGE_KEYED.format('r.url')} AS page, {_NORM.format('c.text')} AS text FROM {_RANKED} r JOIN contents c ON c.id = r.content_id), F AS {_FACTS},
 H AS (SELECT R.config_id, R.id, F.fact, min(R.rank) AS rank FROM R JOIN F ON F.id = R.id AND F.page = R.page AND length({_NORM.format('F.quote')}) > 0 AND contains(R.text, {_NORM.format('F.quote')}) GROUP BY 1, 2, 3),
