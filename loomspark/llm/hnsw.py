@@ -7,8 +7,8 @@ import numpy as np
 from loomspark.llm.bucket_join import mix
 
 #: Neighbours of a node in an upper and in the lowest layer, and beam widths while building and searching.
-M, M0, EF_BUILD, EF_SEARCH = 8, 16, 24, 32
-SEED, BATCH = 128, 1024
+M, M0, EF_BUILD, EF_SEARCH = 8, 12, 16, 20
+SEED, BATCH = 256, 1024
 
 
 class Hnsw:
