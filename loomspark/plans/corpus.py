@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import shortcodes
 from loomspark.functions import text as T
-from loomspark.operators import chunking, dedupe
+from loomspark.operators import chunking, dedupe, pages
 from loomspark.operators.rows import latest
 from loomspark.plans.catalog import CHUNKS, SECTIONS, query
 from loomspark.session import table
@@ -239,3 +240,37 @@ def glossary_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("file_inventory", f"SELECT version, split_part(source_path, '/', 2) AS class, count(DISTINCT source_path) AS files FROM {CHUNKS} GROUP BY 1, 2")
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
     return chunks(spark, d).groupBy("version", F.split_part("source_path", F.lit("/"), F.lit(2)).alias("class")).agg(F.countDistinct("source_path").alias("files"))
+
+
+@query("heading_chunks")
+def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the pages that were parsed and not chunked yet: a page's sections, put together in their order, through the heading chunker."""
+    s = latest(table(spark, d, "sections"), "section_id")
+    body = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
+    head = F.when((F.col("level") > 0) & F.col("title").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level") + 1), F.lit(" "), "title", F.lit("\n\n"))).otherwise("")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(head, body).alias("t")))), lambda x: x["t"])  # a page's sections
+    one_page = s.groupBy("record_id").agg(F.min_by("title", "ord").alias("title"), F.array_join(ordered, "\n\n").alias("text"))
+    return pages.chunk_pages(one_page, "record_id", "title", "text", most=256, least=32)
+
+
+@query("html_converted")
+def html_converted(spark: SparkSession, d: str) -> DataFrame:
+    return pages.convert_html(table(spark, d, "contents"), "id", "text")
+
+
+@query("rendered_terms")
+def rendered_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Glossary bodies as short and long definitions through the renderer: a term's text by its id."""
+    g = table(spark, d, "glossary_terms").where("id is not null and trim(body) <> ''")
+    site = shortcodes.Site("1.43", "1.44", labels={"note": "Note:"})
+    calls = g.select("row_id", F.concat(F.lit("{{< note >}}"), "body", F.lit(" Since {{< skew currentVersion >}}.{{< /note >}}")).alias("t"))
+    return pages.render_pages(calls, "row_id", "t", site).select("row_id", "text", F.size("warnings").alias("warnings"))
+
+
+@query(
+    "page_skip_reasons",
+    f"SELECT CASE WHEN starts_with(source_path, 'content/docs/contribute/') OR starts_with(source_path, 'content/docs/setup/') THEN 'excluded' WHEN title IS NULL THEN 'headless' WHEN trim(coalesce(text, '')) = '' THEN 'empty' END AS skip, count(*) AS chunks FROM {CHUNKS} GROUP BY 1",
+)
+def page_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks(spark, d).select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), F.lit(False).alias("draft"), F.lit(True).alias("rendered"), "text")
+    return pages.skip_reasons(rows, ("content/docs/contribute/", "content/docs/setup/")).groupBy("skip").agg(F.count("*").alias("chunks"))
