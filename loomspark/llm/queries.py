@@ -122,5 +122,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_ITEMS = "(SELECT * FROM golden_items QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1)"
+_P1 = f"""W AS (SELECT id, split, origin, list_filter(string_split_regex(lower(question), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM {_ITEMS} WHERE question IS NOT NULL),
+C AS (SELECT id, split, origin, len(ws) AS n, w, count(*) AS c FROM (SELECT id, split, origin, ws, unnest(ws) AS w FROM W) GROUP BY 1, 2, 3, 4, 5),
+O AS (SELECT t.id AS id_train, e.id AS id_eval, any_value(e.split) AS eval_split, any_value(e.origin) AS eval_origin FROM C t JOIN C e ON t.w = e.w WHERE t.split = 'train' AND e.split IN ('dev', 'test') GROUP BY t.id, e.id, t.n, e.n HAVING sum(least(t.c, e.c)) * 100 >= greatest(t.n, e.n) * 80)"""
+_P3 = """W AS (SELECT id, index_name, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM contents),
+S AS (SELECT DISTINCT id, index_name, array_to_string(ws[i : i + 2], ' ') AS s FROM (SELECT id, index_name, ws, unnest(range(1, len(ws) - 1)) AS i FROM W)), N AS (SELECT id, count(*) AS n FROM S GROUP BY id),
+L AS (SELECT a.id AS a, b.id AS b FROM S a JOIN S b ON a.index_name = b.index_name AND a.s = b.s AND a.id < b.id JOIN N na ON na.id = a.id JOIN N nb ON nb.id = b.id GROUP BY a.id, b.id, na.n, nb.n HAVING count(*) * 2 >= na.n + nb.n - count(*)),
+E AS (SELECT a, b FROM L UNION ALL SELECT b, a FROM L), R(a, b) AS (SELECT a, b FROM E UNION SELECT R.a, E.b FROM R JOIN E ON R.b = E.a)"""
+_P4 = """H AS (SELECT question_id, config_id, content_id, score FROM hits WHERE question_id IS NOT NULL AND config_id IS NOT NULL AND content_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id, config_id, content_id ORDER BY loaded_at DESC) = 1),
+K AS (SELECT question_id, config_id, content_id, CASE WHEN score_kind = 'distance' THEN -score ELSE score END AS s FROM H JOIN retrieval_configs USING (config_id) WHERE score IS NOT NULL AND NOT isnan(score)),
+P AS (SELECT question_id, config_id, content_id, rank() OVER (PARTITION BY question_id, config_id ORDER BY s DESC) + (count(*) OVER (PARTITION BY question_id, config_id, s) - 1) / 2 AS pos FROM K),
+Q AS (SELECT question_id, count(DISTINCT config_id) AS n, count(DISTINCT content_id) AS m FROM P GROUP BY 1), I AS (SELECT question_id, content_id, list_sort(list(pos)) AS ps FROM P GROUP BY 1, 2),
+B AS (SELECT I.question_id, content_id, len(ps) AS lists, n, (list_sum(ps) + (n - len(ps)) * m) / (n * m) AS mean, list_min(list_transform(range(1, len(ps) + 1), lambda k: list_sum(list_transform(range(k, n + 1), lambda i: factorial(CAST(n AS INT)) / (factorial(CAST(i AS INT)) * factorial(CAST(n - i AS INT))) * power(ps[k] / m, i) * power(1 - ps[k] / m, n - i))))) AS p FROM I JOIN Q USING (question_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say the same over whole tables; the others are tested against brute force, round trips and known cases."""
+    texts = "SELECT 'chunks' AS src, chunk_id AS item_key, text FROM chunks UNION ALL SELECT 'contents', CAST(id AS VARCHAR), text FROM contents UNION ALL SELECT 'sections', section_id, array_to_string(list_transform(blocks, lambda b: coalesce(b.text, '')), chr(10) || chr(10)) FROM sections"
+    return {
+        "p1_found": f"WITH {_P1} SELECT DISTINCT least(id_train, id_eval) AS id_a, greatest(id_train, id_eval) AS id_b FROM O",
+        "p1_overlap_report": f"WITH {_P1}, F AS (SELECT eval_split, eval_origin, count(DISTINCT id_eval) AS o, count(*) AS p FROM O GROUP BY 1, 2), A AS (SELECT split, origin, count(*) AS items FROM {_ITEMS} WHERE split IN ('dev', 'test') GROUP BY 1, 2) SELECT A.split AS eval_split, A.origin AS eval_origin, items, CAST(coalesce(o, 0) AS BIGINT) AS overlapping_items, CAST(coalesce(p, 0) AS BIGINT) AS pairs FROM A LEFT JOIN F ON F.eval_split = A.split AND F.eval_origin IS NOT DISTINCT FROM A.origin",
+        "p2_found": f"SELECT DISTINCT src, item_key FROM ({texts}) WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 300",
+        "p3_found": f"WITH RECURSIVE {_P3} SELECT DISTINCT a AS id_a, b AS id_b FROM R WHERE a < b",
+        "p4_found": f"WITH {_P4} SELECT question_id, content_id FROM B QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) = 1",
+    }

@@ -112,6 +112,7 @@ def _cells(centres, subs):
 
 def _search(k: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")  # the same graph whatever order the shuffle brought
         x = np.frombuffer(b"".join(pdf["v"].tolist()), np.float32).reshape(len(pdf), -1)
         ids, role = pdf["id"].to_numpy(), pdf["role"].to_numpy()
         members, asked, guests = np.flatnonzero(role > 0), np.flatnonzero(role[role > 0] == 2), np.flatnonzero(role == 0)
