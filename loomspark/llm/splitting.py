@@ -83,25 +83,19 @@ def cuts(kinds: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[i
         for i in range(1, pieces):
             target = round(overlap + i * size)
             # Room for this piece under the limit, and for those to come.
-            high = min(last + (limit if i == 1 else step), target + reach, n - 1)
-            low = max(last + 1, overlap + 1, n - step * (pieces - i), target - reach)
+            least, most = max(last + 1, overlap + 1, n - step * (pieces - i)), min(last + step if i > 1 else limit, n - 1)
+            if least > most:
+                break
+            low, high = max(least, target - reach), min(most, target + reach)
             if low > high:
-                low = high = max(min(target, last + (limit if i == 1 else step), n - 1), last + 1)
-            strongest = max(range(low, high + 1), key=lambda p: (STRENGTH[kinds[p]] - 3.0 * abs(p - target) / reach if STRENGTH[kinds[p]] else -10.0 - abs(p - target) / reach, -p))
-            found.append(strongest)
-            last = strongest
-        ends = [*found, n]
-        starts = [0, *(max(0, e - overlap) for e in found)]
-        if all(0 < e - s <= limit for s, e in zip(starts, ends)) and all(b > a for a, b in zip(ends, ends[1:])):
-            if best is None:
-                best = found
+                low = high = min(max(target, least), most)
+            last = max(range(low, high + 1), key=lambda p: (STRENGTH[kinds[p]] - 3.0 * abs(p - target) / reach if STRENGTH[kinds[p]] else -10.0 - abs(p - target) / reach, -p))
+            found.append(last)
+        if len(found) == pieces - 1:
+            best = best if best is not None else found
             if all(STRENGTH[kinds[p]] for p in found):
                 return found
-    if best is None:  # no boundary counts: plain words
-        best = list(range(limit, n, step))
-        if best and n - best[-1] <= 0:
-            best.pop()
-    return best
+    return best if best is not None else list(range(limit, n, step))
 
 
 def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:
