@@ -145,7 +145,7 @@ def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     "cohen_kappa",
     f"""WITH p AS (SELECT a, b FROM {_PAIRS}), n AS (SELECT count(*) AS n FROM p), ma AS (SELECT a, count(*) AS c FROM p GROUP BY a), mb AS (SELECT b, count(*) AS c FROM p GROUP BY b),
     o AS (SELECT count(*) FILTER (a <> b) AS d, sum(power(a - b, 2)) AS w FROM p), e AS (SELECT sum(CASE WHEN a <> b THEN ma.c * mb.c ELSE 0 END) / max(n) AS d, sum(ma.c * mb.c * power(a - b, 2)) / max(n) AS w FROM ma, mb, n)
-    SELECT n, round(1 - o.d / n, 6) AS agreement, round(CASE WHEN e.d = 0 THEN 1 ELSE 1 - o.d / e.d END, 6) AS kappa, round(CASE WHEN e.w = 0 THEN 1 ELSE 1 - o.w / e.w END, 6) AS weighted_kappa FROM n, o, e""",
+    SELECT n, round(1 - o.d / n, 6) AS agreement, round(CASE WHEN e.d = 0 THEN 1 ELSE 1 - o.d / e.d END, 6) AS kappa, round(CASE WHEN e.w = 0 THEN 1 ELSE 1 - o.w / e.w END, 6) AS weighted_kappa FROM n, o, e WHERE n.n > 0""",
 )
 def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
     return metrics.kappa(rater_pairs(spark, d), "a", "b", 3)
