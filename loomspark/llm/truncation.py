@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +45,15 @@ def _word(line: str) -> str | None:
     return m.group().lower()
 
 
+_INVISIBLE = dict.fromkeys(map(ord, "\u00ad\u200b\u200c\u200d\u2060\ufeff"))
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
+def _plain(line: str) -> str:
+    """A line without accents, ligatures and invisible characters, which a loader may have put into any word."""
+    return line if line.isascii() else _MARKS.sub("", unicodedata.normalize("NFKD", line.translate(_INVISIBLE)))
+
+
 def _bucket(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) % BUCKETS
 
@@ -55,7 +65,7 @@ def _line_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             body = text.rstrip().rpartition("\n")[0] if text else ""
             for m in _ITEM.finditer(body):
-                line = m.group(1).rstrip()
+                line = _plain(m.group(1).rstrip())
                 if not line or _END.search(line):
                     continue
                 for p in _PART.finditer(line):
@@ -166,7 +176,7 @@ def ending(text: str, recorded: int | None, total: np.ndarray, ends: np.ndarray)
         return ("byline", -SURE) if re.search(r"\d$|\S+ \S+$", last) and _word(last) in (".#", " #", "-#") else ("open_byline", 2.0)
     heading = last.startswith("#")
     if item or heading:
-        w = _word(body)
+        w = _word(_plain(body))
         if w is None or body.rstrip().endswith((",", "-", "/", "(", "=")):
             return "open_item", STRONG
         b = _bucket(w)
