@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,23 +36,99 @@ def top_k(scored: DataFrame, k: int, by: str = "question_id", score: str = "scor
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def keyword_scores(terms: DataFrame, posts: DataFrame) -> DataFrame:
-    """(question_id, content_id, score): any shared term counts, tf / (tf + 1) each, over the question's terms and log2(2 + length)."""
-    hit = terms.join(posts, "term")
-    summed = hit.groupBy("question_id", F.col("doc").alias("content_id"), "q_len", "len").agg(F.sum(F.col("tf") / (F.col("tf") + 1)).alias("s"))
-    return summed.select("question_id", "content_id", F.round(F.col("s") / (F.col("q_len") * F.log2(F.lit(2.0) + F.col("len"))), 6).alias("score"))
+#: Hits held by a task before they are reduced to the k best of each question.
+HELD = 1 << 20
 
 
-def bm25_scores(terms: DataFrame, posts: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(question_id, content_id, score) by BM25 (Robertson and Zaragoza 2009), idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    lengths = posts.select("doc", "len").distinct()
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))  # one row
-    frequency = posts.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = terms.join(frequency, "term").crossJoin(F.broadcast(totals))
-    idf = F.log1p((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hit = wanted.join(posts, "term")
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return hit.groupBy("question_id", F.col("doc").alias("content_id")).agg(F.round(F.sum(gain), 6).alias("score"))
+def _term_search(sent, k: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, index, norms, (bm25, mean) = sent.value
+        floor = np.zeros(len(ids))
+        held: tuple[list, list, list] = ([], [], [])
+        n = 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, d, s = (np.concatenate(x) for x in held)
+            order = np.lexsort((d, -s, q))
+            q, d, s = q[order], d[order], s[order]
+            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+            keep = place < k
+            last = place == k - 1
+            floor[q[last]] = s[last]
+            return q[keep], d[keep], s[keep]
+
+        for batch in batches:
+            for doc, terms in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist()):
+                found = [(index[t], c) for t, c in Counter(terms).items() if t in index]
+                if not found:
+                    continue
+                size = len(terms)
+                tf = np.array([c for _, c in found], float)
+                if bm25:
+                    k1, b = bm25
+                    weight = np.array([e[1] for e, _ in found]) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
+                else:
+                    weight = tf / (tf + 1)
+                at = [e[0] for e, _ in found]
+                sums = np.bincount(np.concatenate(at), np.repeat(weight, [len(x) for x in at]), len(ids))
+                scores = np.round(sums if bm25 else sums / (norms * np.log2(2.0 + size)), 6)
+                q = np.flatnonzero((sums > 0) & (scores >= floor))
+                held[0].append(q)
+                held[1].append(np.full(len(q), doc, np.int64))
+                held[2].append(scores[q])
+                n += len(q)
+                if n > HELD:
+                    q, d, s = best()
+                    held = ([q], [d], [s])
+                    n = len(q)
+        if n:
+            q, d, s = best()
+            yield pa.record_batch([pa.array(ids[q].tolist(), pa.string()), pa.array(d), pa.array(s)], names=["question_id", "content_id", "score"])
+
+    return work
+
+
+def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int, bm25: tuple[float, float] | None = None) -> DataFrame:
+    """(question_id, content_id, score, rank): the k best contents of every question by its terms(question_id, term, q_len).
+
+    The question set is sent in blocks of BLOCK questions as an index from term to questions; each block is one pass over the contents that
+    keeps the k best per question and task, so that neither postings nor all pairs of questions and contents are ever shuffled. Without `bm25` the score is
+    tf / (tf + 1) summed over shared terms, by the question's terms and log2(2 + length); with (k1, b) it is BM25 (Robertson and Zaragoza 2009),
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Any shared term counts; ties go to the smaller id; null texts have no terms.
+    """
+    spark = terms.sparkSession
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), tokens(text).alias("terms")).where(F.size("terms") > 0)
+    wanted = terms
+    total, mean = 0, 1.0
+    if bm25:
+        totals = rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("m")).first()
+        total, mean = totals.n, totals.m or 1.0
+        frequency = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        wanted = terms.join(frequency, "term")
+    per_question = wanted.groupBy("question_id").agg(F.collect_list(F.struct("term", *(["df"] if bm25 else []))).alias("ts"), F.first("q_len").alias("q_len"))
+    parts: list[DataFrame] = []
+
+    def flush(block: list) -> None:
+        index: dict[str, list] = {}
+        for i, r in enumerate(block):
+            for t in r.ts:
+                index.setdefault(t.term, [[], np.log1p((total - t.df + 0.5) / (t.df + 0.5)) if bm25 else 1.0])[0].append(i)
+        packed = {t: (np.array(at), idf) for t, (at, idf) in index.items()}
+        sent = spark.sparkContext.broadcast((np.array([r.question_id for r in block], object), packed, np.array([max(r.q_len, 1) for r in block], float), (bm25, mean)))
+        parts.append(rows.mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double"))
+
+    block: list = []
+    for r in per_question.toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            flush(block)
+            block = []
+    if block:
+        flush(block)
+    if not parts:
+        return spark.createDataFrame([], "question_id string, content_id long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k)
 
 
 def rrf(rankings: DataFrame, k: int) -> DataFrame:

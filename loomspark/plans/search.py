@@ -33,18 +33,21 @@ def contents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contents").where("text is not null")
 
 
-def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return search.query_terms(questions(spark, d), "id", F.col("question")), search.postings(contents(spark, d), "id", F.col("text"))
+BM25 = (1.2, 0.75)
+
+
+def _by_terms(spark: SparkSession, d: str, k: int, bm25: tuple[float, float] | None = None) -> DataFrame:
+    return search.term_search(search.query_terms(questions(spark, d), "id", F.col("question")), contents(spark, d), "id", F.col("text"), k, bm25)
 
 
 @query("keyword_topk", f"SELECT question_id, content_id, score, rank FROM {_top(_KEYWORD, 10)}")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(search.keyword_scores(*_lists(spark, d)), 10)
+    return _by_terms(spark, d, 10)
 
 
 @query("bm25_topk", f"WITH P AS {_POSTS} SELECT question_id, content_id, score, rank FROM {_top(_BM25, 10)}")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top_k(search.bm25_scores(*_lists(spark, d)), 10)
+    return _by_terms(spark, d, 10, BM25)
 
 
 @query(
@@ -53,9 +56,8 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     f AS (SELECT question_id, content_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(list_no) AS first_list FROM r GROUP BY 1, 2) SELECT question_id, content_id, score, first_list, rank FROM {_top('f', 10)}""",
 )
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    terms, posts = _lists(spark, d)
-    a = search.top_k(search.keyword_scores(terms, posts), 50).withColumn("list_no", F.lit(1))
-    b = search.top_k(search.bm25_scores(terms, posts), 50).withColumn("list_no", F.lit(2))
+    a = _by_terms(spark, d, 50).withColumn("list_no", F.lit(1))
+    b = _by_terms(spark, d, 50, BM25).withColumn("list_no", F.lit(2))
     return search.rrf(a.unionByName(b), 10).select("question_id", "content_id", "score", "first_list", "rank")
 
 
