@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import tokens
+from loomspark.session import spread
 
 RRF_K = 60
 #: Query vectors that are sent to the executors at once; further ones take further passes over the corpus.
@@ -98,7 +99,7 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Any shared term counts; ties go to the smaller id; null texts have no terms.
     """
     spark = terms.sparkSession
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), tokens(text).alias("terms")).where(F.size("terms") > 0)
+    rows = spread(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text.alias("text"))).select("id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
     wanted = terms
     total, mean = 0, 1.0
     if bm25:
