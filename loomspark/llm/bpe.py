@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 # The white space of Unicode, and the pieces that a byte-level BPE of this family never merges across.
@@ -163,7 +165,7 @@ def encode_texts(df: DataFrame, id: str = "doc_id", text: str = "text", vocabula
     ordinary text; rows with a null id and repeated rows are kept. `vocabulary` is the path of the tokenizer's JSON file on every executor.
     """
     narrow = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(_encode(vocabulary), "id long, ids array<int>").withColumnRenamed("id", "doc_id")
+    return spread(narrow).mapInArrow(_encode(vocabulary), "id long, ids array<int>").withColumnRenamed("id", "doc_id")
 
 
 def token_statistics(encoded: DataFrame, docs: DataFrame, id: str = "doc_id", by: str = "source") -> DataFrame:

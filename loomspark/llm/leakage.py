@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm.words import words as words_of
+from loomspark.session import spread
 
 #: A pattern is a window of PATTERN words of a passage, a block its last BLOCK words. Half of a passage of 32 words, one word in ten
 #: changed and a remark put in between, still holds such a window whole.
@@ -155,7 +156,7 @@ def leaked_passages(docs: DataFrame, passages: DataFrame, id: str = "doc_id", te
     held = passages.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("t"))
     total = held.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     rounds = max(1, math.ceil(total / WORDS_A_ROUND))
-    narrow = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
+    narrow = spread(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null"))
     parts = []
     for k in range(rounds):
         mine = held if rounds == 1 else held.where(F.pmod(F.xxhash64("item"), F.lit(rounds)) == k)

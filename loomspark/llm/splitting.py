@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import spread
+
 LIMIT, OVERLAP = 300, 30
 #: Strength of a cut before a word: the name is what ends or begins there.
 STRENGTH = {"section": 6, "code_block": 5, "paragraph": 4, "list_item": 3, "line": 2, "sentence": 1, "word": 0}
@@ -142,7 +144,7 @@ def oversized_items(src: str, df: DataFrame, key: str, text, loaded: str | None
     """(src, item_key, text): the items with more than `limit` words, once each, the last loaded of redelivered ones. Only these are shuffled."""
     t = F.coalesce(F.col(loaded).cast("long"), F.lit(-1)) if loaded else F.lit(-1).cast("long")
     rows = df.where(F.col(key).isNotNull()).select(F.lit(src).alias("src"), F.col(key).cast("string").alias("item_key"), t.alias("t"), (text if not isinstance(text, str) else F.col(text)).alias("text"))
-    long = rows.mapInArrow(_oversized(limit), "src string, item_key string, t long, text string")
+    long = spread(rows).mapInArrow(_oversized(limit), "src string, item_key string, t long, text string")
     return long.groupBy("src", "item_key").agg(F.max_by("text", F.struct("t", "text")).alias("text"))
 
 

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.session import spread
+
 #: Buckets of the corpus-wide counts of words at and before the ends of lines; a fixed size whatever the vocabulary.
 BUCKETS = 1 << 16
 #: Sources of which the limits are sent to the executors; with more, a document's limits come by a join.
@@ -197,7 +199,7 @@ def ending(text: str, recorded: int | None, total: np.ndarray, ends: np.ndarray)
 def line_counts(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Corpus-wide (counts, counts at the end of an item) of words by bucket; lines has a column text without nulls."""
     t, e = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in lines.mapInArrow(_line_counts, "bucket long, total long, ends long").groupBy("bucket").agg(F.sum("total").alias("t"), F.sum("ends").alias("e")).collect():  # at most BUCKETS rows
+    for r in spread(lines).mapInArrow(_line_counts, "bucket long, total long, ends long").groupBy("bucket").agg(F.sum("total").alias("t"), F.sum("ends").alias("e")).collect():  # at most BUCKETS rows
         t[r.bucket], e[r.bucket] = r.t, r.e
     return t, e
 
@@ -247,7 +249,7 @@ def truncation_evidence(docs: DataFrame, id: str = "doc_id", text: str = "text",
     else:
         here = limits.withColumnsRenamed({"source": "s", "limit": "l"})
         base = base.join(here, (F.col("source") == F.col("s")) & (F.length("text") == F.col("l")), "left").drop("s", "l")
-    return base.mapInArrow(_judge(sent, spark.sparkContext.broadcast(counts)), "doc_id long, source string, kind string, odds double")
+    return spread(base).mapInArrow(_judge(sent, spark.sparkContext.broadcast(counts)), "doc_id long, source string, kind string, odds double")
 
 
 def truncated(docs: DataFrame, **columns: str) -> DataFrame:
