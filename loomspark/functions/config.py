@@ -7,6 +7,7 @@ import tomllib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 try:
     import yaml
@@ -18,7 +19,7 @@ def _json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, default=str)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def toml_to_json(texts: pd.Series) -> pd.Series:
     """Null for null and for what isn't TOML."""
     def one(t: str | None) -> str | None:
@@ -30,7 +31,7 @@ def toml_to_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def yaml_to_json(texts: pd.Series) -> pd.Series:
     """Null for null, for what isn't YAML, and where no YAML library is installed."""
     def one(t: str | None) -> str | None:

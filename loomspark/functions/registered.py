@@ -7,11 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomspark.functions import html, sections
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.convert(t) if t is not None else None)
 
