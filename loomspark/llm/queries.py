@@ -58,7 +58,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_aggregation.ranking(table(spark, sf_dir, "hits"), table(spark, sf_dir, "retrieval_configs"))
+    return rank_aggregation.ranking(table(spark, sf_dir, "hits"), table(spark, sf_dir, "retrieval_configs")).withColumn("significance", F.round("significance", 6))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,5 +145,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_overlap_report": f"WITH {_P1}, F AS (SELECT eval_split, eval_origin, count(DISTINCT id_eval) AS o, count(*) AS p FROM O GROUP BY 1, 2), A AS (SELECT split, origin, count(*) AS items FROM {_ITEMS} WHERE split IN ('dev', 'test') GROUP BY 1, 2) SELECT A.split AS eval_split, A.origin AS eval_origin, items, CAST(coalesce(o, 0) AS BIGINT) AS overlapping_items, CAST(coalesce(p, 0) AS BIGINT) AS pairs FROM A LEFT JOIN F ON F.eval_split = A.split AND F.eval_origin IS NOT DISTINCT FROM A.origin",
         "p2_found": f"SELECT DISTINCT src, item_key FROM ({texts}) WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 300",
         "p3_found": f"WITH RECURSIVE {_P3} SELECT DISTINCT a AS id_a, b AS id_b FROM R WHERE a < b",
+        "p3_groups": f"""WITH RECURSIVE {_P3}, T AS (SELECT id, min(id) OVER (PARTITION BY index_name, text) AS rep FROM contents), G AS (SELECT T.id, T.rep, least(T.rep, coalesce((SELECT min(b) FROM R WHERE R.a = T.id), T.rep)) AS component FROM T),
+        V AS (SELECT component, string_agg(DISTINCT v, ',' ORDER BY v) AS versions FROM (SELECT component, unnest(versions) AS v FROM G JOIN contents USING (id)) GROUP BY 1) SELECT id, rep, G.component, count(*) OVER (PARTITION BY G.component) AS contents, versions FROM G LEFT JOIN V ON V.component = G.component""",
+        "p4_ranking": f"WITH {_P4} SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) AS place, round(least(1, p * n), 6) AS significance, CAST(lists AS INT) AS lists FROM B QUALIFY place <= 10",
         "p4_found": f"WITH {_P4} SELECT question_id, content_id FROM B QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) = 1",
     }
