@@ -41,9 +41,17 @@ def worst_case(input_tokens: Column, most_output: Column, input_price: Column, c
 
 
 def requests_in_window(requests: DataFrame, client: str, ts: str, seconds: int) -> DataFrame:
-    """requests with n: how many the client made in the `seconds` up to and with each, itself included."""
-    over = Window.partitionBy(client).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return requests.withColumn("n", F.count("*").over(over))
+    """requests with n: how many the client made in the `seconds` up to and with each, itself included.
+
+    A client's time is cut into blocks of many windows; the last rows of a block are lent to the next one, so that the longest
+    sort is one client's block, whatever share of all rows a client has."""
+    block = max(3600, 10 * seconds)
+    t = F.col(ts).cast("timestamp").cast("double")
+    rows = requests.withColumn("_t", t).withColumn("_b", F.floor(F.col("_t") / block))
+    lent = F.when(F.col("_t") >= (F.col("_b") + 1) * block - seconds, F.array("_b", F.col("_b") + 1)).otherwise(F.array("_b"))
+    spread_ = rows.withColumn("_in", F.explode(F.coalesce(lent, F.array(F.lit(None).cast("bigint")))))
+    over = Window.partitionBy(client, "_in").orderBy("_t").rangeBetween(-seconds, 0)
+    return spread_.withColumn("n", F.count("*").over(over)).where(F.col("_in").eqNullSafe(F.col("_b"))).drop("_t", "_b", "_in")
 
 
 def admitted(requests: DataFrame, client: str, ts: str, id: str, most: int, seconds: int) -> DataFrame:
@@ -73,9 +81,18 @@ def admitted(requests: DataFrame, client: str, ts: str, id: str, most: int, seco
 
 
 def sessions(events: DataFrame, who: str, ts: str, gap_seconds: int) -> DataFrame:
-    """(who, session, events, start, end): a new session begins after more than a gap without events."""
-    order = Window.partitionBy(who).orderBy("_t")
-    rows = events.select(who, F.col(ts).cast("timestamp").alias("_t"))
-    opened = rows.withColumn("_new", F.expr("int(1)") * F.when(F.col("_t").cast("double") - F.lag("_t").over(order).cast("double") <= gap_seconds, 0).otherwise(1))
-    numbered = opened.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """(who, session, events, start, end): a new session begins after more than a gap without events.
+
+    Worked out per day: an event follows the one before it on its day, the first of a day the last of the days before; sessions that begin on
+    a day are counted and added up over days. So no sort is longer than one day of one `who`."""
+    rows = events.select(who, F.col(ts).cast("timestamp").alias("_t")).where("_t is not null").withColumn("_day", F.to_date("_t"))
+    days = Window.partitionBy(who).orderBy("_day")
+    last = rows.groupBy(who, "_day").agg(F.max("_t").alias("_last")).withColumn("_before", F.lag("_last").over(days)).drop("_last")
+    order = Window.partitionBy(who, "_day").orderBy("_t")
+    joined = rows.join(last.withColumnsRenamed({who: "_who", "_day": "_d"}), F.col(who).eqNullSafe(F.col("_who")) & (F.col("_day") == F.col("_d"))).drop("_who", "_d")
+    previous = F.coalesce(F.lag("_t").over(order), F.col("_before"))
+    opened = joined.withColumn("_new", F.when(F.col("_t").cast("double") - previous.cast("double") <= gap_seconds, 0).otherwise(1))
+    in_day = opened.withColumn("_k", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    per_day = opened.groupBy(who, "_day").agg(F.sum("_new").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    numbered = in_day.join(per_day.withColumnsRenamed({who: "_who", "_day": "_d"}), F.col(who).eqNullSafe(F.col("_who")) & (F.col("_day") == F.col("_d"))).withColumn("session", F.col("_offset") + F.col("_k"))
     return numbered.groupBy(who, "session").agg(F.count("*").alias("events"), F.min("_t").alias("start"), F.max("_t").alias("end"))
