@@ -34,9 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores if they come in fewer partitions, as out of one small file; larger inputs are left as they are read."""
+    """The rows over all cores if they come in fewer partitions, as out of one small file; larger inputs are left as they are read.
+
+    Only plans without a shuffle are asked for their partitions, as asking an adaptive plan would run its stages."""
+    run = df._jdf.queryExecution()
+    if "AdaptiveSparkPlan" in run.executedPlan().nodeName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

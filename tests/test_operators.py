@@ -173,3 +173,13 @@ def test_occurrence_choice(spark):
     seen = spark.createDataFrame([("h", "v::10", "1.41"), ("h", "v::2", "1.41"), ("h", "w::1", "1.42"), ("h", "x::1", "1.9")], "content_hash string, chunk_id string, version string")
     got = {r.wanted_version: r.chunk_id for r in search.choose_occurrence(wanted, seen, "content_hash", T.version_key(F.col("version"))).collect()}
     assert got == {"1.41": "v::10", "1.9": "x::1", None: "w::1"}
+
+
+def test_spread(spark, tmp_path):
+    from loomspark.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    grouped = one.groupBy("id").count()
+    assert spread(grouped) is grouped and spread(spark.range(100, numPartitions=50)).rdd.getNumPartitions() == 50
