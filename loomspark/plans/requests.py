@@ -45,12 +45,12 @@ def rewrite_requests(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", R.rewrite_request(F.col("question"), "hyde").alias("hyde"), R.rewrite_request(F.col("question"), "rewrite").alias("rewrite"))
 
 
-@query("batch_estimate", f"SELECT run, count(*) AS requests, round(CAST(sum(CAST((usage.input_tokens * greatest(i, c)::DOUBLE + 1024 * o::DOUBLE) / 1000000 AS DECIMAL(18,9))) AS DOUBLE), 6) AS worst FROM {ANSWERS} a JOIN {_PRICES} USING (run) GROUP BY run")
+@query("batch_estimate", f"SELECT run, count(*) AS requests, CAST(sum(CAST((usage.input_tokens * greatest(i, c)::DOUBLE + 1024 * o::DOUBLE) / 1000000 AS DECIMAL(18,9))) AS DOUBLE) AS worst FROM {ANSWERS} a JOIN {_PRICES} USING (run) GROUP BY run")
 def batch_estimate(spark: SparkSession, d: str) -> DataFrame:
     prices = spark.createDataFrame([("baseline", 1.0, 5.0, 1.25), ("default", 1.0, 5.0, 1.25), ("e5-rerank", 3.0, 15.0, 3.75), ("e7-hyde", 3.0, 15.0, 3.75), ("e8-small", 0.25, 1.25, 0.3)], "run string, i double, o double, c double")
     a = latest(table(spark, d, "generation_rows"), "row_id").join(F.broadcast(prices), "run")
     worst = (F.col("usage.input_tokens") * F.greatest("i", "c") + 1024 * F.col("o")) / 1_000_000
-    return a.groupBy("run").agg(F.count("*").alias("requests"), F.round(F.sum(worst.cast("decimal(18,9)")).cast("double"), 6).alias("worst"))
+    return a.groupBy("run").agg(F.count("*").alias("requests"), F.sum(worst.cast("decimal(18,9)")).cast("double").alias("worst"))
 
 
 @query("all_terms_match", f"SELECT question_id, count(*) AS contents, min(doc) AS first_id FROM (SELECT question_id, doc FROM (SELECT * FROM {_TERMS} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY term) <= 2) t JOIN {_POSTS} p USING (term) GROUP BY question_id, doc HAVING count(*) = 2) GROUP BY question_id")
