@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.bucket_join import mix
-from loomspark.llm.hnsw import Hnsw
+from loomspark.llm.hnsw import BATCH, EF_SEARCH, Hnsw
 from loomspark.session import written
 
-#: Vectors a shard should hold (each vector lies in PROBES shards), the most a shard may hold, and the most centres.
+#: Vectors a shard should hold (each vector lies in PROBES shards or more), the most a shard may hold, and the most centres.
 CELL, CELL_MOST, CENTRES_MOST = 800, 12_000, 4096
-#: Shards that a vector belongs to: those of its nearest centres.
-PROBES = 3
+#: Shards that a vector belongs to, those of its nearest centres: at least PROBES, and as many as bring TARGET of a query sample's true
+#: neighbours into a common shard, up to PROBES_MOST. Vectors that need more don't cluster; they are spread by hash and all shards searched.
+PROBES, PROBES_MOST, TARGET = 3, 12, 0.98
+#: Vectors of a model, and of a shard, whose exact neighbours tell the recall; the widest beam tried before a shard is searched exactly.
+PROBED, CHECKED, EF_MOST = 200, 64, 80
 #: Vectors of a model that the centres are fitted on, at most.
 SAMPLE = 20_000
 _UNIT = "model string, id long, v binary"
@@ -71,8 +74,65 @@ def _centres(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _nearest_cells(x: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
+    s = x @ c.T
+    at = np.argpartition(-s, width - 1, axis=1)[:, :width]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+
+
+def _needs(asked, centres, k: int):
+    """Rows (model, a, sim, probes): for every asked vector its k most similar ones of a batch, exactly, and the number of nearest cells at which
+    the two first share one (PROBES_MOST + 1 if they don't by then)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models, ids, raw = np.array(batch.column("model").to_pylist(), object), batch.column("id").to_numpy(), batch.column("v")
+            for m in dict.fromkeys(models.tolist()):
+                if m not in asked.value:
+                    continue
+                own, q = asked.value[m]
+                at = np.flatnonzero(models == m)
+                x = np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.float32).reshape(len(at), -1)
+                s = q @ x.T
+                s[own[:, None] == ids[at][None, :]] = -np.inf
+                near = np.argpartition(-s, min(k, len(at)) - 1, axis=1)[:, :k]
+                sims = np.take_along_axis(s, near, 1)
+                c = centres[m]
+                width = min(PROBES_MOST, len(c))
+                a, b = _nearest_cells(q, c, width), _nearest_cells(x[near.ravel()], c, width).reshape(len(q), -1, width)
+                place = np.maximum(np.arange(width)[:, None], np.arange(width)[None, :]) + 1
+                need = np.where(a[:, None, :, None] == b[:, :, None, :], place, PROBES_MOST + 1).min((2, 3))
+                r, col = np.nonzero(np.isfinite(sims))
+                yield pa.record_batch([pa.array([m] * len(r), pa.string()), pa.array(own[r]), pa.array(sims[r, col].astype(float)), pa.array(need[r, col].astype(np.int32))], names=["model", "a", "sim", "probes"])
+
+    return work
+
+
+def _placed(rows: DataFrame, picked: dict[str, np.ndarray], ids: dict[str, np.ndarray], centres: dict[str, np.ndarray], counts: dict[str, int], k: int) -> dict[str, tuple[np.ndarray, int]]:
+    """model -> its centres and the shards a vector belongs to, by the recall measured on PROBED vectors against all; one centre where every shard is to be searched."""
+    spark = rows.sparkSession
+    asked = {}
+    for m, c in centres.items():
+        if len(c) > PROBES:
+            at = np.unique(np.linspace(0, len(picked[m]) - 1, PROBED).astype(int))
+            asked[m] = (ids[m][at], picked[m][at])
+    out = {m: (c, PROBES) for m, c in centres.items()}
+    if not asked:
+        return out
+    best = Window.partitionBy("model", "a").orderBy(F.col("sim").desc(), "probes")
+    needs = rows.mapInArrow(_needs(spark.sparkContext.broadcast(asked), {m: centres[m] for m in asked}, k), "model string, a long, sim double, probes int")
+    measured: dict[str, list] = {m: [] for m in asked}
+    for r in needs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("model", "probes").collect():  # PROBED * k rows a model
+        measured[r.model].append(r.probes)
+    for m, need in measured.items():
+        enough = [p for p in range(PROBES, min(PROBES_MOST, len(centres[m])) + 1) if np.mean(np.array(need) <= p) >= TARGET]
+        everywhere = -(-counts[m] // (CELL_MOST * 2 // 3))
+        out[m] = (centres[m], enough[0]) if enough and enough[0] <= max(PROBES, everywhere) else (centres[m][:1], 1)
+    return out
+
+
 def _cells(centres, subs):
-    """Rows (model, cell, sub, part, role, id, v): a vector in its nearest PROBES cells. A cell of several sub-shards holds it in one of them and
+    """Rows (model, cell, sub, part, role, id, v): a vector in as many nearest cells as its model needs. A cell of several sub-shards holds it in one of them and
     searches the others for it; as these guests may be many, they come in parts, each with its copy of the sub-shard. role: 2 held and searched for, 1 held only, 0 guest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +141,10 @@ def _cells(centres, subs):
             models, ids, raw = np.array(batch.column("model").to_pylist(), object), batch.column("id").to_numpy(), batch.column("v")
             for m in dict.fromkeys(models.tolist()):
                 at = np.flatnonzero(models == m)
-                c = centres.value[m]
+                c, probes = centres.value[m]
                 values = raw.take(pa.array(at))
                 x = np.frombuffer(b"".join(values.to_pylist()), np.float32).reshape(len(at), -1)
-                width = min(PROBES, len(c))
+                width = min(probes, len(c))
                 s = x @ c.T
                 cell = np.argpartition(-s, width - 1, axis=1)[:, :width].astype(np.int64)
                 row, cell = np.repeat(np.arange(len(at)), width), cell.ravel()
@@ -110,6 +170,37 @@ def _cells(centres, subs):
     return work
 
 
+def _exact(x: np.ndarray, q: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The k most similar rows of x for each query, best first (-1 where there are fewer), without the row own that a query is itself."""
+    ids, sims = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf, np.float32)
+    width = min(k, len(x))
+    for i in range(0, len(q), BATCH):
+        s = q[i : i + BATCH] @ x.T
+        if own is not None:
+            s[np.arange(len(s)), own[i : i + BATCH]] = -np.inf
+        at = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
+        got = np.take_along_axis(s, at, 1)
+        ids[i : i + BATCH, :width], sims[i : i + BATCH, :width] = np.where(np.isfinite(got), at, -1), got
+    return ids, sims
+
+
+def _nearest(graph: Hnsw, q: np.ndarray, k: int, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The graph's answer if TARGET of the true neighbours of CHECKED queries are in it, else that of a wider beam, else the exact one."""
+    near, sims = graph.nearest(q, k, own)
+    at = np.unique(np.linspace(0, len(q) - 1, CHECKED).astype(int)) if len(q) else np.empty(0, int)
+    mine = own[at] if own is not None else None
+    true = _exact(graph.x, q[at], k, mine)[1]
+    held = np.isfinite(true)
+    missed = lambda got: (held & (got < true - 1e-6)).sum() > (1 - TARGET) * held.sum()
+    if not missed(sims[at]):
+        return near, sims
+    ef = 2 * EF_SEARCH
+    while ef <= EF_MOST and missed(graph.nearest(q[at], k, mine, ef)[1]):
+        ef *= 2
+    return graph.nearest(q, k, own, ef) if ef <= EF_MOST else _exact(graph.x, q, k, own)
+
+
 def _search(k: int):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")  # the same graph whatever order the shuffle brought
@@ -117,11 +208,11 @@ def _search(k: int):
         ids, role = pdf["id"].to_numpy(), pdf["role"].to_numpy()
         members, asked, guests = np.flatnonzero(role > 0), np.flatnonzero(role[role > 0] == 2), np.flatnonzero(role == 0)
         graph = Hnsw(np.ascontiguousarray(x[members]), ids[members])
-        near, sims = graph.nearest(graph.x[asked], k, asked)
+        near, sims = _nearest(graph, graph.x[asked], k, asked)
         a = [np.repeat(ids[members][asked], k)]
         b, s = [near.ravel()], [sims.ravel()]
         if len(guests) and len(members):
-            near, sims = graph.nearest(x[guests], k)
+            near, sims = _nearest(graph, x[guests], k, None)
             a.append(np.repeat(ids[guests], k))
             b.append(near.ravel())
             s.append(sims.ravel())
@@ -135,26 +226,28 @@ def _search(k: int):
 def most_similar(df: DataFrame, id: str = "content_id", embedding: str = "embedding", model: str | None = "model", k: int = 5) -> DataFrame:
     """(model, id, neighbour, place, similarity): for every vector the k most similar ones (cosine) of the same model, approximately.
 
-    Centres are fitted on up to SAMPLE vectors of a model; every vector is indexed in the shards of its PROBES nearest centres, each
-    shard builds a graph and searches it for all of its vectors, and the shards' results are merged. A shard with more than CELL_MOST vectors,
+    Centres are fitted on up to SAMPLE vectors of a model; every vector is indexed in the shards of its nearest centres, each
+    shard builds a graph and searches it for all of its vectors, and the shards' results are merged. How many centres, and how wide a beam, follows
+    from the recall measured on vectors whose exact neighbours are known; a model that doesn't cluster has shards by hash, which are all searched. A shard with more than CELL_MOST vectors,
     as of one huge group of copies, is split into sub-shards, which are all searched. Ties go to the smaller id; a vector isn't its own neighbour; copies are neighbours.
     """
     spark = df.sparkSession
     rows = written(unit_vectors(df, id, embedding, model))
     counts = {r.model: r.n for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
     share = F.create_map(*[v for m, n in counts.items() for v in (F.lit(m), F.lit(min(1.0, SAMPLE / n)))]) if counts else None
-    centres = {}
+    centres, vectors_of, ids_of = {}, {}, {}
     if counts:
         sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("model")])
         picked: dict[str, list] = {m: [] for m in counts}
         for r in sample.orderBy("model", "id").toLocalIterator():  # SAMPLE rows a model, give or take the hash
-            picked[r.model].append(np.frombuffer(r.v, np.float32))
+            picked[r.model].append((r.id, np.frombuffer(r.v, np.float32)))
         for m, vectors in picked.items():
             if not vectors:  # a hash that picks none of a handful
-                vectors = [np.frombuffer(r.v, np.float32) for r in rows.where(F.col("model") == m).limit(100).collect()]
-            x = np.array(vectors)
+                vectors = [(r.id, np.frombuffer(r.v, np.float32)) for r in rows.where(F.col("model") == m).limit(100).collect()]
+            x = vectors_of[m] = np.array([v for _, v in vectors])
+            ids_of[m] = np.array([i for i, _ in vectors], np.int64)
             centres[m] = _centres(x, max(1, min(len(x) // 4, counts[m] // CELL, CENTRES_MOST)))
-    sent = spark.sparkContext.broadcast(centres)
+    sent = spark.sparkContext.broadcast(_placed(rows, vectors_of, ids_of, centres, counts, k))
     sizes = rows.mapInArrow(_cells(sent, None), "model string, cell long").groupBy("model", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_MOST)
     subs = {(r.model, r.cell): -(-r.n // (CELL_MOST * 2 // 3)) for r in sizes.collect()}  # at most CENTRES_MOST a model
     shards = rows.mapInArrow(_cells(sent, spark.sparkContext.broadcast(subs)), "model string, cell long, sub long, part long, role int, id long, v binary")

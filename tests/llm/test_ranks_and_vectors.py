@@ -120,3 +120,13 @@ def test_vector_edge_cases(spark):
     got = {(r.model, r.id, r.neighbour) for r in vectors.most_similar(df).collect()}
     assert got == {("m", 1, 2), ("m", 2, 1)} | {("n", a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
     assert vectors.most_similar(df.limit(0)).count() == 0
+
+
+def test_recall_without_clusters(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 60)
+    monkeypatch.setattr(vectors, "CELL_MOST", 600)
+    x = np.random.default_rng(5).normal(size=(1500, 48)).astype(np.float32)  # 25 centres
+    got = vectors.most_similar(spark.createDataFrame([("m", i, v.tolist()) for i, v in enumerate(x)], "model string, content_id long, embedding array<float>")).collect()
+    mine = {(r.id, r.neighbour) for r in got}
+    want = {(i, j) for i, row in enumerate(top(x).tolist()) for j in row}
+    assert len(mine & want) / len(want) > 0.95 and len(got) == 1500 * 5
