@@ -58,6 +58,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten places of each question; p4_places has the whole ranking."""
+    return rank_aggregation.ranking(table(spark, sf_dir, "hits"), table(spark, sf_dir, "retrieval_configs"), 10).withColumn("significance", F.round("significance", 6))
+
+
+def p4_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_aggregation.ranking(table(spark, sf_dir, "hits"), table(spark, sf_dir, "retrieval_configs")).withColumn("significance", F.round("significance", 6))
 
 
@@ -148,5 +153,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_groups": f"""WITH RECURSIVE {_P3}, T AS (SELECT id, min(id) OVER (PARTITION BY index_name, text) AS rep FROM contents), G AS (SELECT T.id, T.rep, least(T.rep, coalesce((SELECT min(b) FROM R WHERE R.a = T.id), T.rep)) AS component FROM T),
         V AS (SELECT component, string_agg(DISTINCT v, ',' ORDER BY v) AS versions FROM (SELECT component, unnest(versions) AS v FROM G JOIN contents USING (id)) GROUP BY 1) SELECT id, rep, G.component, count(*) OVER (PARTITION BY G.component) AS contents, versions FROM G LEFT JOIN V ON V.component = G.component""",
         "p4_ranking": f"WITH {_P4} SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) AS place, round(least(1, p * n), 6) AS significance, CAST(lists AS INT) AS lists FROM B QUALIFY place <= 10",
+        "p4_places": f"WITH {_P4} SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) AS place, round(least(1, p * n), 6) AS significance, CAST(lists AS INT) AS lists FROM B",
         "p4_found": f"WITH {_P4} SELECT question_id, content_id FROM B QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) = 1",
     }

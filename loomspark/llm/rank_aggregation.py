@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspark.session import written
+
 #: Rows of one question up to which a question's lists are ranked together in one task, after a single shuffle by question.
 QUESTION_ROWS = 200_000
 #: Else: rows of one list above which its ranks are taken in score ranges, each a task's work, instead of in one window.
@@ -77,11 +79,11 @@ def _apart(hits: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def aggregate_ranks(hits: DataFrame, configs: DataFrame) -> DataFrame:
-    """(question_id, content_id, place, significance, lists): one ranking per question in which every config counts alike.
+    """(question_id, content_id, lists, significance, mean_rank): what orders each question's contents so that every config counts alike.
 
     The position of a hit in its config's list is divided by the number of contents any list of the question has; a content that a list lacks
     has 1 there. Its normalised ranks are sorted, each k-th one gets the probability that the k-th of as many uniform ranks is as small
-    (beta order statistics), and the smallest, times the number of lists, is its significance. Places follow significance, then more lists, the better mean rank and the smaller id.
+    (beta order statistics), and the smallest, times the number of lists, is its significance. Places, as `ranking` gives them, follow significance, then more lists, the better mean rank and the smaller id.
 
     Redelivered hits count once; null and NaN scores are no hit; a question without a hit has no ranking; tied scores share their mean
     rank; configs not in the table and null keys are left out.
@@ -104,7 +106,26 @@ def first_places(hits: DataFrame, configs: DataFrame) -> DataFrame:
     return best.select("question_id", F.col("b.content_id").alias("content_id"))
 
 
-def ranking(hits: DataFrame, configs: DataFrame, k: int = 10) -> DataFrame:
-    """(question_id, content_id, place, significance, lists): the first k places of each question (a top-k report)."""
-    order = Window.partitionBy("question_id").orderBy("significance", F.col("lists").desc(), "mean_rank", "content_id")
-    return aggregate_ranks(hits, configs).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("question_id", "content_id", "place", "significance", "lists")
+def _places(scored: DataFrame) -> DataFrame:
+    """scored with place where one question holds more contents than a task should sort: the rows are cut into ranges of the whole order, whose
+    sizes give the offsets."""
+    order = ["significance", F.col("lists").desc(), "mean_rank", "content_id"]
+    count = max(2, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = written(scored.repartitionByRange(count, "question_id", *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy("question_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("question_id", "part").agg(F.count("*").alias("rows")).withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
+    within = Window.partitionBy("question_id", "part").orderBy(*order)
+    return ranges.withColumn("first", F.row_number().over(within)).join(offsets, ["question_id", "part"]).withColumn("place", (F.col("offset") + F.col("first")).cast("int"))
+
+
+def ranking(hits: DataFrame, configs: DataFrame, k: int | None = None) -> DataFrame:
+    """(question_id, content_id, place, significance, lists): every place of each question's ranking, or its first k (a top-k report)."""
+    scored = aggregate_ranks(hits, configs)
+    if k is None and (scored.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0) > QUESTION_ROWS:
+        placed = _places(scored)
+    else:
+        order = Window.partitionBy("question_id").orderBy("significance", F.col("lists").desc(), "mean_rank", "content_id")
+        placed = scored.withColumn("place", F.row_number().over(order))
+    if k is not None:
+        placed = placed.where(F.col("place") <= k)
+    return placed.select("question_id", "content_id", "place", "significance", "lists")

@@ -72,6 +72,22 @@ def test_rank_edge_cases(spark):
     assert [r.place for r in rank_aggregation.ranking(df, configs).where("question_id = 'r'").orderBy("place").collect()] == [1, 2]
 
 
+def test_ranking_has_every_place(spark, monkeypatch):
+    rows = hits(2)
+    configs = spark.createDataFrame(list(KINDS.items()), CONFIG)
+    df = spark.createDataFrame(rows, HIT)
+    want = {(q, i) for q, c, i, *_ in rows if c in KINDS}
+    whole = {(r.question_id, r.content_id): r.place for r in rank_aggregation.ranking(df, configs).collect()}
+    assert set(whole) == want and max(whole.values()) > 10
+    for q in {q for q, _ in want}:
+        assert sorted(p for (x, _), p in whole.items() if x == q) == list(range(1, 1 + sum(x == q for x, _ in want)))
+    assert {key for key, p in whole.items() if p == 1} == set(brute(rows, KINDS).items())
+    monkeypatch.setattr(rank_aggregation, "QUESTION_ROWS", 3)
+    monkeypatch.setattr(rank_aggregation, "LIST_ROWS", 3)
+    assert {(r.question_id, r.content_id): r.place for r in rank_aggregation.ranking(df, configs).collect()} == whole
+    assert {(r.question_id, r.content_id): r.place for r in rank_aggregation.ranking(df, configs, 2).collect()} == {key: p for key, p in whole.items() if p <= 2}
+
+
 def clusters(n, d, seed=0):
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 12, d))
