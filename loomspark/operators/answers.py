@@ -8,31 +8,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import search
+from loomspark.operators import embedding, search
+from loomspark.session import spread
 
 
 @dataclass(frozen=True)
 class RetrievalConfig:
-    """method: keyword, bm25 or hybrid; rerank: reorder the candidates by word overlap; k of them are kept."""
+    """method: vector, keyword, bm25 or hybrid (vector and keyword, fused); rerank: reorder the candidates by word overlap; k of them are
+    kept; model: the embedder of the questions, out of the registry."""
 
     method: str = "hybrid"
     rerank: bool = True
     candidates: int = 50
     k: int = 8
+    model: str = "hashed-64"
 
     def __post_init__(self) -> None:
-        if self.method not in ("keyword", "bm25", "hybrid") or not 0 < self.k <= self.candidates:
+        if self.method not in ("vector", "keyword", "bm25", "hybrid") or not 0 < self.k <= self.candidates:
             raise ValueError(f"not a retrieval config: {self}")
 
 
-def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig) -> DataFrame:
-    """(question_id, content_id, rank, score): the k best contents of each question(question_id, question)."""
+def _by_vectors(questions: DataFrame, contents: DataFrame, vectors: DataFrame | None, model: str, k: int) -> DataFrame:
+    """The k contents nearest to each question; vectors(id, model, embedding) are used where the model has one, others are made."""
+    asked = embedding.embed_texts(questions, "question_id", "question", model)
+    rows = contents.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    if vectors is None:
+        made = embedding.embed_texts(spread(rows), "id", "text", model)
+    else:
+        made = embedding.embed_missing(rows, vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "model", "embedding"), "id", "text", model)
+    parts = [x.select(F.col(key).alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("v")) for x, key in ((asked, "question_id"), (made, "id"))]
+    return search.exact_vector_top_k(*parts, k, own=False)
+
+
+def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None) -> DataFrame:
+    """(question_id, content_id, rank, score): the k best contents of each question(question_id, question); vectors(id, model, embedding) of contents where there are any."""
     depth = config.candidates if config.rerank else config.k
     terms = search.query_terms(questions, "question_id", F.col("question"))
     by = lambda bm25: search.term_search(terms, contents, "id", F.col("text"), depth, bm25)
-    lists = {"keyword": lambda: by(None), "bm25": lambda: by((1.2, 0.75))}
+    lists = {"keyword": lambda: by(None), "bm25": lambda: by((1.2, 0.75)), "vector": lambda: _by_vectors(questions, contents, vectors, config.model, depth)}
     if config.method == "hybrid":
-        both = [lists[m]().withColumn("list_no", F.lit(i)) for i, m in enumerate(("bm25", "keyword"))]
+        both = [lists[m]().withColumn("list_no", F.lit(i)) for i, m in enumerate(("vector", "keyword"))]
         ranked = search.rrf(both[0].unionByName(both[1]), depth)
     else:
         ranked = lists[config.method]()

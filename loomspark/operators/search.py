@@ -37,8 +37,8 @@ def top_k(scored: DataFrame, k: int, by: str = "question_id", score: str = "scor
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Hits held by a task before they are reduced to the k best of each question.
-HELD = 1 << 20
+#: Hits held by a task before they are reduced to the k best of each question, and similarities that a task computes at once.
+HELD, SLICE = 1 << 20, 1 << 22
 
 
 def _term_search(sent, k: int):
@@ -146,11 +146,25 @@ def union_of_candidates(rankings: DataFrame) -> DataFrame:
     return first.select("question_id", "content_id", F.row_number().over(order).alias("position"))
 
 
-def _block_search(sent, k: int, same_group: bool):
+def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, q = sent.value
-        best_sim = np.full((len(ids), 0), 0.0)
-        best_id = np.zeros((len(ids), 0), np.int64)
+        floor = np.full(len(ids), -np.inf)
+        held: tuple[list, list, list] = ([], [], [])
+        n, most = 0, max(HELD, 2 * k * len(ids))
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            # Of a tie over the k-th place the smaller ids stay, so all rows held are ordered by both.
+            r, d, s = (np.concatenate(x) for x in held)
+            order = np.lexsort((d, -s, r))
+            r, d, s = r[order], d[order], s[order]
+            start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
+            last = place == k - 1
+            floor[r[last]] = s[last]
+            keep = place < k
+            return r[keep], d[keep], s[keep]
+
         for batch in batches:
             column = batch.column("v")
             sizes = column.value_lengths().fill_null(0).to_numpy()
@@ -163,32 +177,46 @@ def _block_search(sent, k: int, same_group: bool):
             x, at = x[ok], at[ok]
             if not len(at):
                 continue
-            doc = batch.column("id").to_numpy()[at]
-            s = np.round(q @ x.T, 6)
-            s[ids[:, None] == doc[None, :]] = -np.inf
-            if same_group:
-                g = batch.column("grp").to_numpy(zero_copy_only=False)[at]
-                s[groups[:, None] != g[None, :]] = -np.inf
-            # Of a tie over the k-th place the smaller ids stay, so all rows of the block are ordered by both.
-            best_sim, best_id = np.concatenate([best_sim, s], 1), np.concatenate([best_id, np.broadcast_to(doc, s.shape)], 1)
-            if best_sim.shape[1] > k:
-                order = np.lexsort((best_id, -best_sim), axis=1)[:, :k]
-                best_sim, best_id = np.take_along_axis(best_sim, order, 1), np.take_along_axis(best_id, order, 1)
-        if best_sim.shape[1]:
-            r, c = np.nonzero(np.isfinite(best_sim))
-            yield pa.record_batch([pa.array(ids[r]), pa.array(best_id[r, c]), pa.array(best_sim[r, c])], names=["question_id", "content_id", "score"])
+            docs = batch.column("id").to_numpy()[at]
+            g = batch.column("grp").to_numpy(zero_copy_only=False)[at] if same_group else None
+            step = max(64, SLICE // len(ids))
+            for i in range(0, len(docs), step):
+                doc = docs[i : i + step]
+                s = np.round(q @ x[i : i + step].T, 6)
+                if own:
+                    s[ids[:, None] == doc[None, :]] = -np.inf
+                if same_group:
+                    s[groups[:, None] != g[i : i + step][None, :]] = -np.inf
+                low = floor
+                if len(doc) > k and not np.isfinite(floor).all():
+                    low = np.maximum(floor, np.partition(s, len(doc) - k, axis=1)[:, len(doc) - k])
+                r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
+                held[0].append(r)
+                held[1].append(doc[c])
+                held[2].append(s[r, c])
+                n += len(r)
+                if n > most or not np.isfinite(floor).all():
+                    r, d, s = best()
+                    held = ([r], [d], [s])
+                    n = len(r)
+        if n:
+            r, d, s = best()
+            yield pa.record_batch([pa.array(ids[r].tolist(), kind), pa.array(d), pa.array(s)], names=["question_id", "content_id", "score"])
 
     return work
 
 
-def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False) -> DataFrame:
-    """(question_id, content_id, score, rank): exact cosine neighbours of queries(id, grp, v) among corpus(id, grp, v), itself left out.
+def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False, own: bool = True) -> DataFrame:
+    """(question_id, content_id, score, rank): exact cosine neighbours of queries(id, grp, v) among corpus(id, grp, v), itself left out
+    unless the two have different ids (own=False), which for queries may be text.
 
     The query set is sent in blocks of BLOCK vectors of one length, each block one pass over the corpus with a k-best per task, so neither
     side is ever joined pairwise in rows. Null, zero, not finite and other-length vectors take no part. Scores are rounded to six places before ranking; ties go to the smaller id.
     """
     spark = queries.sparkSession
     parts = []
+    text = dict(queries.dtypes)["id"] == "string"
+    schema = f"question_id {'string' if text else 'long'}, content_id long, score double"
 
     def flush(rows: list) -> None:
         by_size: dict[int, list] = {}
@@ -198,8 +226,8 @@ def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group
             if len(x) and np.isfinite(norm) and norm > 0:
                 by_size.setdefault(len(x), []).append((r.id, r.grp, x / norm))
         for held in by_size.values():
-            sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held])))
-            parts.append(corpus.select("id", "grp", "v").mapInArrow(_block_search(sent, k, same_group), "question_id long, content_id long, score double"))
+            sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held])))
+            parts.append(corpus.select("id", "grp", "v").mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema))
 
     rows: list = []
     for r in queries.where("v is not null").select("id", "grp", "v").toLocalIterator():
@@ -209,7 +237,7 @@ def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group
             rows = []
     flush(rows)
     if not parts:
-        return spark.createDataFrame([], "question_id long, content_id long, score double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k)
 
 

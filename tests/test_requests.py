@@ -70,6 +70,17 @@ def test_ask(spark):
         answers.RetrievalConfig("other")
 
 
+def test_vectors_find_contents_without_a_shared_term(spark, monkeypatch):
+    near = {"automobile": [1.0, 0.1], "a car drives": [1.0, 0.2], "the cat sleeps": [0.0, 1.0]}
+    monkeypatch.setitem(embedding.EMBEDDERS, "said", lambda texts, near=near: np.array([near.get(t, [0.0, 0.0]) for t in texts], np.float32))
+    docs = spark.createDataFrame([(1, "the cat sleeps"), (2, "a car drives"), (3, "automobile")], "id long, text string")
+    q = spark.createDataFrame([("a", "automobile"), ("b", None)], "question_id string, question string")
+    got = {m: [(r.question_id, r.content_id) for r in answers.retrieve(q, docs, answers.RetrievalConfig(m, False, 5, 2, "said")).orderBy("rank").collect()] for m in ("keyword", "vector", "hybrid")}
+    assert got == {"keyword": [("a", 3)], "vector": [("a", 3), ("a", 2)], "hybrid": [("a", 3), ("a", 2)]}
+    stored = spark.createDataFrame([(1, "said", [1.0, 0.1]), (2, "other", [1.0, 0.1]), (3, "said", None)], "id long, model string, embedding array<float>")
+    assert {r.content_id for r in answers.retrieve(q, docs, answers.RetrievalConfig("vector", False, 5, 2, "said"), stored).collect()} == {1, 3}
+
+
 def test_batches(spark):
     log = [("b1", 1, "submitting", "x", None), ("b1", 2, "submitted", "x", None), ("b1", 3, "settled", "x", None), ("b1", 3, "settled", "y", "overloaded"), ("b2", 1, "submitting", "z", None), ("b2", 2, "submitting", "z", None), ("b3", 1, "rejected", "w", None)]
     df = spark.createDataFrame(log, "batch_id string, seq int, status string, custom_id string, error string")
