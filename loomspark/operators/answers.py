@@ -15,13 +15,14 @@ from loomspark.session import spread
 @dataclass(frozen=True)
 class RetrievalConfig:
     """method: vector, keyword, bm25 or hybrid (vector and keyword, fused); rerank: reorder the candidates by word overlap; k of them are
-    kept; model: the embedder of the questions, out of the registry."""
+    kept; model: the embedder of the questions, out of the registry; index_name: the index searched, where contents name theirs (None: all)."""
 
     method: str = "hybrid"
     rerank: bool = True
     candidates: int = 50
     k: int = 8
     model: str = "hashed-64"
+    index_name: str | None = "heading-plain"
 
     def __post_init__(self) -> None:
         if self.method not in ("vector", "keyword", "bm25", "hybrid") or not 0 < self.k <= self.candidates:
@@ -37,14 +38,24 @@ def _by_vectors(questions: DataFrame, contents: DataFrame, vectors: DataFrame |
     else:
         made = embedding.embed_missing(rows, vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "model", "embedding"), "id", "text", model)
     parts = [x.select(F.col(key).alias("id"), F.lit(0).alias("grp"), F.col("embedding").alias("v")) for x, key in ((asked, "question_id"), (made, "id"))]
+    if "version" in questions.columns and "versions" in contents.columns:
+        parts[0] = parts[0].join(questions.select(F.col("question_id").alias("id"), "version"), "id")
+        parts[1] = parts[1].join(contents.select(F.col("id").cast("long").alias("id"), "versions"), "id")
     return search.exact_vector_top_k(*parts, k, own=False)
 
 
 def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None) -> DataFrame:
-    """(question_id, content_id, rank, score): the k best contents of each question(question_id, question); vectors(id, model, embedding) of contents where there are any."""
+    """(question_id, content_id, rank, score): the k best contents of each question(question_id, question); vectors(id, model, embedding) of contents where there are any.
+
+    Only contents of the config's index count, if contents(id, text) have an index_name, and for a question with a version only those of that version, if they have versions."""
+    if config.index_name is not None and "index_name" in contents.columns:
+        contents = contents.where(F.col("index_name") == config.index_name)
+    versioned = "version" in questions.columns and "versions" in contents.columns
     depth = config.candidates if config.rerank else config.k
     terms = search.query_terms(questions, "question_id", F.col("question"))
-    by = lambda bm25: search.term_search(terms, contents, "id", F.col("text"), depth, bm25)
+    if versioned:
+        terms = terms.join(questions.select("question_id", "version"), "question_id")
+    by = lambda bm25: search.term_search(terms, contents, "id", F.col("text"), depth, bm25, F.col("versions") if versioned else None)
     lists = {"keyword": lambda: by(None), "bm25": lambda: by((1.2, 0.75)), "vector": lambda: _by_vectors(questions, contents, vectors, config.model, depth)}
     if config.method == "hybrid":
         both = [lists[m]().withColumn("list_no", F.lit(i)) for i, m in enumerate(("vector", "keyword"))]

@@ -41,9 +41,25 @@ def top_k(scored: DataFrame, k: int, by: str = "question_id", score: str = "scor
 HELD, SLICE = 1 << 20, 1 << 22
 
 
+def _allowed(wanted: list):
+    """Function of a content's versions that tells for each question whether the content is of its version; questions without a version allow all."""
+    of = np.array([*wanted, None], object)[:-1]
+    free = np.array([w is None for w in wanted], bool)
+    known: dict[tuple, np.ndarray] = {}
+
+    def mask(versions: list | None) -> np.ndarray:
+        key = tuple(versions or ())
+        if key not in known:
+            known[key] = free | np.isin(of.astype(str), [v for v in key if v is not None])
+        return known[key]
+
+    return mask
+
+
 def _term_search(sent, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index, norms, (bm25, mean) = sent.value
+        ids, index, norms, (bm25, mean), wanted = sent.value
+        allowed = _allowed(wanted) if wanted is not None else None
         floor = np.zeros(len(ids))
         held: tuple[list, list, list] = ([], [], [])
         n = 0
@@ -60,7 +76,8 @@ def _term_search(sent, k: int):
             return q[keep], d[keep], s[keep]
 
         for batch in batches:
-            for doc, terms in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist()):
+            versions = batch.column("versions").to_pylist() if allowed else [None] * batch.num_rows
+            for doc, terms, of in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist(), versions):
                 found = [(index[t], c) for t, c in Counter(terms).items() if t in index]
                 if not found:
                     continue
@@ -74,7 +91,8 @@ def _term_search(sent, k: int):
                 at = [e[0] for e, _ in found]
                 sums = np.bincount(np.concatenate(at), np.repeat(weight, [len(x) for x in at]), len(ids))
                 scores = np.round(sums if bm25 else sums / (norms * np.log2(2.0 + size)), 6)
-                q = np.flatnonzero((sums > 0) & (scores >= floor))
+                good = (sums > 0) & (scores >= floor)
+                q = np.flatnonzero(good & allowed(of) if allowed else good)
                 held[0].append(q)
                 held[1].append(np.full(len(q), doc, np.int64))
                 held[2].append(scores[q])
@@ -90,16 +108,19 @@ def _term_search(sent, k: int):
     return work
 
 
-def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int, bm25: tuple[float, float] | None = None) -> DataFrame:
+def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int, bm25: tuple[float, float] | None = None, versions: Column | None = None) -> DataFrame:
     """(question_id, content_id, score, rank): the k best contents of every question by its terms(question_id, term, q_len).
 
+    With `versions`, the versions of a document, terms also has the question's version, and only documents of that version are scored for it (all, where it is
+    null); the BM25 statistics are those of all documents given. Documents of other indexes are left out by the caller.
+
     The question set is sent in blocks of BLOCK questions as an index from term to questions; each block is one pass over the contents that
     keeps the k best per question and task, so that neither postings nor all pairs of questions and contents are ever shuffled. Without `bm25` the score is
     tf / (tf + 1) summed over shared terms, by the question's terms and log2(2 + length); with (k1, b) it is BM25 (Robertson and Zaragoza 2009),
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Any shared term counts; ties go to the smaller id; null texts have no terms.
     """
     spark = terms.sparkSession
-    rows = spread(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text.alias("text"))).select("id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    rows = spread(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text.alias("text"), *([versions.alias("versions")] if versions is not None else []))).select("id", tokens(F.col("text")).alias("terms"), *(["versions"] if versions is not None else [])).where(F.size("terms") > 0)
     wanted = terms
     total, mean = 0, 1.0
     if bm25:
@@ -107,7 +128,7 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
         total, mean = totals.n, totals.m or 1.0
         frequency = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         wanted = terms.join(frequency, "term")
-    per_question = wanted.groupBy("question_id").agg(F.collect_list(F.struct("term", *(["df"] if bm25 else []))).alias("ts"), F.first("q_len").alias("q_len"))
+    per_question = wanted.groupBy("question_id").agg(F.collect_list(F.struct("term", *(["df"] if bm25 else []))).alias("ts"), F.first("q_len").alias("q_len"), *([F.first("version").alias("version")] if versions is not None else []))
     parts: list[DataFrame] = []
 
     def flush(block: list) -> None:
@@ -116,7 +137,7 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
             for t in r.ts:
                 index.setdefault(t.term, [[], np.log1p((total - t.df + 0.5) / (t.df + 0.5)) if bm25 else 1.0])[0].append(i)
         packed = {t: (np.array(at), idf) for t, (at, idf) in index.items()}
-        sent = spark.sparkContext.broadcast((np.array([r.question_id for r in block], object), packed, np.array([max(r.q_len, 1) for r in block], float), (bm25, mean)))
+        sent = spark.sparkContext.broadcast((np.array([r.question_id for r in block], object), packed, np.array([max(r.q_len, 1) for r in block], float), (bm25, mean), [r.version for r in block] if versions is not None else None))
         parts.append(rows.mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double"))
 
     block: list = []
@@ -148,7 +169,8 @@ def union_of_candidates(rankings: DataFrame) -> DataFrame:
 
 def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, q = sent.value
+        ids, groups, q, wanted = sent.value
+        allowed = _allowed(wanted) if wanted is not None else None
         floor = np.full(len(ids), -np.inf)
         held: tuple[list, list, list] = ([], [], [])
         n, most = 0, max(HELD, 2 * k * len(ids))
@@ -179,6 +201,7 @@ def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
                 continue
             docs = batch.column("id").to_numpy()[at]
             g = batch.column("grp").to_numpy(zero_copy_only=False)[at] if same_group else None
+            of = batch.column("versions").take(pa.array(at)).to_pylist() if allowed else None
             step = max(64, SLICE // len(ids))
             for i in range(0, len(docs), step):
                 doc = docs[i : i + step]
@@ -187,6 +210,8 @@ def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
                     s[ids[:, None] == doc[None, :]] = -np.inf
                 if same_group:
                     s[groups[:, None] != g[i : i + step][None, :]] = -np.inf
+                if allowed:
+                    s[~np.array([allowed(o) for o in of[i : i + step]]).T] = -np.inf
                 low = floor
                 if len(doc) > k and not np.isfinite(floor).all():
                     low = np.maximum(floor, np.partition(s, len(doc) - k, axis=1)[:, len(doc) - k])
@@ -208,7 +233,8 @@ def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
 
 def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False, own: bool = True) -> DataFrame:
     """(question_id, content_id, score, rank): exact cosine neighbours of queries(id, grp, v) among corpus(id, grp, v), itself left out
-    unless the two have different ids (own=False), which for queries may be text.
+    unless the two have different ids (own=False), which for queries may be text. Where queries have a version and corpus has versions, only rows of
+    the version are neighbours (all, where it is null).
 
     The query set is sent in blocks of BLOCK vectors of one length, each block one pass over the corpus with a k-best per task, so neither
     side is ever joined pairwise in rows. Null, zero, not finite and other-length vectors take no part. Scores are rounded to six places before ranking; ties go to the smaller id.
@@ -216,6 +242,7 @@ def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group
     spark = queries.sparkSession
     parts = []
     text = dict(queries.dtypes)["id"] == "string"
+    versioned = "version" in queries.columns and "versions" in corpus.columns
     schema = f"question_id {'string' if text else 'long'}, content_id long, score double"
 
     def flush(rows: list) -> None:
@@ -224,13 +251,13 @@ def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group
             x = np.array(r.v, np.float64)
             norm = np.sqrt((x * x).sum())
             if len(x) and np.isfinite(norm) and norm > 0:
-                by_size.setdefault(len(x), []).append((r.id, r.grp, x / norm))
+                by_size.setdefault(len(x), []).append((r.id, r.grp, x / norm, r.version if versioned else None))
         for held in by_size.values():
-            sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held])))
-            parts.append(corpus.select("id", "grp", "v").mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema))
+            sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held] if versioned else None))
+            parts.append(corpus.select("id", "grp", "v", *(["versions"] if versioned else [])).mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema))
 
     rows: list = []
-    for r in queries.where("v is not null").select("id", "grp", "v").toLocalIterator():
+    for r in queries.where("v is not null").select("id", "grp", "v", *(["version"] if versioned else [])).toLocalIterator():
         rows.append(r)
         if len(rows) == BLOCK:
             flush(rows)

@@ -9,9 +9,9 @@ from loomspark.functions import requests as R
 from loomspark.functions import text as T
 from loomspark.operators import answers, embedding, search
 from loomspark.operators.rows import latest
-from loomspark.plans.catalog import ANSWERS, CHUNKS, ITEMS, query
-from loomspark.plans.operations import _PRICES
-from loomspark.plans.search import _METRICS, _POSTS, _TERMS, covered, questions
+from loomspark.plans.catalog import ANSWERS, CHUNKS, ITEMS, SQL, query
+from loomspark.plans.operations import _PRICES, version_choice
+from loomspark.plans.search import _KEYWORD, _METRICS, _POSTS, _TERMS, _top, covered, questions
 from loomspark.operators import metrics
 from loomspark.session import table
 
@@ -116,12 +116,25 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ask")
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    """All questions through the whole pipeline: hybrid retrieval, reranking, an extractive answer."""
-    q = questions(spark, d).select(F.col("id").alias("question_id"), "question")
-    c = table(spark, d, "contents").where("text is not null").select("id", "text")
+    """All questions through the whole pipeline: the version, hybrid retrieval in it, reranking, an extractive answer."""
+    chosen = version_choice(spark, d).select(F.col("id").alias("question_id"), "version")
+    q = questions(spark, d).select(F.col("id").alias("question_id"), "question").join(chosen, "question_id")
+    c = table(spark, d, "contents").where("text is not null").select("id", "text", "versions", "index_name")
     return answers.extractive_answers(q, answers.retrieve(q, c, answers.RetrievalConfig()), c)
 
 
+_IN_VERSION = f"(SELECT k.* FROM {_KEYWORD} k JOIN contents c ON c.id = k.content_id JOIN ({SQL['version_choice']}) v ON v.id = k.question_id WHERE c.index_name = 'heading-plain' AND list_contains(c.versions, v.version))"
+
+
+@query("keyword_topk_version", f"SELECT question_id, content_id, score, rank FROM {_top(_IN_VERSION, 10)}")
+def keyword_topk_version(spark: SparkSession, d: str) -> DataFrame:
+    """The keyword search as a question's pipeline runs it: in the chosen version and one index."""
+    chosen = version_choice(spark, d).select(F.col("id").alias("question_id"), "version")
+    terms = search.query_terms(questions(spark, d), "id", F.col("question")).join(chosen, "question_id")
+    docs = table(spark, d, "contents").where("text is not null and index_name = 'heading-plain'")
+    return search.term_search(terms, docs, "id", F.col("text"), 10, versions=F.col("versions"))
+
+
 @query("embedded_contents")
 def embedded_contents(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all contents by the default embedder; each different text is embedded once."""

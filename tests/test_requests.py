@@ -81,6 +81,19 @@ def test_vectors_find_contents_without_a_shared_term(spark, monkeypatch):
     assert {r.content_id for r in answers.retrieve(q, docs, answers.RetrievalConfig("vector", False, 5, 2, "said"), stored).collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("method", ["keyword", "bm25", "vector", "hybrid"])
+def test_retrieval_keeps_to_version_and_index(spark, method):
+    docs = spark.createDataFrame(
+        [(1, "warm cache", ["1.42"], "heading-plain"), (2, "warm cache", ["1.41"], "fixed-512"), (3, "a warm cache of disks", ["1.41", "1.42"], "heading-plain"), (4, "warm cache", None, "heading-plain"), (5, "the warm cache again and again", ["1.41"], "heading-plain")],
+        "id long, text string, versions array<string>, index_name string",
+    )
+    q = spark.createDataFrame([("a", "warm cache", "1.41"), ("b", "warm cache", "1.42"), ("c", "warm cache", None)], "question_id string, question string, version string")
+    got = {}
+    for r in answers.retrieve(q, docs, answers.RetrievalConfig(method, False, 2, 2)).collect():
+        got.setdefault(r.question_id, set()).add(r.content_id)
+    assert got == {"a": {3, 5}, "b": {1, 3}, "c": {1, 4}}
+
+
 def test_batches(spark):
     log = [("b1", 1, "submitting", "x", None), ("b1", 2, "submitted", "x", None), ("b1", 3, "settled", "x", None), ("b1", 3, "settled", "y", "overloaded"), ("b2", 1, "submitting", "z", None), ("b2", 2, "submitting", "z", None), ("b3", 1, "rejected", "w", None)]
     df = spark.createDataFrame(log, "batch_id string, seq int, status string, custom_id string, error string")
