@@ -31,6 +31,21 @@ def query_terms(questions: DataFrame, id: str, text: Column) -> DataFrame:
     return rows.select("question_id", F.size("terms").alias("q_len"), F.explode("terms").alias("term"))
 
 
+def all_terms(questions: DataFrame, id: str, text: Column, docs: DataFrame, doc_id: str, doc_text: Column) -> DataFrame:
+    """(question_id, content_id): the AND match, documents that hold every term of a question. A question without terms matches nothing.
+
+    A question meets only the documents of its rarest term, whose term sets decide; a term that no document has matches nothing."""
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("content_id"), F.array_distinct(tokens(doc_text)).alias("terms")).where(F.size("terms") > 0)
+    held = rows.select("content_id", F.explode("terms").alias("term"))
+    asked = query_terms(questions, id, text)
+    wanted = questions.select(F.col(id).alias("question_id"), F.array_distinct(tokens(text)).alias("wanted"))
+    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.join(frequency, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0").select("question_id", F.col("r.term").alias("term"))
+    candidates = rarest.join(held, "term").select("question_id", "content_id")
+    met = candidates.join(wanted, "question_id").join(rows, "content_id")
+    return met.where(F.size(F.array_intersect("wanted", "terms")) == F.size("wanted")).select("question_id", "content_id")
+
+
 def top_k(scored: DataFrame, k: int, by: str = "question_id", score: str = "score", tie: str = "content_id") -> DataFrame:
     """The k best of each group with their rank, ties by id. Each map task keeps k rows of a group (WindowGroupLimit) before they are shuffled."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), tie)

@@ -11,7 +11,7 @@ from loomspark.operators import answers, embedding, search
 from loomspark.operators.rows import latest
 from loomspark.plans.catalog import ANSWERS, CHUNKS, ITEMS, SQL, query
 from loomspark.plans.operations import _PRICES, version_choice
-from loomspark.plans.search import _KEYWORD, _METRICS, _POSTS, _TERMS, _top, covered, questions
+from loomspark.plans.search import _KEYWORD, _METRICS, _POSTS, _QUESTIONS, _TERMS, _top, covered, questions
 from loomspark.operators import metrics
 from loomspark.session import table
 
@@ -63,6 +63,18 @@ def all_terms_match(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("question_id").agg(F.count("*").alias("contents"), F.min("doc").alias("first_id"))
 
 
+_ALL_TERMS = f"(SELECT question_id, doc FROM {_TERMS} t JOIN {_POSTS} p USING (term) GROUP BY question_id, doc HAVING count(*) = max(q_len))"
+
+
+@query("every_term_match", f"SELECT q.question_id, count(m.doc) AS contents, min(m.doc) AS first_id FROM {_QUESTIONS} q LEFT JOIN {_ALL_TERMS} m ON m.question_id = q.question_id GROUP BY q.question_id")
+def every_term_match(spark: SparkSession, d: str) -> DataFrame:
+    """The AND match over all terms of each question; a question without a match has 0 contents."""
+    q = questions(spark, d)
+    matched = search.all_terms(q, "id", F.col("question"), table(spark, d, "contents"), "id", F.col("text"))
+    per = matched.groupBy("question_id").agg(F.count("*").alias("contents"), F.min("content_id").alias("first_id"))
+    return q.select(F.col("id").alias("question_id")).join(per, "question_id", "left").select("question_id", F.coalesce("contents", F.lit(0)).alias("contents"), "first_id")
+
+
 @query("next_ids", f"SELECT split, CAST(max(CAST(split_part(id, '-', 2) AS BIGINT)) + 1 AS BIGINT) AS next_no, count(*) AS items FROM {ITEMS} GROUP BY split")
 def next_ids(spark: SparkSession, d: str) -> DataFrame:
     """Where new ids of a split go on."""

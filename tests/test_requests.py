@@ -94,6 +94,13 @@ def test_retrieval_keeps_to_version_and_index(spark, method):
     assert got == {"a": {3, 5}, "b": {1, 3}, "c": {1, 4}}
 
 
+def test_all_terms_of_a_question_count(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta"), (3, "gamma gamma beta alpha delta"), (4, None)], "id long, text string")
+    q = spark.createDataFrame([("three", "gamma beta alpha beta"), ("one", "Delta"), ("none", "alpha zebra"), ("empty", None)], "question_id string, question string")
+    got = {(r.question_id, r.content_id) for r in search.all_terms(q, "question_id", F.col("question"), docs, "id", F.col("text")).collect()}
+    assert got == {("three", 1), ("three", 3), ("one", 3)}
+
+
 def test_batches(spark):
     log = [("b1", 1, "submitting", "x", None), ("b1", 2, "submitted", "x", None), ("b1", 3, "settled", "x", None), ("b1", 3, "settled", "y", "overloaded"), ("b2", 1, "submitting", "z", None), ("b2", 2, "submitting", "z", None), ("b3", 1, "rejected", "w", None)]
     df = spark.createDataFrame(log, "batch_id string, seq int, status string, custom_id string, error string")
