@@ -24,8 +24,9 @@ PATTERN, BLOCK = 5, 2
 IN_ORDER = 0.45
 #: ... and this share in runs of three words, which single phrases in common and frequent words in order don't reach.
 IN_RUNS = 0.35
-#: Share of a passage that whole patterns must cover before its words are aligned.
-SEEDED = 0.2
+#: Where whole patterns cover less than SEEDED of a passage, or its parts lie farther apart than a window, this share must stand in runs of
+#: three that follow each other in order; phrases strewn over a text don't.
+SEEDED, ORDERED_RUNS = 0.2, 0.4
 #: Words of passages searched for at once; more passages are searched for in several rounds over the corpus.
 WORDS_A_ROUND = 4_000_000
 
@@ -109,12 +110,24 @@ class WuManber:
                 covered[i : i + 3] = True
         return covered.mean()
 
+    def in_ordered_runs(self, item: int, window: list[str]) -> float:
+        """Share of the passage in the best chain of common runs of three words or more that follow each other in both."""
+        passage = self.passages[item]
+        at: dict[tuple, list[int]] = defaultdict(list)
+        for i, run in enumerate(zip(passage, passage[1:], passage[2:])):
+            at[run].append(i)
+        best: dict[tuple[int, int], int] = {}
+        for j, run in enumerate(zip(window, window[1:], window[2:])):
+            for i in at.get(run, ()):
+                before = max((v for (q, p), v in best.items() if q + 3 <= j and p + 3 <= i), default=0)
+                best[j, i] = max(before + 3, best.get((j - 1, i - 1), 0) + 1)
+        return max(best.values(), default=0) / len(passage)
+
     def leaks(self, words: list[str]) -> list[tuple[int, float]]:
         out = []
         for item, hits in self.search(words).items():
             n = len(self.passages[item])
-            if PATTERN * len(hits) < SEEDED * n or len({p + k for p, _ in hits for k in range(PATTERN)}) < SEEDED * n:
-                continue
+            seeded = len({p + k for p, _ in hits for k in range(PATTERN)}) >= SEEDED * n
             best, reach = 0.0, -1
             for p, at in hits:  # in the order of the text
                 if at < reach and best >= 0.5:
@@ -122,9 +135,16 @@ class WuManber:
                 around = max(25, n // 2)
                 window = words[max(0, at - p - around) : at - p + n + around]
                 share = self.aligned(item, window)
-                if share > best and share >= IN_ORDER and self.in_runs(item, window) >= IN_RUNS:
+                if share > best and share >= IN_ORDER and self.in_runs(item, window) >= IN_RUNS and (seeded or self.in_ordered_runs(item, window) >= ORDERED_RUNS):
                     best = share
                 reach = at - p + n
+            if not best and len(hits) > 1:  # parts farther apart than a window: from the first seed to the last, with what may stand around them
+                first, last = hits[0], hits[-1]
+                around = max(25, n // 2)
+                window = words[max(0, first[1] - first[0] - around) : last[1] - last[0] + n + around]
+                share = self.aligned(item, window)
+                if share >= IN_ORDER and self.in_ordered_runs(item, window) >= ORDERED_RUNS:
+                    best = share
             if best:
                 out.append((item, best))
         return out

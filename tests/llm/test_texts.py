@@ -228,3 +228,16 @@ def test_limits_and_rates(spark):
     rates = {r.source: (r.texts, r.cut) for r in truncation.truncation_rates(df).collect()}
     assert rates["limited"] == (300, len(truth)) and rates[""] == (1, 0)
     assert truncation.truncated(df.limit(0)).count() == 0
+
+
+def test_leaks_in_short_or_distant_parts():
+    words = [f"w{i}" for i in range(40)]
+    search = leakage.WuManber({1: words})
+    short = [*words[:4], "x", *words[5:9], "y", *words[10:14], "a", "remark", *words[14:20]]  # two words changed, one remark
+    distant = [*words[:10], *[f"remark{i}" for i in range(60)], *words[10:20]]
+    filler = [f"f{i}" for i in range(200)]
+    for text in (short, distant):
+        assert [item for item, _ in search.leaks(filler + text + filler)] == [1]
+    assert search.leaks(filler + words[:6] + filler + words[20:26] + filler) == []
+    strewn = [*words[30:35], *filler[:20], *words[20:24], *filler[20:40], *words[10:15], *filler[40:60], *words[:4]]
+    assert search.leaks(filler + strewn + filler) == []
