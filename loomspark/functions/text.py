@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomspark.functions.fences import without_comments
+
 #: Words left out of keyword search.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "does", "for", "from", "how", "in", "is", "it", "its", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "why", "with")
 
@@ -85,8 +87,8 @@ def page_title(front_title: Column, link_title: Column, text: Column, path: Colu
 
 
 def tidy(text: Column) -> Column:
-    """No blanks at line ends, no three line ends in a row, one line end last; HTML comments dropped."""
-    t = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    """No blanks at line ends, no three line ends in a row, one line end last; HTML comments of the prose dropped, those in fenced code kept."""
+    t = without_comments(text)
     t = F.regexp_replace(F.regexp_replace(t, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n")
     return F.concat(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit("\n"))
 

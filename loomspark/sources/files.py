@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
@@ -21,10 +21,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def read_jsonl_checked(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, broken lines as file and line text)."""
+    """(good rows, broken lines as file, line_no and line). A line is broken if it isn't JSON of the schema; blank lines are neither.
+
+    Files are split by whole lines and numbered by position within their file: a line's number is its place in its split plus the lines of the file's splits before it."""
+    lines = _numbered_lines(spark, path)
     wide = StructType([*schema.fields, StructField("_corrupt", StringType())])
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    return rows.where("_corrupt is null").select(*schema.fieldNames()), rows.where("_corrupt is not null").select(F.col("_file").alias("file"), F.col("_corrupt").alias("line"))
+    parsed = lines.where(F.trim("line") != "").withColumn("_r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull()
+    return parsed.where(~bad).select(*[F.col("_r")[f].alias(f) for f in schema.fieldNames()]), parsed.where(bad).select("file", "line_no", "line")
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, line numbers from 1. Only the counts of each file's splits are summed over a window."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    splits = read.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = splits.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return read.join(before, ["file", "_start"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -34,8 +46,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 def read_pages(spark: SparkSession, root: str, pattern: str = "*.md", excluded: tuple[str, ...] = ()) -> DataFrame:
     """(path, text) of all files below root whose names match, each file one row; paths are relative to root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    base = root.rstrip("/")
-    rows = files.select(F.regexp_replace(F.col("path"), r"^.*?" + base.replace(".", r"\.") + "/", "").alias("path"), F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+    base = root.rstrip("/").rsplit("://", 1)[-1] + "/"  # a file's path goes on after the folder's, whatever scheme stands in front
+    rows = files.select(F.col("path").substr(F.locate(base, F.col("path")) + len(base), F.length("path")).alias("path"), F.decode(F.col("content"), "UTF-8").alias("text"))
     for prefix in excluded:
         rows = rows.where(~F.startswith("path", F.lit(prefix)))
     return rows

@@ -26,8 +26,12 @@ def once(events: DataFrame, ts: str, key: list[str], late: str = "2 hours") -> D
     return events.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late).dropDuplicatesWithinWatermark(key).drop("_t")
 
 
-def limited(requests: DataFrame, client: str, ts: str, id: str, most: int, seconds: int) -> DataFrame:
-    """(client, id, admitted): the stream twin of the batch limiter. A client's state is its last `most` admitted times, and is dropped when the window has passed."""
+def limited(requests: DataFrame, client: str, ts: str, id: str, most: int, seconds: int, late: str = "2 hours") -> DataFrame:
+    """(client, id, admitted): the stream twin of the batch limiter. A client's state is its last `most` admitted times, and is dropped when the watermark has
+    passed the window of the last one.
+
+    Requests are decided as they come, those of one micro-batch in the order of their time: what came in order is decided as the batch twin does; a
+    request that comes after later ones of its client meets the state that those left. Requests later than the watermark are left out."""
     kinds = dict(requests.dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -35,20 +39,21 @@ def limited(requests: DataFrame, client: str, ts: str, id: str, most: int, secon
             state.remove()
             return
         recent = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["_t", id])
+        pdf = pd.concat(list(batches)).sort_values(["_s", id])
         flags = []
-        for t in pdf["_t"]:
+        for t in pdf["_s"]:
             recent = [r for r in recent if r > t - seconds]
             ok = len(recent) < most
             if ok:
                 recent.append(float(t))
             flags.append(ok)
         state.update((recent,))
-        state.setTimeoutDuration(seconds * 1000)
+        ends = max(recent, default=float(pdf["_s"].max())) + seconds
+        state.setTimeoutTimestamp(max(int(ends * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({client: [key[0]] * len(pdf), id: pdf[id].tolist(), "admitted": flags})
 
-    rows = requests.select(client, id, F.col(ts).cast("timestamp").cast("double").alias("_t"))
-    return rows.groupBy(client).applyInPandasWithState(step, f"{client} {kinds[client]}, {id} {kinds[id]}, admitted boolean", "recent array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select(client, id, F.col(ts).cast("timestamp").alias("_t")).withColumn("_s", F.col("_t").cast("double")).withWatermark("_t", late)
+    return rows.groupBy(client).applyInPandasWithState(step, f"{client} {kinds[client]}, {id} {kinds[id]}, admitted boolean", "recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, line: Callable[[DataFrame], DataFrame] = lambda df: df):
