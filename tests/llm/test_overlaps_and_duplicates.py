@@ -26,7 +26,9 @@ def test_words_are_runs_of_letters_or_digits():
     assert words(None) == words("") == words("-- _") == []
 
 
-def test_cross_split_equals_brute_force(spark):
+@pytest.mark.parametrize("sent", [1 << 25, 0])
+def test_cross_split_equals_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(cross_split, "SENT_MOST", sent)
     rng = random.Random(3)
     rows = []
     for i in range(240):
@@ -55,6 +57,24 @@ def test_cross_split_edge_cases(spark):
     assert cross_split.cross_split_overlaps(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 50, 100])
+def test_pairs_and_single_words_lose_nothing(monkeypatch, percent):
+    monkeypatch.setattr(cross_split, "PAIRS_MOST", 6)
+    rng = random.Random(percent)
+    texts = [" ".join(rng.choice(WORDS[:12]) for _ in range(rng.randrange(0, 14))) for _ in range(500)]
+    often = np.array([rng.randrange(9) for _ in range(cross_split.COUNT_BUCKETS)])
+    index = cross_split._Evaluation(texts[:200], often, percent)
+    got = {(a, b) for a, b in zip(*(x.tolist() for x in index.hits(cross_split.records(texts[200:], often))))}
+    want = {(a, b) for a, t in enumerate(texts[200:]) for b, e in enumerate(texts[:200]) if cross_split.containment(Counter(words(t)), Counter(words(e)), percent) is not None}
+    assert want <= got and len(want) > 5
+
+
+def test_the_last_loaded_row_counts(spark):
+    rows = [("a", "train", "one two three", "o", "2031-01-01"), ("a", "train", "four five", "o", "2031-01-02"), ("b", "dev", "one two three", "o", "2031-01-01"), ("c", "train", "four five", "o", "2031-01-01"), ("c", "dev", "four five", "o", "2031-01-03"), ("d", "test", "one", "o", "2031-01-01"), ("d", "test", None, "o", "2031-01-02"), ("e", "train", "one", "o", "2031-01-01")]
+    df = spark.createDataFrame(rows, "id string, split string, question string, origin string, t string").selectExpr("*", "cast(t as timestamp) as loaded_at")
+    assert {(r.id_train, r.id_eval) for r in cross_split.cross_split_overlaps(df).collect()} == {("a", "c")}
+
+
 def brute_groups(rows):
     shingle = {}
     for i, g, t in rows:
