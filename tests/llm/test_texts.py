@@ -49,9 +49,11 @@ def test_oversized_items(spark):
 # ---- 5
 
 
-@pytest.mark.parametrize("text,family", markup.LABELLED)
-def test_labelled_texts(text, family):
-    assert markup.families_of(text) == [f for f in markup.FAMILIES if f in family.split()]
+@pytest.mark.parametrize("text,label", markup.LABELLED)
+def test_labelled_texts(text, label):
+    blocks = markup.blocks_of(text)
+    labels = label.split("|") if "|" in label else [label] * len(blocks)
+    assert markup.families_of(text) == [f for f in markup.FAMILIES if any(f in own.split() for own in labels)]
 
 
 HELD_OUT = [
@@ -66,6 +68,64 @@ def test_held_out_texts(text, family):
     assert markup.families_of(text) == [f for f in markup.FAMILIES if f in family.split()]
 
 
+#: Texts whose blocks need their neighbours, apart from the table that the tree is grown from.
+HELD_BLOCKS = (
+    ("Keep it <em>warm</em> now.\n\nA plain block of words.\n\nAnd <b>cold</b>.", "html||html"),
+    ("Before it words of text go on and on about the owner.\n\nwhile a <i and j> b holds, the queue of the owner is drained by the worker\n\nAfter it words of text go on.", "||"),
+    ("Text says R&D and Q&A are kept.\n\nAll the rest is plain.", "|"),
+    ("**Owners** and [queues](/q/)\n\n* one\n* two\n\n[More](/m/) of it", "markdown|markdown|markdown"),
+    ("A long plain text about owners and queues and their sizes.\n\n* one\n* two\n\nA long plain text about caches and their owners.", "||"),
+    ("The hook is __enter__ and then __exit__ in each of the classes here.", ""),
+    ("The cost is 5*n plus n*2 for each of the owners that hold a queue here.", ""),
+    ("[[Queue]] [[Owner]]\n\n* Cache\n\n'''Sizes''' of all", "wiki|wiki|wiki"),
+    ("Helm writes {{ .Release.Name }} there.\n\nThen it is used.", "|"),
+    ("In a loop {{ host }} is set by the tool to each of the names of the list.", ""),
+    ("The test a == b fails and so does b == c in most of the runs of it.", ""),
+    ("\\textbf{Sizes}\n\nup to 5\\% \\dots\n\n\\emph{more}", "latex|latex|latex"),
+    ("Use \\t for a tab in the pattern.\n\nAnd no more than that.", "|"),
+    ("A path like E:\\temp\\file is read by the loader of that system.", ""),
+    ("[A](/a/) [B](/b/) [C](/c/)\n\n+ D\n\nMany plain words stand here about a queue and its owner and more.", "markdown|markdown|"),
+    ("Many plain words stand here about a <i>queue</i> and its owner and about more of them than one can say.\n\nSo if a <b or c> d and R&D agree, the owner of the queue says so to all of the other owners.", "html|"),
+    ("Many plain words stand here about [a queue](/q/) and its owner and about more of them than one can say.\n\nIt grows by 4*n or by m*2 in each of the rounds of the loop, as the owner of the queue says to all.", "markdown|"),
+    ("[Up](/up/)\n\n+ Sizes\n\nMany plain words stand here about a queue and its owner.", "markdown|markdown|"),
+    ("Many plain words about [a queue](/q/) stand here for its owner.\n\n+ Sizes\n\nMany plain words stand here about a queue and its owner.", "markdown||"),
+    ("[[Up]]\n\n* Sizes\n\nMany plain words stand here about a queue and its owner.", "wiki|wiki|"),
+    ("Many plain words about a [[queue]] stand here for its owner.\n\n* Sizes\n\nMany plain words stand here about a queue and its owner.", "wiki||"),
+    ("Said ``so'' by the owner of the queue.\n\nNothing more was said then.", "|"),
+    ("> quoted by someone\n\n| x | y |\n| 1 | 2 |\n\n~~old~~ new", "markdown|markdown|markdown"),
+    ("The output was | a | b | in the log of the run.\n\n| c | d and more of the words that the log of the run had in it on that day |\n\nEnd.", "||"),
+)
+
+
+def accuracy(tree, table):
+    got = [(markup.classify(tree, row), own) for f in markup.FAMILIES for row, own in zip(*markup.rows_of(table, f))]
+    return sum(a == b for a, b in got) / len(got)
+
+
+def test_held_out_accuracy():
+    tree, one_test = markup.train(), markup.train(depth=1)
+    assert accuracy(tree, HELD_BLOCKS) >= 0.95 > accuracy(one_test, HELD_BLOCKS)
+
+    def used(t):
+        return {markup.FEATURES[t.feature]} | used(t.below) | used(t.above) if not isinstance(t, int) else set()
+
+    assert used(tree) & {"words_before", "words_after", "words"} and used(tree) & {"links", "links_before", "links_after"} and "strong_near" in used(tree)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["def __init__(self): ...", "name: {{ .Values.name }}", "if x <b and y> c then", "say &copy in plain, AT&T and R&D", "* one\n* two", "C:\\new\\item", "a == b", "`**x**` and `<b>`", "Write <your-token> here & there", "x.__dict__ or __name__"],
+)
+def test_plain_text_is_left_alone(text):
+    assert markup.clean(text) == text and markup.families_of(text) == []
+
+
+def test_only_residue_changes():
+    text = "Plain * text & more.\n\nA **bold** word and __init__ here.\n\nname: {{ .Values.name }}\n\n<p>if a <b and c> d &copy x &amp; y</p>"
+    assert markup.clean(text) == "Plain * text & more.\n\nA bold word and __init__ here.\n\nname: {{ .Values.name }}\n\nif a <b and c> d &copy x & y"
+    assert markup.clean("<pre>\na\n\nb\n</pre>") == "```\na\n\nb\n```" and markup.clean("<!-- a\n\nb -->c") == "c"
+
+
 def test_clean_text_keeps_structure():
     text = "<h2>Head</h2>\n\n<ul><li>one</li><li><b>two</b></li></ul>\n\n```py\nx = '**a**' # [[b]]\n```\n\n\\[ a_1 = 2 \\] and '''bold''' [link](/x/) `<b>`\n\nTitle\n=====\n\n{| class=\"x\"\n! a !! b\n|-\n| 1 || 2\n|}"
     out = markup.clean(text)
