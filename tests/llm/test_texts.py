@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspark.llm import bpe, leakage, markup, pair_defects, splitting, truncation
+from loomspark.llm import bpe, languages, leakage, markup, pair_defects, splitting, truncation
 
 NO_COUNTS = (np.zeros(truncation.BUCKETS, np.int64), np.zeros(truncation.BUCKETS, np.int64))
 
@@ -167,9 +167,61 @@ def test_declining_what_cannot_be_answered_is_right():
     assert pair_defects.defect(None, GOOD, None, None, *NO_COUNTS) is None
 
 
-def test_pushdown_and_tiling():
-    assert pair_defects.open_structures("a (b [c") == ["(", "["] and pair_defects.open_structures("```\n(\n```") == [] and pair_defects.open_structures('say "x') == ['"'] and pair_defects.open_structures("`(`") == []
-    assert pair_defects.tiling("a b c d e".split(), "x a b c y c d e".split()) == 3 and pair_defects.tiling([], ["a"]) == 0
+@pytest.mark.parametrize(
+    "text,left",
+    [
+        ("a (b [c", ["(", "["]), ("```\n(\n```", []), ('say "x', ['"']), ("`(`", []), ("<table><tr><td>one", ["<table"]), ("<ul><li>x</ul> <b>y", ["<b"]), ("Use <your-name> (so)", []), ("\\begin{itemize}\n\\item x", ["\\begin{itemize}"]), ("\\begin{a}(\\end{a}", []), ("Steps:", ["list"]), ("Steps:\n\n- one", []), ("- one\n-", ["item"]),
+        ("1. one\n2. ", ["item"]), ("<!-- a (b", ["<!--"]), ("~~~\nx", ["~~~"]), ("It is $$x", ["$$"]), ("", []), ("a `b\n\nc", []), ("“a „b” c”", []),
+    ],
+)
+def test_pushdown(text, left):
+    assert pair_defects.open_structures(text) == left
+
+
+def test_tiling():
+    a, b = pair_defects.tiling("a b c d e".split(), "x a b c y c d e".split(), 3)
+    assert a.tolist() == [True, True, True, False, False] and b.sum() == 3
+    assert pair_defects.tiling([], ["a"])[1].sum() == 0
+    assert pair_defects.tiling("a b c".split(), "a b c a b c".split(), 3)[1].sum() == 3 and pair_defects.tiling("a b c".split(), "a b c a b c".split(), 3, True)[1].all()
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        (f"Question: {Q}\nAnswer: {Q}", True), (f"{Q} {Q}", True), (Q.replace("warm", "wram").replace("owners", "ownres"), True), (" ".join(reversed(Q.split())), False), (f"{Q} Only its first owner may do that. [1]", False), ("silent-queue-3", False),
+    ],
+)
+def test_copies(answer, want):
+    assert pair_defects.copies_question(Q, answer) == want
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        ("Unfortunately this is not covered by what I was given.", True), ("The model declined to answer this question.", True), ("I'm sorry, but the sources provided don't mention it.", True), ("Sorry, I can't help with that.", True), ("As an AI language model, I cannot answer this.", True), ("After reading the excerpts: the documentation I was given says nothing about it.", True),
+        ("There isn't enough information in the context.", True), ("None of the passages mention that flag.", True), ("It's unclear from the documents.", True), ("I wasn't able to find an answer.", True), ("We do not have sufficient data to say.", True), ("That question is outside the scope of the documentation.", True), ("Leider kann ich das nicht beantworten.", True), ("Lo siento, no puedo responder.", True), ("Je ne sais pas.", True),
+        ("You cannot warm a cache once it is set.", False), ("The probe is unable to release proxies until it is unbound.", False), ("Sorry to say, oldName was removed in 1.42; use newName.", False), ("The excerpt on q-3 says that ports can't be mounted without it; set it.", False), ("No image is validated while the probe is manual.", False), ("This is not a cache but a queue.", False), ("I set the flag first.", False), ("There are no caches in a queue.", False), ("", False),
+    ],
+)
+def test_refusals(answer, want):
+    assert pair_defects.is_refusal(answer) == want
+
+
+@pytest.mark.parametrize(
+    "lang,text",
+    [
+        ("pl", "Pamięć podręczna jest zastępowana po trzech minutach i nie jest już ciepła."), ("tr", "Önbellek üç dakika sonra yenisiyle değiştirilir ve artık sıcak değildir."), ("sv", "Cachen ersätts efter tre minuter och är inte längre varm."), ("fi", "Välimuisti korvataan kolmen minuutin kuluttua eikä se ole enää lämmin."), ("hu", "A gyorsítótár három perc után cserélődik, és már nem meleg."),
+        ("ro", "Memoria cache este înlocuită după trei minute și nu mai este caldă."), ("id", "Cache diganti setelah tiga menit dan tidak lagi hangat."), ("nl", "De cache wordt na drie minuten vervangen en is niet meer warm."), ("it", "La memoria viene sostituita dopo tre minuti e non è più calda."), ("fr", "Le cache est remplacé après trois minutes et il n'est plus chaud."), ("de", "Der Speicher wird nach drei Minuten ersetzt und ist nicht mehr warm."),
+        ("es", "La memoria se reemplaza después de tres minutos y ya no está caliente."), ("vi", "Bộ nhớ đệm được thay thế sau ba phút và không còn ấm nữa."), ("cyrillic", "Кэш заменяется через три минуты и больше не тёплый."), ("arabic", "يتم استبدال ذاكرة التخزين المؤقت بعد ثلاث دقائق."),
+    ],
+)
+def test_languages_that_no_rule_names(lang, text):
+    assert languages.language(text) == lang and languages.differ(Q, text) and not languages.differ(text, text)
+
+
+@pytest.mark.parametrize("text", [GOOD, "Yes.", "`someName`", "The cache of silent-queue-3 is warmed.", "kubectl get pods --all", "Users detach a degraded buffer. [3]", ""])
+def test_english_stays_english(text):
+    assert not languages.differ(Q, text)
 
 
 def test_pairs_table(spark):
