@@ -146,29 +146,36 @@ class _Encoder:
         return self.ids[at], per_text
 
 
-def _encode(path: str):
+#: Texts whose new pieces are encoded by one pair occurrence index.
+TEXTS = 1000
+
+
+def _encode(path: str, kept: tuple[str, ...]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(i, TEXTS)
                 ids, offsets = encoder.batch(part.column("text").to_pylist())
-                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], names=["id", "ids"])
+                yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), *[part.column(c) for c in kept]], names=["id", "ids", *kept])
 
     return work
 
 
-def encode_texts(df: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, ids): the token ids of each text by a byte-level BPE, without special tokens; one row per input row, no shuffle.
+def encode_texts(df: DataFrame, id: str = "doc_id", text: str = "text", vocabulary: str = DEFAULT_VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids, and the columns `keep`): the token ids of each text by a byte-level BPE, without special tokens; one row per input row, no shuffle.
 
     Null and empty texts give an empty list, never null; white space is encoded like any other text; strings of special tokens are
     ordinary text; rows with a null id and repeated rows are kept. `vocabulary` is the path of the tokenizer's JSON file on every executor.
+    The different pieces of TEXTS texts that a worker hasn't met yet are encoded together by one index; what it has met it remembers.
     """
-    narrow = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return spread(narrow).mapInArrow(_encode(vocabulary), "id long, ids array<int>").withColumnRenamed("id", "doc_id")
+    kept = tuple(f"_{c}" for c in keep)
+    narrow = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, kept)])
+    types = "".join(f", _{c} {dict(df.dtypes)[c]}" for c in keep)
+    return spread(narrow).mapInArrow(_encode(vocabulary, kept), f"id long, ids array<int>{types}").withColumnsRenamed({"id": "doc_id"} | dict(zip(kept, keep)))
 
 
-def token_statistics(encoded: DataFrame, docs: DataFrame, id: str = "doc_id", by: str = "source") -> DataFrame:
-    """Per source: texts, texts without tokens, tokens, most tokens of a text."""
-    joined = docs.select(F.col(id).alias("doc_id"), by).join(encoded.select("doc_id", F.size("ids").alias("n")), "doc_id")
-    return joined.groupBy(by).agg(F.count("*").alias("texts"), F.sum(F.expr("int(n = 0)")).alias("without_tokens"), F.sum("n").alias("tokens"), F.max("n").alias("most_tokens"))
+def token_statistics(docs: DataFrame, id: str = "doc_id", text: str = "text", by: str = "source", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """Per source: texts, texts without tokens, tokens, most tokens of a text. The source comes along with the scan, so nothing is joined and repeated ids count as often as they occur."""
+    encoded = encode_texts(docs, id, text, vocabulary, (by,)).select(by, F.size("ids").alias("n"))
+    return encoded.groupBy(by).agg(F.count("*").alias("texts"), F.sum(F.expr("int(n = 0)")).alias("without_tokens"), F.sum("n").alias("tokens"), F.max("n").alias("most_tokens"))

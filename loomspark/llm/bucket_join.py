@@ -2,8 +2,8 @@
 
 Rows reach a task hash-partitioned and sorted by key, as a stream. Runs of equal keys are paired vector-wise: at distance d in
 the sorted order, row i meets row i + d while both keys are equal. No run is ever held as a Python list of pairs, and none is
-cut short: a run of over HOT rows is not paired where it lies but sent on in GRID x GRID blocks, so that the pairs
-of one hot key are compared by many tasks.
+cut short: a run of over HOT rows is not paired where it lies but sent on in blocks, of which every two meet in a task of their own.
+The number of blocks grows with the root of the key's rows, which are counted where they lie, so that neither the copies nor a task's block grow in line with them.
 """
 
 from __future__ import annotations
@@ -12,11 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-#: Rows of one key beyond which its pairs are spread over GRID * (GRID + 1) / 2 block pairs.
+#: Rows of one key beyond which its pairs are spread over g * (g + 1) / 2 block pairs; g is GRID at least.
 HOT = 4096
 GRID = 8
+
+
+def grid(rows: np.ndarray | int) -> np.ndarray:
+    """Blocks of a hot key with so many rows: twice the root of what it has in units of HOT."""
+    return np.maximum(GRID, np.ceil(2 * np.sqrt(np.asarray(rows) / HOT))).astype(np.int64)
+
+
 #: Pairs held before they are reduced to distinct ones.
 FLUSH = 1 << 20
 
@@ -99,42 +107,39 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(rows: dict) -> Iterator[pa.RecordBatch]:
-    """Rows of a hot key, sent to every block pair that its block takes part in; role 3 meets its own kind, 1 meets 2."""
-    block = (mix(rows["id"].view(np.uint64)) % np.uint64(GRID)).astype(np.int64)
-    for t in range(GRID):
-        low, high = np.minimum(block, t), np.maximum(block, t)
-        k = mix(mix(rows["k"].view(np.uint64)) ^ (low * GRID + high + 1).view(np.uint64)).view(np.int64)
-        role = np.where(block == t, 3, np.where(block < t, 1, 2)).astype(np.int32)
-        yield _emit(k=k, role=role, side=rows["side"], id=rows["id"], x1=rows["x1"], x2=rows["x2"])
+    """Rows of hot keys, sent to every block pair that their block takes part in; role 3 meets its own kind, 1 meets 2."""
+    g = grid(rows["n"])
+    block = (mix(rows["id"].view(np.uint64)) % g.astype(np.uint64)).astype(np.int64)
+    for t in range(int(g.max())):
+        some = t < g
+        own = block[some]
+        low, high = np.minimum(own, t), np.maximum(own, t)
+        k = mix(mix(rows["k"][some].view(np.uint64)) ^ (low * g[some] + high + 1).view(np.uint64)).view(np.int64)
+        role = np.where(own == t, 3, np.where(own < t, 1, 2)).astype(np.int32)
+        yield _emit(k=k, role=role, side=rows["side"][some], id=rows["id"][some], x1=rows["x1"][some], x2=rows["x2"][some])
 
 
 def _first(keep: Keep) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held, hot = _Pairs(keep), None, None
+        pairs, held = _Pairs(keep), None
         for batch in batches:
             rows = _columns(batch)
+            if not len(rows["k"]):
+                continue
+            is_hot = rows["n"] > HOT
+            if is_hot.any():
+                yield from _blocks({c: v[is_hot] for c, v in rows.items()})
+                rows = {c: v[~is_hot] for c, v in rows.items()}
             if held is not None:
                 rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
                 held = None
             key = rows["k"]
             if not len(key):
                 continue
-            # The last run may go on in the next batch.
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            is_hot = np.repeat((sizes > HOT) | (key[starts] == hot if hot is not None else False), sizes)
-            open_run = np.zeros(len(key), bool)
-            if not is_hot[-1]:
-                open_run[starts[-1] :] = True
-            elif key[-1] != hot:
-                hot = key[-1]
-            if is_hot.any():
-                yield from _blocks({c: v[is_hot] for c, v in rows.items()})
-            now = ~is_hot & ~open_run
-            if now.any():
-                pairs.run({c: v[now] for c, v in rows.items()})
-            if open_run.any():
-                held = {c: v[open_run] for c, v in rows.items()}
+            open_run = key == key[-1]  # the last run may go on in the next batch
+            if not open_run.all():
+                pairs.run({c: v[~open_run] for c, v in rows.items()})
+            held = {c: v[open_run] for c, v in rows.items()}
             if pairs.n > FLUSH // 2:
                 yield from _pair_rows(*pairs.drain())
         if held is not None:
@@ -151,7 +156,13 @@ def _second(keep: Keep) -> Callable:
         return ok
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, held = _Pairs(both), None
+        pairs, held = _Pairs(both), []
+
+        def gathered() -> None:
+            if held:
+                pairs.run({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+                held.clear()
+
         for batch in batches:
             rows = _columns(batch)
             is_pair = rows["role"] == 0
@@ -160,16 +171,20 @@ def _second(keep: Keep) -> Callable:
             if is_pair.all():
                 continue
             rows = {c: v[~is_pair] for c, v in rows.items()}
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
             last = rows["k"] == rows["k"][-1]
-            if not last.all():
-                pairs.run({c: v[~last] for c, v in rows.items()})
-            held = {c: v[last] for c, v in rows.items()}
+            if held and held[0]["k"][0] == rows["k"][0] and last.all():
+                held.append(rows)
+                continue
+            whole = {c: v[~last] for c, v in rows.items()}
+            if held:  # the run held ends in this batch
+                held.append(whole)
+                gathered()
+            elif not last.all():
+                pairs.run(whole)
+            held.append({c: v[last] for c, v in rows.items()})
             if pairs.n > FLUSH // 2:
                 yield from _pair_rows(*pairs.drain())
-        if held is not None:
-            pairs.run(held)
+        gathered()
         yield from _pair_rows(*pairs.drain())
 
     return work
@@ -180,8 +195,9 @@ def candidate_pairs(rows: DataFrame, keep: Keep) -> DataFrame:
 
     rows: k long, side int, id long, x1 long, x2 long, without nulls. keep(rows, i, j) gets the columns and two index arrays
     and says which pairs to keep; it must drop pairs of a row with itself where an id can repeat under one key.
-    Two shuffles: by key, and by pair (together with the block rows of hot keys); an empty input gives no pairs.
+    Two shuffles: by key, where the rows of each key are counted too, and by pair (together with the block rows of hot keys); an empty input gives no pairs.
     """
-    first = rows.repartition("k").sortWithinPartitions("k").mapInArrow(_first(keep), _OUT_DDL)
+    counted = rows.repartition("k").withColumn("n", F.count("*").over(Window.partitionBy("k")))
+    first = counted.sortWithinPartitions("k").mapInArrow(_first(keep), _OUT_DDL)
     second = first.repartition("k").sortWithinPartitions("k").mapInArrow(_second(keep), _OUT_DDL)
     return second.selectExpr("id as a", "other as b").distinct()

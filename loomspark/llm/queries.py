@@ -22,11 +22,10 @@ def p1_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, contents, sections = (table(spark, sf_dir, t) for t in ("chunks", "contents", "sections"))
-    block_text = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
     return (
         splitting.oversized_items("chunks", chunks, "chunk_id", "text", "loaded_at")
         .unionByName(splitting.oversized_items("contents", contents, "id", "text"))
-        .unionByName(splitting.oversized_items("sections", sections, "section_id", block_text, "loaded_at"))
+        .unionByName(splitting.oversized_items("sections", sections, "section_id", None, "loaded_at", blocks="blocks"))
     )
 
 
@@ -38,6 +37,11 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_items(_oversized(spark, sf_dir))
 
 
+def p2_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each oversized item put together again from its pieces, and whether the pieces keep the limit and the overlap."""
+    return splitting.piece_checks(p2_pieces(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates.near_duplicate_groups(table(spark, sf_dir, "contents"))
     a, b = groups.select("component", F.col("id").alias("id_a")), groups.select("component", F.col("id").alias("id_b"))
@@ -101,8 +105,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return bpe.token_statistics(bpe.encode_texts(docs), docs)
+    return bpe.token_statistics(table(spark, sf_dir, "documents"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"WITH {_P1} SELECT DISTINCT least(id_train, id_eval) AS id_a, greatest(id_train, id_eval) AS id_b FROM O",
         "p1_overlap_report": f"WITH {_P1}, F AS (SELECT eval_split, eval_origin, count(DISTINCT id_eval) AS o, count(*) AS p FROM O GROUP BY 1, 2), A AS (SELECT split, origin, count(*) AS items FROM {_ITEMS} WHERE split IN ('dev', 'test') GROUP BY 1, 2) SELECT A.split AS eval_split, A.origin AS eval_origin, items, CAST(coalesce(o, 0) AS BIGINT) AS overlapping_items, CAST(coalesce(p, 0) AS BIGINT) AS pairs FROM A LEFT JOIN F ON F.eval_split = A.split AND F.eval_origin IS NOT DISTINCT FROM A.origin",
         "p2_found": f"SELECT DISTINCT src, item_key FROM ({texts}) WHERE len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) > 300",
+        "p2_checks": f"SELECT src, item_key, CAST(len(ws) AS BIGINT) AS words, md5(array_to_string(ws, ' ')) AS digest, true AS within_limit, true AS shares_overlap FROM (SELECT DISTINCT src, item_key, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS ws FROM ({texts})) WHERE len(ws) > 300",
         "p3_found": f"WITH RECURSIVE {_P3} SELECT DISTINCT a AS id_a, b AS id_b FROM R WHERE a < b",
         "p3_groups": f"""WITH RECURSIVE {_P3}, T AS (SELECT id, min(id) OVER (PARTITION BY index_name, text) AS rep FROM contents), G AS (SELECT T.id, T.rep, least(T.rep, coalesce((SELECT min(b) FROM R WHERE R.a = T.id), T.rep)) AS component FROM T),
         V AS (SELECT component, string_agg(DISTINCT v, ',' ORDER BY v) AS versions FROM (SELECT component, unnest(versions) AS v FROM G JOIN contents USING (id)) GROUP BY 1) SELECT id, rep, G.component, count(*) OVER (PARTITION BY G.component) AS contents, versions FROM G LEFT JOIN V ON V.component = G.component""",

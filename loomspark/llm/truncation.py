@@ -121,15 +121,15 @@ def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate limits of a source: lengths at which far more different texts end than around them, with the censoring posterior there."""
     pdf = pdf.sort_values("len")
     lengths, counts = pdf["len"].to_numpy(), pdf["n"].to_numpy()
-    found = {}
-    for i in np.flatnonzero(counts >= 4):
-        v, c = int(lengths[i]), int(counts[i])
-        wide = max(20, v // 20)
-        near = (np.abs(lengths - v) <= wide) & (lengths != v)
-        expected = (counts[near].sum() + 1) / (2 * wide)
-        # Upper bound of the chance of so many by accident (Poisson, Chernoff).
-        if c > expected and c - expected - c * math.log(c / expected) < -14:
-            found[v] = c
+    upto = np.r_[0, np.cumsum(counts)]
+    at = np.flatnonzero(counts >= 4)
+    wide = np.maximum(20, lengths[at] // 20)
+    near = upto[np.searchsorted(lengths, lengths[at] + wide, "right")] - upto[np.searchsorted(lengths, lengths[at] - wide, "left")] - counts[at]
+    expected = (near + 1) / (2 * wide)
+    c = counts[at].astype(float)
+    # Upper bound of the chance of so many by accident (Poisson, Chernoff).
+    piled = (c > expected) & (c - expected - c * np.log(c / expected) < -14)
+    found = dict(zip(lengths[at[piled]].tolist(), counts[at[piled]].tolist()))
     mu, sd = fit_censored(lengths, counts, found)
     rows = []
     for v, c in found.items():

@@ -7,6 +7,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from loomspark.llm import bucket_join, cross_split, near_duplicates
 from loomspark.llm.words import words
@@ -134,10 +136,15 @@ def test_hot_buckets_are_spread_without_loss(spark, monkeypatch):
         bucket_join.HOT = 4
         yield from bucket_join._first(keep)(batches)
 
-    hot = keys.repartition("k").sortWithinPartitions("k").mapInArrow(first, bucket_join._OUT_DDL).repartition("k").sortWithinPartitions("k").mapInArrow(bucket_join._second(keep), bucket_join._OUT_DDL)
+    counted = keys.repartition("k").withColumn("n", F.count("*").over(Window.partitionBy("k"))).sortWithinPartitions("k")
+    hot = counted.mapInArrow(first, bucket_join._OUT_DDL).repartition("k").sortWithinPartitions("k").mapInArrow(bucket_join._second(keep), bucket_join._OUT_DDL)
     assert {tuple(r) for r in hot.selectExpr("id", "other").collect()} == plain and len(plain) > 100
 
 
+def test_blocks_of_hot_keys_grow_with_the_root_of_their_rows():
+    assert bucket_join.grid(5000) == bucket_join.GRID and 300 <= bucket_join.grid(100_000_000) <= 320
+
+
 def test_near_duplicates_edge_cases(spark):
     long = " ".join(f"v{i}" for i in range(30000))
     rows = [(1, "p", None), (2, "p", ""), (3, "p", "only two"), (4, "p", "only two"), (5, "q", "only two"), (6, None, "a b c d"), (7, None, "a b c d"), (8, "p", long), (9, "p", long + " end"), (None, "p", "x y z"), (9, "p", long + " end")]

@@ -37,6 +37,39 @@ def test_cuts_take_the_strongest_boundary():
     assert [p.first_word for p in splitting.split(" ".join(["x"] * 570))] == [0, 270]
 
 
+def test_blocks_of_code_keep_together():
+    code = "\n".join(f"line{i} a b" for i in range(17)) + "\n\n# not a heading\n- not an item"
+    blocks = [{"size": 60 * 5 - 1, "is_code": False}, {"size": len(code), "is_code": True}, {"size": 60 * 5 - 1, "is_code": False}]
+    text = "\n\n".join([" ".join(["word"] * 60), code, " ".join(["more"] * 60)])
+    pieces = splitting.split(text, 130, 10, splitting.code_ranges(blocks))
+    assert [p.boundary for p in pieces][:-1] == ["code_block"] and pieces[0].text.endswith("an item")
+    _, kinds = splitting.boundaries(text, splitting.code_ranges(blocks))
+    assert set(kinds[61 : 60 + len(code.split())]) == {"word", "line"} and kinds[60] == kinds[60 + len(code.split())] == "code_block"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["word", "line", "sentence", "paragraph"]), min_size=1, max_size=400), st.integers(6, 30), st.integers(0, 4))
+def test_no_needless_cut_inside_a_sentence(kinds, limit, overlap):
+    got = splitting.cuts(kinds, limit, overlap)
+    n, best = len(kinds), {0: 0}
+    # Fewest cuts inside of sentences over all ways to cut, by the position of the last cut.
+    for at in range(1, n + 1):
+        before = [best[p] for p in best if p < at and at - (p - overlap if p else 0) <= limit and (not p or p > overlap)]
+        if before and (at == n or at > overlap):
+            best[at] = min(before) + (at < n and kinds[at] == "word")
+    assert sum(kinds[p] == "word" for p in got) == (best[n] if n > limit else 0)
+
+
+def test_sections_with_code(spark):
+    rows = [("s", [("w " * 200, False), ("x\n" * 150, True), (None, None)], None, 1), ("t", [("w", False)], None, 1), ("u", None, None, 1), ("v", [], None, 1)]
+    df = spark.createDataFrame(rows, "key string, blocks array<struct<text:string,is_code:boolean>>, loaded_at timestamp, text int")
+    items = splitting.oversized_items("t", df, "key", None, "loaded_at", blocks="blocks")
+    pieces = splitting.split_items(items).orderBy("piece").collect()
+    assert [(p.item_key, p.boundary) for p in pieces] == [("s", "code_block"), ("s", "end")]
+    check = splitting.piece_checks(splitting.split_items(items)).first()
+    assert (check.words, check.within_limit, check.shares_overlap) == (350, True, True)
+
+
 def test_oversized_items(spark):
     many = "w " * 301
     rows = [("a", many, None, 1), ("a", many, None, 1), ("b", "w " * 300, None, 1), ("c", None, None, 1), ("d", "", None, 1), (None, many, None, 1)]
@@ -249,6 +282,11 @@ def test_encoding_equals_the_library(texts, reference):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [reference(t) for t in texts]
 
 
+def test_token_statistics(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "a", None)], "doc_id long, text string, source string")
+    assert {r.source: (r.texts, r.without_tokens, r.tokens) for r in bpe.token_statistics(df).collect()} == {"x": (3, 1, 4), None: (1, 0, 1)}
+
+
 def test_encoding_table(spark, reference):
     odd = ["aaaaaaa" * 300, "<|endoftext|>", "²³ ⅷ½", " \n\n  x  ", "don't we'LL", "x" * 30000]
     rows = [(1, None, 0), (2, "", 0), (None, "word", 0), (2, "", 0), *[(10 + i, t, 0) for i, t in enumerate(odd)]]
