@@ -11,8 +11,8 @@ from loomspark.session import written
 
 #: Rows of one question up to which a question's lists are ranked together in one task, after a single shuffle by question.
 QUESTION_ROWS = 200_000
-#: Else: rows of one list above which its ranks are taken in score ranges, each a task's work, instead of in one window.
-LIST_ROWS = 50_000
+#: Lists up to which probabilities are sums of terms with factorials, compiled with the rest of the plan; of more lists they come by a recurrence. Both give the same.
+FACTORIALS = 20
 
 
 def clean_hits(hits: DataFrame, configs: DataFrame) -> DataFrame:
@@ -26,21 +26,23 @@ def clean_hits(hits: DataFrame, configs: DataFrame) -> DataFrame:
     return one.join(kinds, "config_id").select("question_id", "config_id", "content_id", F.expr("if(down = 1, -score, score)").alias("strength"))
 
 
-def list_ranks(rows: DataFrame) -> DataFrame:
-    """rows with position: the mean rank of a hit in its list (ties share their mean), 1 for the strongest.
+def _ranged(rows: DataFrame, key: list[str], order: list) -> DataFrame:
+    """rows with part and offset: cut into ranges of the whole order by key and `order`, whose sizes tell how many rows of its key lie before a part. Rows that the order doesn't tell apart
+    are in one part. The ranges follow samples of the rows, so that they hold about as many each however the values are spread."""
+    count = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = written(rows.repartitionByRange(count, *key, *order).withColumn("part", F.spark_partition_id()))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(*key, "part").agg(F.count("*").alias("in_part")).withColumn("offset", F.coalesce(F.sum("in_part").over(before), F.lit(0))).drop("in_part")
+    return ranges.join(offsets, [*key, "part"])
+
 
-    A list of up to LIST_ROWS rows is ranked in one window; a longer one is cut into ranges of its scores, whose sizes give the offsets,
-    so that no task sorts a whole long list."""
+def list_ranks(rows: DataFrame) -> DataFrame:
+    """rows with position: the mean rank of a hit in its list (ties share their mean), 1 for the strongest. Lists are cut into ranges of their order, so that no task sorts a whole long list."""
     key = ["question_id", "config_id"]
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.min("strength").alias("low"), F.max("strength").alias("high"))
-    spread = F.expr(f"int(if(rows <= {LIST_ROWS} or high = low, 0, floor((high - strength) / (high - low) * ceil(rows / {LIST_ROWS / 8}))))")
-    with_range = rows.join(sizes, key).withColumn("part", spread)
-    parts = with_range.groupBy(*key, "part").agg(F.count("*").alias("in_part"))
-    before = parts.withColumn("offset", F.coalesce(F.sum("in_part").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*key, "part", "offset")
     within = Window.partitionBy(*key, "part").orderBy(F.col("strength").desc())
     ties = Window.partitionBy(*key, "part", "strength")
-    ranked = with_range.withColumn("first", F.rank().over(within)).withColumn("ties", F.count("*").over(ties))
-    return ranked.join(before, [*key, "part"]).select(*key, "content_id", (F.col("offset") + F.col("first") + (F.col("ties") - 1) / 2).alias("position"))
+    ranked = _ranged(rows, key, [F.col("strength").desc()]).withColumn("first", F.rank().over(within)).withColumn("ties", F.count("*").over(ties))
+    return ranked.select(*key, "content_id", (F.col("offset") + F.col("first") + (F.col("ties") - 1) / 2).alias("position"))
 
 
 def _order_statistic(k: Column, n: Column, r: Column, most: int) -> Column:
@@ -55,6 +57,17 @@ def _order_statistic(k: Column, n: Column, r: Column, most: int) -> Column:
     return F.least(F.lit(1.0), total)
 
 
+def _binomial_tail(k: Column, n: Column, r: Column) -> Column:
+    """The same for any number of lists: terms by a recurrence of their logarithms, added up from k on."""
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.log((n - i + 1) / i)  # of n choose i
+        return F.struct(log.alias("log"), (acc["sum"] + F.when(i >= k, F.exp(log + i * F.log(r) + F.when(i < n, (n - i) * F.log(1 - r)).otherwise(0.0))).otherwise(0.0)).alias("sum"))
+
+    return F.when(r >= 1, 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, step, lambda acc: acc["sum"])))
+
+
 def _together(hits: DataFrame, configs: DataFrame) -> DataFrame:
     """(question_id, content_id, ranks, n lists, m contents, present): all steps work on the one partitioning by question."""
     rows = clean_hits(hits.repartition("question_id"), configs)
@@ -89,12 +102,13 @@ def aggregate_ranks(hits: DataFrame, configs: DataFrame) -> DataFrame:
     rank; configs not in the table and null keys are left out.
     """
     most = max(1, configs.select("config_id").distinct().count())
-    if most > 20:
-        raise ValueError("factorials of over 20 lists don't fit; rank the lists in groups")
     largest = hits.groupBy("question_id").count().agg(F.max("count")).first()[0] or 0
     wide = _together(hits, configs) if largest <= QUESTION_ROWS else _apart(hits, configs)
-    probabilities = [F.when(F.col("present") >= k, _order_statistic(F.lit(k), F.col("n"), F.least(F.lit(1.0), F.element_at("ranks", k) / F.col("m")), most)).otherwise(1.0) for k in range(1, most + 1)]
-    least = probabilities[0] if most == 1 else F.least(*probabilities)
+    if most <= FACTORIALS:
+        probabilities = [F.when(F.col("present") >= k, _order_statistic(F.lit(k), F.col("n"), F.least(F.lit(1.0), F.element_at("ranks", k) / F.col("m")), most)).otherwise(1.0) for k in range(1, most + 1)]
+        least = probabilities[0] if most == 1 else F.least(*probabilities)
+    else:
+        least = F.array_min(F.transform("ranks", lambda p, k: _binomial_tail(k + 1, F.col("n"), F.least(F.lit(1.0), p / F.col("m")))))
     mean = (F.aggregate("ranks", F.lit(0.0), lambda a, x: a + x) + (F.col("n") - F.col("present")) * F.col("m")) / (F.col("n") * F.col("m"))
     scored = wide.select("question_id", "content_id", F.col("present").alias("lists"), F.round(F.least(F.lit(1.0), least * F.col("n")), 12).alias("significance"), F.round(mean, 12).alias("mean_rank"))
     return scored
@@ -107,15 +121,10 @@ def first_places(hits: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def _places(scored: DataFrame) -> DataFrame:
-    """scored with place where one question holds more contents than a task should sort: the rows are cut into ranges of the whole order, whose
-    sizes give the offsets."""
+    """scored with place where one question holds more contents than a task should sort."""
     order = ["significance", F.col("lists").desc(), "mean_rank", "content_id"]
-    count = max(2, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = written(scored.repartitionByRange(count, "question_id", *order).withColumn("part", F.spark_partition_id()))
-    before = Window.partitionBy("question_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy("question_id", "part").agg(F.count("*").alias("rows")).withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
     within = Window.partitionBy("question_id", "part").orderBy(*order)
-    return ranges.withColumn("first", F.row_number().over(within)).join(offsets, ["question_id", "part"]).withColumn("place", (F.col("offset") + F.col("first")).cast("int"))
+    return _ranged(scored, ["question_id"], order).withColumn("first", F.row_number().over(within)).withColumn("place", (F.col("offset") + F.col("first")).cast("int"))
 
 
 def ranking(hits: DataFrame, configs: DataFrame, k: int | None = None) -> DataFrame:

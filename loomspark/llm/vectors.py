@@ -14,15 +14,20 @@ from loomspark.llm.bucket_join import mix
 from loomspark.llm.hnsw import BATCH, EF_SEARCH, Hnsw
 from loomspark.session import written
 
-#: Vectors a shard should hold (each vector lies in PROBES shards or more), the most a shard may hold, and the most centres.
-CELL, CELL_MOST, CENTRES_MOST = 800, 12_000, 4096
+#: Vectors a shard should hold (each vector lies in PROBES shards or more), the most a shard may hold before it is split, and the most centres, which are sent (25 MB of 96 numbers each).
+#: Up to CENTRES_MOST * CELL_MOST / PROBES, about a billion vectors of a model, shards grow from CELL to CELL_MOST and the work in line with the vectors.
+CELL, CELL_MOST, CENTRES_MOST = 800, 48_000, 1 << 16
+#: Centres that are compared one by one; more are found by way of centres of centres.
+FLAT = 1024
+#: A vector's search of so many vectors of a model costs about as much as that of one more shard of its own.
+EVERYWHERE = 8000
 #: Shards that a vector belongs to, those of its nearest centres: at least PROBES, and as many as bring TARGET of a query sample's true
 #: neighbours into a common shard, up to PROBES_MOST. Vectors that need more don't cluster; they are spread by hash and all shards searched.
 PROBES, PROBES_MOST, TARGET = 3, 12, 0.98
 #: Vectors of a model, and of a shard, whose exact neighbours tell the recall; the widest beam tried before a shard is searched exactly.
 PROBED, CHECKED, EF_MOST = 200, 64, 80
-#: Vectors of a model that the centres are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors of a model that the centres are fitted on: SAMPLE, or as many as SAMPLE_EACH times the centres if these are more (at most 8 * 65,536, 200 MB on the driver).
+SAMPLE, SAMPLE_EACH = 20_000, 8
 _UNIT = "model string, id long, v binary"
 
 
@@ -74,8 +79,47 @@ def _centres(x: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def _nearest_cells(x: np.ndarray, c: np.ndarray, width: int) -> np.ndarray:
-    s = x @ c.T
+class Centres:
+    """Unit vectors, of which the nearest ones are looked up: all of them, or the children of the nearest `tops`, whose leaves lie one after the other."""
+
+    def __init__(self, leaves: np.ndarray, tops: np.ndarray | None = None, offsets: np.ndarray | None = None):
+        self.leaves, self.tops, self.offsets = leaves, leaves[:0] if tops is None else tops, offsets
+
+    def __len__(self) -> int:
+        return len(self.leaves)
+
+    @staticmethod
+    def fit(x: np.ndarray, count: int) -> Centres:
+        """k-means; for more than FLAT centres in two levels: of the vectors, and of the vectors of each of the first ones."""
+        if count <= FLAT:
+            return Centres(_centres(x, count))
+        tops = _centres(x, int(np.sqrt(count)))
+        near = np.concatenate([(x[i : i + 4096] @ tops.T).argmax(1) for i in range(0, len(x), 4096)])
+        parts = [_centres(x[near == t], max(1, int(count * (near == t).mean()))) if (near == t).any() else tops[t : t + 1] for t in range(len(tops))]
+        return Centres(np.concatenate(parts), tops, np.r_[0, np.cumsum([len(p) for p in parts])])
+
+    def nearest(self, x: np.ndarray, width: int) -> np.ndarray:
+        """(vectors, width) numbers of the nearest leaves, best first."""
+        if not len(self.tops):
+            out = [_best(x[i : i + 4096] @ self.leaves.T, width) for i in range(0, len(x), 4096)]
+            return np.concatenate(out) if out else np.empty((0, width), np.int64)
+        looked = min(len(self.tops), 8 + width)
+        branches = np.concatenate([_best(x[i : i + 4096] @ self.tops.T, looked) for i in range(0, len(x), 4096)]) if len(x) else np.empty((0, looked), np.int64)
+        best, sims = np.full((len(x), width), -1, np.int64), np.full((len(x), width), -np.inf, np.float32)
+        for t in np.unique(branches):  # the vectors that look into a branch, with its leaves
+            rows = np.flatnonzero((branches == t).any(1))
+            low, high = self.offsets[t], self.offsets[t + 1]
+            s = x[rows] @ self.leaves[low:high].T
+            k = min(width, high - low)
+            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            all_ids = np.concatenate([best[rows], at + low], 1)
+            all_sims = np.concatenate([sims[rows], np.take_along_axis(s, at, 1)], 1)
+            keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
+            best[rows], sims[rows] = np.take_along_axis(all_ids, keep, 1), np.take_along_axis(all_sims, keep, 1)
+        return np.take_along_axis(best, np.argsort(-sims, axis=1, kind="stable"), 1)
+
+
+def _best(s: np.ndarray, width: int) -> np.ndarray:
     at = np.argpartition(-s, width - 1, axis=1)[:, :width]
     return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), axis=1, kind="stable"), 1)
 
@@ -99,7 +143,7 @@ def _needs(asked, centres, k: int):
                 sims = np.take_along_axis(s, near, 1)
                 c = centres[m]
                 width = min(PROBES_MOST, len(c))
-                a, b = _nearest_cells(q, c, width), _nearest_cells(x[near.ravel()], c, width).reshape(len(q), -1, width)
+                a, b = c.nearest(q, width), c.nearest(x[near.ravel()], width).reshape(len(q), -1, width)
                 place = np.maximum(np.arange(width)[:, None], np.arange(width)[None, :]) + 1
                 need = np.where(a[:, None, :, None] == b[:, :, None, :], place, PROBES_MOST + 1).min((2, 3))
                 r, col = np.nonzero(np.isfinite(sims))
@@ -108,7 +152,7 @@ def _needs(asked, centres, k: int):
     return work
 
 
-def _placed(rows: DataFrame, picked: dict[str, np.ndarray], ids: dict[str, np.ndarray], centres: dict[str, np.ndarray], counts: dict[str, int], k: int) -> dict[str, tuple[np.ndarray, int]]:
+def _placed(rows: DataFrame, picked: dict[str, np.ndarray], ids: dict[str, np.ndarray], centres: dict[str, Centres], counts: dict[str, int], k: int) -> dict[str, tuple[Centres, int]]:
     """model -> its centres and the shards a vector belongs to, by the recall measured on PROBED vectors against all; one centre where every shard is to be searched."""
     spark = rows.sparkSession
     asked = {}
@@ -126,8 +170,8 @@ def _placed(rows: DataFrame, picked: dict[str, np.ndarray], ids: dict[str, np.nd
         measured[r.model].append(r.probes)
     for m, need in measured.items():
         enough = [p for p in range(PROBES, min(PROBES_MOST, len(centres[m])) + 1) if np.mean(np.array(need) <= p) >= TARGET]
-        everywhere = -(-counts[m] // (CELL_MOST * 2 // 3))
-        out[m] = (centres[m], enough[0]) if enough and enough[0] <= max(PROBES, everywhere) else (centres[m][:1], 1)
+        everywhere = -(-counts[m] // EVERYWHERE)
+        out[m] = (centres[m], enough[0]) if enough and enough[0] <= max(PROBES, everywhere) else (Centres(centres[m].leaves[:1]), 1)
     return out
 
 
@@ -145,8 +189,7 @@ def _cells(centres, subs):
                 values = raw.take(pa.array(at))
                 x = np.frombuffer(b"".join(values.to_pylist()), np.float32).reshape(len(at), -1)
                 width = min(probes, len(c))
-                s = x @ c.T
-                cell = np.argpartition(-s, width - 1, axis=1)[:, :width].astype(np.int64)
+                cell = c.nearest(x, width).astype(np.int64)
                 row, cell = np.repeat(np.arange(len(at)), width), cell.ravel()
                 if split is None:
                     yield pa.record_batch([pa.array([m] * len(cell), pa.string()), pa.array(cell)], names=["model", "cell"])
@@ -226,7 +269,7 @@ def _search(k: int):
 def most_similar(df: DataFrame, id: str = "content_id", embedding: str = "embedding", model: str | None = "model", k: int = 5) -> DataFrame:
     """(model, id, neighbour, place, similarity): for every vector the k most similar ones (cosine) of the same model, approximately.
 
-    Centres are fitted on up to SAMPLE vectors of a model; every vector is indexed in the shards of its nearest centres, each
+    Centres are fitted on a bounded sample of a model's vectors; every vector is indexed in the shards of its nearest centres, each
     shard builds a graph and searches it for all of its vectors, and the shards' results are merged. How many centres, and how wide a beam, follows
     from the recall measured on vectors whose exact neighbours are known; a model that doesn't cluster has shards by hash, which are all searched. A shard with more than CELL_MOST vectors,
     as of one huge group of copies, is split into sub-shards, which are all searched. Ties go to the smaller id; a vector isn't its own neighbour; copies are neighbours.
@@ -234,19 +277,19 @@ def most_similar(df: DataFrame, id: str = "content_id", embedding: str = "embedd
     spark = df.sparkSession
     rows = written(unit_vectors(df, id, embedding, model))
     counts = {r.model: r.n for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
-    share = F.create_map(*[v for m, n in counts.items() for v in (F.lit(m), F.lit(min(1.0, SAMPLE / n)))]) if counts else None
+    share = F.create_map(*[v for m, n in counts.items() for v in (F.lit(m), F.lit(min(1.0, max(SAMPLE, SAMPLE_EACH * min(n // CELL, CENTRES_MOST)) / n)))]) if counts else None
     centres, vectors_of, ids_of = {}, {}, {}
     if counts:
         sample = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < share[F.col("model")])
         picked: dict[str, list] = {m: [] for m in counts}
-        for r in sample.orderBy("model", "id").toLocalIterator():  # SAMPLE rows a model, give or take the hash
+        for r in sample.orderBy("model", "id").toLocalIterator():  # as many rows a model as the sample's bound, give or take the hash
             picked[r.model].append((r.id, np.frombuffer(r.v, np.float32)))
         for m, vectors in picked.items():
             if not vectors:  # a hash that picks none of a handful
-                vectors = [(r.id, np.frombuffer(r.v, np.float32)) for r in rows.where(F.col("model") == m).limit(100).collect()]
+                vectors = [(r.id, np.frombuffer(r.v, np.float32)) for r in rows.where(F.col("model") == m).orderBy("id").limit(100).collect()]
             x = vectors_of[m] = np.array([v for _, v in vectors])
             ids_of[m] = np.array([i for i, _ in vectors], np.int64)
-            centres[m] = _centres(x, max(1, min(len(x) // 4, counts[m] // CELL, CENTRES_MOST)))
+            centres[m] = Centres.fit(x, max(1, min(len(x) // 4, counts[m] // CELL, CENTRES_MOST)))
     sent = spark.sparkContext.broadcast(_placed(rows, vectors_of, ids_of, centres, counts, k))
     sizes = rows.mapInArrow(_cells(sent, None), "model string, cell long").groupBy("model", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_MOST)
     subs = {(r.model, r.cell): -(-r.n // (CELL_MOST * 2 // 3)) for r in sizes.collect()}  # at most CENTRES_MOST a model

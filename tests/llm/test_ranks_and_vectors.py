@@ -52,10 +52,23 @@ def test_first_places_equal_brute_force(spark, monkeypatch):
     want = brute(rows, KINDS)
     assert {r.question_id: r.content_id for r in rank_aggregation.first_places(df, configs).collect()} == want
     monkeypatch.setattr(rank_aggregation, "QUESTION_ROWS", 1)
-    monkeypatch.setattr(rank_aggregation, "LIST_ROWS", 3)
     assert {r.question_id: r.content_id for r in rank_aggregation.first_places(df, configs).collect()} == want
 
 
+def test_more_lists_than_factorials(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = {c: rng.choice(["similarity", "distance"]) for c in range(1, 26)}
+    rows = [(f"q{q}", c, i, rng.choice([0.5, rng.random()]), None, 0) for q in range(6) for c in rng.sample(range(1, 26), rng.choice([1, 22, 25])) for i in rng.sample(range(9), 6)]
+    configs, df = spark.createDataFrame(list(kinds.items()), CONFIG), spark.createDataFrame(rows, HIT)
+    assert {r.question_id: r.content_id for r in rank_aggregation.first_places(df, configs).collect()} == brute(rows, kinds)
+    few = spark.createDataFrame(list(KINDS.items()), CONFIG)
+    want = rank_aggregation.aggregate_ranks(spark.createDataFrame(hits(), HIT), few).collect()
+    monkeypatch.setattr(rank_aggregation, "FACTORIALS", 2)
+    got = rank_aggregation.aggregate_ranks(spark.createDataFrame(hits(), HIT), few).collect()
+    key = lambda r: (r.question_id, r.content_id)
+    assert all(key(a) == key(b) and abs(a.significance - b.significance) < 1e-9 for a, b in zip(sorted(want, key=key), sorted(got, key=key)))
+
+
 def test_one_wide_scale_does_not_dominate(spark):
     rows = [("q", 1, 1, 0.9, None, 0), ("q", 1, 2, 0.8, None, 0), ("q", 2, 1, 0.5, None, 0), ("q", 2, 2, 0.4, None, 0), ("q", 3, 2, 9e9, None, 0), ("q", 3, 1, 8e9, None, 0)]
     configs = spark.createDataFrame([(1, "similarity"), (2, "similarity"), (3, "similarity")], CONFIG)
@@ -83,7 +96,6 @@ def test_ranking_has_every_place(spark, monkeypatch):
         assert sorted(p for (x, _), p in whole.items() if x == q) == list(range(1, 1 + sum(x == q for x, _ in want)))
     assert {key for key, p in whole.items() if p == 1} == set(brute(rows, KINDS).items())
     monkeypatch.setattr(rank_aggregation, "QUESTION_ROWS", 3)
-    monkeypatch.setattr(rank_aggregation, "LIST_ROWS", 3)
     assert {(r.question_id, r.content_id): r.place for r in rank_aggregation.ranking(df, configs).collect()} == whole
     assert {(r.question_id, r.content_id): r.place for r in rank_aggregation.ranking(df, configs, 2).collect()} == {key: p for key, p in whole.items() if p <= 2}
 
@@ -146,3 +158,14 @@ def test_recall_without_clusters(spark, monkeypatch):
     mine = {(r.id, r.neighbour) for r in got}
     want = {(i, j) for i, row in enumerate(top(x).tolist()) for j in row}
     assert len(mine & want) / len(want) > 0.95 and len(got) == 1500 * 5
+
+
+def test_centres_in_two_levels_find_the_nearest():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = vectors.Centres.fit(x, 1500)
+    assert 1400 <= len(c) <= 1500 and len(c.tops) > 30
+    got, exact = c.nearest(x[:400], 3), vectors.Centres(c.leaves).nearest(x[:400], 3)
+    assert np.mean([len(set(a) & set(b)) / 3 for a, b in zip(got.tolist(), exact.tolist())]) > 0.85
+    assert (np.diff(np.take_along_axis(x[:400] @ c.leaves.T, got, 1), axis=1) <= 1e-6).all()

@@ -325,7 +325,7 @@ def test_leaks(spark):
         if kind not in (3, 4):
             want.add((d, i))
     docs += [(100, None), (101, ""), (102, "x"), (None, " ".join(passages[0]))]
-    held = spark.createDataFrame([(i, " ".join(w), 0) for i, w in passages.items()] + [(50, None, 0), (51, "too short", 0), (None, "a b c d e f", 0)], "item_id long, text string, doc_id int")
+    held = spark.createDataFrame([(i, " ".join(w), 0) for i, w in passages.items()] + [(50, None, 0), (51, "not there", 0), (None, "a b c d e f", 0)], "item_id long, text string, doc_id int")
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = leakage.leaked_passages(df, held)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
@@ -333,6 +333,28 @@ def test_leaks(spark):
     assert leakage.leaked_passages(df.limit(0), held).count() == 0 and leakage.leaked_passages(df, held.limit(0)).count() == 0
 
 
+def test_short_passages_leak_as_a_whole(spark):
+    held = spark.createDataFrame([(1, "one two three four"), (2, "Lonely"), (3, "one two"), (4, "..."), (5, "a b c d e f g h")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "say ONE, two <b>three</b> four then"), (2, "one two four three"), (3, "so lonely here"), (4, "c d e f"), (5, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_passages(docs, held).collect()} == {(1, 1), (1, 3), (2, 3), (3, 2)}
+
+
+def test_the_search_finds_every_window():
+    rng = random.Random(9)
+    passages = {i: [f"w{rng.randrange(12)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 9, 30]))] for i in range(40)}
+    texts = [[f"w{rng.randrange(12)}" for _ in range(rng.choice([0, 1, 4, 5, 60]))] for _ in range(60)]
+    got = leakage.WuManber(passages).search(texts)
+    for text, found in zip(texts, got):
+        want = {}
+        for i, p in passages.items():
+            m = min(leakage.PATTERN, len(p))
+            for at in range(len(text) - m + 1):
+                for k in range(len(p) - m + 1):
+                    if text[at : at + m] == p[k : k + m]:
+                        want.setdefault(i, set()).add((k, at))
+        assert {i: set(x) for i, x in found.items()} == want
+
+
 def test_several_rounds_find_the_same(spark, monkeypatch):
     held = spark.createDataFrame([(i, " ".join(f"p{i}w{k}" for k in range(40))) for i in range(12)], "item_id long, text string")
     docs = spark.createDataFrame([(i, "so " + " ".join(f"p{i}w{k}" for k in range(40))) for i in range(12)], "doc_id long, text string")
