@@ -26,6 +26,6 @@ def contents_of(chunks: DataFrame, embed_text: Column) -> DataFrame:
 
 
 def metadata_differs(chunks: DataFrame, key: Column, columns: list[str]) -> DataFrame:
-    """(key, versions, variants): contents of which the metadata, as a set per version, differ between versions."""
-    per_version = chunks.withColumn("key", key).groupBy("key", "version").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))), ";").alias("meta"))
+    """(key, versions, variants): contents of which the metadata, as a set per version, differ between versions. Metadata are compared as JSON with sorted names."""
+    per_version = chunks.withColumn("key", key).groupBy("key", "version").agg(F.array_join(F.array_sort(F.collect_set(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))), ";").alias("meta"))
     return per_version.groupBy("key").agg(F.count("*").alias("versions"), F.countDistinct("meta").alias("variants")).where("variants > 1")

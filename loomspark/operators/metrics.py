@@ -7,16 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.functions.text import contains_quote, page_identity, sampler
+from loomspark.functions.text import contains_quote, fragment, page_identity
 
-CUTS = (1, 3, 5, 10)
+CUTS = (1, 3, 5, 10, 20)
 
 
-def facts_of(items: DataFrame) -> DataFrame:
-    """(id, fact, page, quote): a row per fact and way to state it; alternatives share their fact's number."""
+def facts_of(items: DataFrame, section: bool = False) -> DataFrame:
+    """(id, fact, page, quote): a row per fact and way to state it; alternatives share their fact's number. With `section`, the URL's fragment too."""
     facts = items.select("id", F.posexplode("evidence").alias("fact", "e"))
     ways = F.concat(F.array(F.struct(F.col("e.url").alias("url"), F.col("e.quote").alias("quote"))), F.coalesce(F.col("e.alternatives"), F.array().cast("array<struct<url:string,quote:string>>")))
-    return facts.select("id", "fact", F.explode(ways).alias("w")).select("id", "fact", page_identity(F.col("w.url")).alias("page"), F.col("w.quote").alias("quote"))
+    rows = facts.select("id", "fact", F.explode(ways).alias("w"))
+    return rows.select("id", "fact", page_identity(F.col("w.url")).alias("page"), F.col("w.quote").alias("quote"), *([fragment(F.col("w.url")).alias("section")] if section else []))
 
 
 def first_covering_rank(ranked: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,10 +59,12 @@ def poisson_weight(uniform: Column, most: int = 7) -> Column:
 def bootstrap(values: DataFrame, group: str, unit: str, value: str, samples: int, seed: int) -> DataFrame:
     """(group, n, mean, low, high, share_not_above_0): Poisson bootstrap of means.
 
-    A value's weight in a sample comes from a hash of seed, sample and unit, so nothing is indexed or sorted per group: resamples are sums
+    A value's weight in a sample comes from a hash of seed, sample and unit (one hash for four samples), so nothing is indexed or sorted per group: resamples are sums
     with map-side combine. low and high are the sorted means at int(0.025 S) and int(0.975 S) - 1. Null values don't count; a group without values is left out."""
     rows = values.where(F.col(value).isNotNull()).select(group, unit, F.col(value).cast("double").alias("_x"))
-    drawn = rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_w", poisson_weight(sampler(seed, F.col("_s"), F.col(unit)) / float(1 << 32)))
+    hashed = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 4)))).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_q", F.col(unit).cast("string"))))
+    drawn = hashed.select(group, "_x", "_q", F.posexplode(F.array(*[F.substring("_h", 8 * i + 1, 8) for i in range(4)])).alias("_p", "_d")).withColumn("_s", F.col("_q") * 4 + F.col("_p")).where(F.col("_s") < samples)
+    drawn = drawn.withColumn("_w", poisson_weight(F.conv("_d", 16, 10).cast("long") / float(1 << 32)))
     means = drawn.groupBy(group, "_s").agg(F.sum(F.col("_w") * F.col("_x")).alias("t"), F.sum("_w").alias("w")).where("w > 0").select(group, (F.col("t") / F.col("w")).alias("m"))
     sorted_ = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # `samples` numbers a group
     at = lambda share, less: F.element_at("ms", F.greatest(F.floor(F.size("ms") * share) + 1 - less, F.lit(1)).cast("int"))

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import tokens
-from loomspark.session import spread
+from loomspark.session import spread, written
 
 RRF_K = 60
-#: Query vectors that are sent to the executors at once; further ones take further passes over the corpus.
+#: Questions or query vectors that are sent to the executors at once; further ones take further passes over the corpus.
 BLOCK = 8192
 
 
@@ -31,29 +31,48 @@ def query_terms(questions: DataFrame, id: str, text: Column) -> DataFrame:
     return rows.select("question_id", F.size("terms").alias("q_len"), F.explode("terms").alias("term"))
 
 
-def all_terms(questions: DataFrame, id: str, text: Column, docs: DataFrame, doc_id: str, doc_text: Column) -> DataFrame:
-    """(question_id, content_id): the AND match, documents that hold every term of a question. A question without terms matches nothing.
-
-    A question meets only the documents of its rarest term, whose term sets decide; a term that no document has matches nothing."""
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("content_id"), F.array_distinct(tokens(doc_text)).alias("terms")).where(F.size("terms") > 0)
-    held = rows.select("content_id", F.explode("terms").alias("term"))
-    asked = query_terms(questions, id, text)
-    wanted = questions.select(F.col(id).alias("question_id"), F.array_distinct(tokens(text)).alias("wanted"))
-    frequency = held.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = asked.join(frequency, "term", "left").groupBy("question_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0").select("question_id", F.col("r.term").alias("term"))
-    candidates = rarest.join(held, "term").select("question_id", "content_id")
-    met = candidates.join(wanted, "question_id").join(rows, "content_id")
-    return met.where(F.size(F.array_intersect("wanted", "terms")) == F.size("wanted")).select("question_id", "content_id")
-
-
 def top_k(scored: DataFrame, k: int, by: str = "question_id", score: str = "score", tie: str = "content_id") -> DataFrame:
     """The k best of each group with their rank, ties by id. Each map task keeps k rows of a group (WindowGroupLimit) before they are shuffled."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-#: Hits held by a task before they are reduced to the k best of each question, and similarities that a task computes at once.
-HELD, SLICE = 1 << 20, 1 << 22
+#: Hits held by a task before they are reduced to the k best of each question, and scores that a task has at once.
+HELD, SLICE = 1 << 20, 1 << 21
+
+
+class _Best:
+    """The k best documents of each of `questions` so far, of blocks of scores (documents by questions). Of a tie over the k-th place the smaller ids stay."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.floor = k, np.full(questions, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.most = 0, max(HELD, 2 * k * questions)
+
+    def add(self, docs: np.ndarray, s: np.ndarray) -> None:
+        """-inf is no hit. What lies under the k-th best score so far, or under that of this block, is dropped where it stands."""
+        low = self.floor
+        open_ = not np.isfinite(low).all()
+        if open_ and len(docs) > self.k:
+            low = np.maximum(low, np.partition(s, len(docs) - self.k, axis=0)[len(docs) - self.k])
+        d, q = np.nonzero((s >= low) & (s > -np.inf))
+        self.held.append((q, docs[d], s[d, q]))
+        self.n += len(q)
+        if self.n > self.most or open_ and self.n > 4 * self.k * len(self.floor):
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+        last = place == self.k - 1
+        self.floor[q[last]] = s[last]
+        keep = place < self.k
+        self.held = [(q[keep], d[keep], s[keep])]
+        self.n = int(keep.sum())
+        return self.held[0]
 
 
 def _allowed(wanted: list):
@@ -71,103 +90,173 @@ def _allowed(wanted: list):
     return mask
 
 
+class _Asked:
+    """A block of questions as an index from terms to questions in flat arrays: term t has the questions of `flat` from offsets[t] to offsets[t + 1], and a weight (idf)."""
+
+    def __init__(self, block: list, bm25: tuple[float, float] | None, total: int, mean: float, versioned: bool):
+        self.ids = np.array([r.question_id for r in block], object)
+        self.norms = np.array([max(r.q_len, 1) for r in block], float)
+        self.wanted = [r.version for r in block] if versioned else None
+        self.bm25, self.mean = bm25, mean
+        of: dict[str, list[int]] = {}
+        df: dict[str, int] = {}
+        for i, r in enumerate(block):
+            for t in r.ts:
+                of.setdefault(t.term, []).append(i)
+                if bm25:
+                    df[t.term] = t.df
+        self.term = {t: i for i, t in enumerate(of)}
+        self.offsets = np.r_[0, np.cumsum([len(x) for x in of.values()], dtype=np.int64)]
+        self.flat = np.fromiter((i for x in of.values() for i in x), np.int64, int(self.offsets[-1]))
+        self.idf = np.array([np.log1p((total - df[t] + 0.5) / (df[t] + 0.5)) if bm25 else 1.0 for t in of])
+
+    def _postings(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, count) of the asked terms."""
+        row, term, tf = [], [], []
+        for i, terms in enumerate(docs):
+            for t, c in Counter(terms).items():
+                n = self.term.get(t)
+                if n is not None:
+                    row.append(i)
+                    term.append(n)
+                    tf.append(c)
+        return np.array(row, np.int64), np.array(term, np.int64), np.array(tf, float)
+
+    def _sums(self, docs: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        n = self.offsets[term + 1] - self.offsets[term]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.offsets[term], n)
+        width = len(self.ids)
+        return np.bincount(np.repeat(row, n) * width + self.flat[at], np.repeat(weight, n), docs * width).reshape(docs, width)
+
+    def shared(self, docs: list[list[str]]) -> np.ndarray:
+        """(documents, questions): how many different terms they share."""
+        row, term, tf = self._postings(docs)
+        return self._sums(len(docs), row, term, np.ones(len(tf)))
+
+    def scores(self, docs: list[list[str]]) -> np.ndarray:
+        """(documents, questions), -inf where no term is shared."""
+        row, term, tf = self._postings(docs)
+        sizes = np.array([len(d) for d in docs], float)
+        if self.bm25:
+            k1, b = self.bm25
+            weight = self.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[row] / self.mean))
+        else:
+            weight = tf / (tf + 1)
+        sums = self._sums(len(docs), row, term, weight)
+        s = np.round(sums if self.bm25 else sums / (self.norms[None, :] * np.log2(2.0 + sizes)[:, None]), 6)
+        return np.where(sums > 0, s, -np.inf)
+
+
 def _term_search(sent, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, index, norms, (bm25, mean), wanted = sent.value
-        allowed = _allowed(wanted) if wanted is not None else None
-        floor = np.zeros(len(ids))
-        held: tuple[list, list, list] = ([], [], [])
-        n = 0
-
-        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            q, d, s = (np.concatenate(x) for x in held)
-            order = np.lexsort((d, -s, q))
-            q, d, s = q[order], d[order], s[order]
-            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            place = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-            keep = place < k
-            last = place == k - 1
-            floor[q[last]] = s[last]
-            return q[keep], d[keep], s[keep]
-
+        asked = sent.value
+        allowed = _allowed(asked.wanted) if asked.wanted is not None else None
+        best = _Best(len(asked.ids), k)
+        step = max(16, SLICE // len(asked.ids))
         for batch in batches:
-            versions = batch.column("versions").to_pylist() if allowed else [None] * batch.num_rows
-            for doc, terms, of in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist(), versions):
-                found = [(index[t], c) for t, c in Counter(terms).items() if t in index]
-                if not found:
-                    continue
-                size = len(terms)
-                tf = np.array([c for _, c in found], float)
-                if bm25:
-                    k1, b = bm25
-                    weight = np.array([e[1] for e, _ in found]) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
-                else:
-                    weight = tf / (tf + 1)
-                at = [e[0] for e, _ in found]
-                sums = np.bincount(np.concatenate(at), np.repeat(weight, [len(x) for x in at]), len(ids))
-                scores = np.round(sums if bm25 else sums / (norms * np.log2(2.0 + size)), 6)
-                good = (sums > 0) & (scores >= floor)
-                q = np.flatnonzero(good & allowed(of) if allowed else good)
-                held[0].append(q)
-                held[1].append(np.full(len(q), doc, np.int64))
-                held[2].append(scores[q])
-                n += len(q)
-                if n > HELD:
-                    q, d, s = best()
-                    held = ([q], [d], [s])
-                    n = len(q)
-        if n:
-            q, d, s = best()
-            yield pa.record_batch([pa.array(ids[q].tolist(), pa.string()), pa.array(d), pa.array(s)], names=["question_id", "content_id", "score"])
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                s = asked.scores(part.column("terms").to_pylist())
+                if allowed:
+                    s[~np.array([allowed(o) for o in part.column("versions").to_pylist()])] = -np.inf
+                best.add(part.column("id").to_numpy(), s)
+        if best.n:
+            q, d, s = best.shrink()
+            yield pa.record_batch([pa.array(asked.ids[q].tolist(), pa.string()), pa.array(d), pa.array(s)], names=["question_id", "content_id", "score"])
 
     return work
 
 
+def _in_blocks(rows: DataFrame, search) -> list[DataFrame]:
+    """search(block) for BLOCK rows at a time, which is all the driver holds. search gives the broadcast of a block and its result; with more than one block
+    each result is written before the next block is read, and its broadcast given up."""
+    first = rows.limit(BLOCK + 1).collect()
+    if len(first) <= BLOCK:
+        return [result for _, result in search(first)] if first else []
+    parts: list[DataFrame] = []
+    block: list = []
+
+    def flush() -> None:
+        for sent, result in search(block):
+            parts.append(written(result))
+            sent.destroy()
+        block.clear()
+
+    for r in written(rows).toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK:
+            flush()
+    if block:
+        flush()
+    return parts
+
+
 def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int, bm25: tuple[float, float] | None = None, versions: Column | None = None) -> DataFrame:
     """(question_id, content_id, score, rank): the k best contents of every question by its terms(question_id, term, q_len).
 
     With `versions`, the versions of a document, terms also has the question's version, and only documents of that version are scored for it (all, where it is
     null); the BM25 statistics are those of all documents given. Documents of other indexes are left out by the caller.
 
-    The question set is sent in blocks of BLOCK questions as an index from term to questions; each block is one pass over the contents that
-    keeps the k best per question and task, so that neither postings nor all pairs of questions and contents are ever shuffled. Without `bm25` the score is
+    Questions are taken in blocks of BLOCK, each sent as an index from term to questions; a block is one pass over the tokenised contents (written once, if there are several blocks)
+    that keeps the k best per question and task, so that neither postings nor all pairs of questions and contents are ever shuffled. Without `bm25` the score is
     tf / (tf + 1) summed over shared terms, by the question's terms and log2(2 + length); with (k1, b) it is BM25 (Robertson and Zaragoza 2009),
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Any shared term counts; ties go to the smaller id; null texts have no terms.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)), with df counted for asked terms only. Any shared term counts; ties go to the smaller id; null texts have no terms.
     """
     spark = terms.sparkSession
     rows = spread(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), text.alias("text"), *([versions.alias("versions")] if versions is not None else []))).select("id", tokens(F.col("text")).alias("terms"), *(["versions"] if versions is not None else [])).where(F.size("terms") > 0)
     wanted = terms
     total, mean = 0, 1.0
     if bm25:
+        rows = written(rows)
         totals = rows.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("m")).first()
         total, mean = totals.n, totals.m or 1.0
-        frequency = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        frequency = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         wanted = terms.join(frequency, "term")
     per_question = wanted.groupBy("question_id").agg(F.collect_list(F.struct("term", *(["df"] if bm25 else []))).alias("ts"), F.first("q_len").alias("q_len"), *([F.first("version").alias("version")] if versions is not None else []))
-    parts: list[DataFrame] = []
+    held = {"rows": rows}
 
-    def flush(block: list) -> None:
-        index: dict[str, list] = {}
-        for i, r in enumerate(block):
-            for t in r.ts:
-                index.setdefault(t.term, [[], np.log1p((total - t.df + 0.5) / (t.df + 0.5)) if bm25 else 1.0])[0].append(i)
-        packed = {t: (np.array(at), idf) for t, (at, idf) in index.items()}
-        sent = spark.sparkContext.broadcast((np.array([r.question_id for r in block], object), packed, np.array([max(r.q_len, 1) for r in block], float), (bm25, mean), [r.version for r in block] if versions is not None else None))
-        parts.append(rows.mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double"))
+    def search(block: list):
+        if len(block) == BLOCK and "written" not in held:
+            held["rows"] = rows if bm25 else written(rows)
+            held["written"] = True
+        sent = spark.sparkContext.broadcast(_Asked(block, bm25, total, mean, versions is not None))
+        yield sent, held["rows"].mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double")
 
-    block: list = []
-    for r in per_question.toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            flush(block)
-            block = []
-    if block:
-        flush(block)
+    parts = _in_blocks(per_question, search)
     if not parts:
         return spark.createDataFrame([], "question_id string, content_id long, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k)
 
 
+def _all_terms(sent):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        step = max(16, SLICE // len(asked.ids))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                d, q = np.nonzero(asked.shared(part.column("terms").to_pylist()) == asked.norms[None, :])
+                yield pa.record_batch([pa.array(asked.ids[q].tolist(), pa.string()), pa.array(part.column("id").to_numpy()[d])], names=["question_id", "content_id"])
+
+    return work
+
+
+def all_terms(questions: DataFrame, id: str, text: Column, docs: DataFrame, doc_id: str, doc_text: Column) -> DataFrame:
+    """(question_id, content_id): the AND match, documents that hold every term of a question. A question without terms matches nothing.
+
+    Questions are sent in blocks as in `term_search`; a scan of the documents counts the terms that each shares with each question, so only matches leave it."""
+    spark = questions.sparkSession
+    rows = spread(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), doc_text.alias("text"))).select("id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    per_question = query_terms(questions, id, text).groupBy("question_id").agg(F.collect_list(F.struct("term")).alias("ts"), F.first("q_len").alias("q_len"))
+
+    def search(block: list):
+        sent = spark.sparkContext.broadcast(_Asked(block, None, 0, 1.0, False))
+        yield sent, rows.mapInArrow(_all_terms(sent), "question_id string, content_id long")
+
+    parts = _in_blocks(per_question, search)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "question_id string, content_id long")
+
+
 def rrf(rankings: DataFrame, k: int) -> DataFrame:
     """(question_id, content_id, score, rank, first_list) of rankings(question_id, list_no, content_id, rank): reciprocal rank fusion
     (Cormack et al. 2009); first_list is the first list that holds the content, whose attributes it keeps."""
@@ -182,110 +271,126 @@ def union_of_candidates(rankings: DataFrame) -> DataFrame:
     return first.select("question_id", "content_id", F.row_number().over(order).alias("position"))
 
 
+class _Vectors:
+    """A block of unit query vectors of one length, their groups and versions, and the cells that each looks into, if the search is approximate."""
+
+    def __init__(self, ids: np.ndarray, groups: np.ndarray, q: np.ndarray, wanted: list | None, centres: np.ndarray | None, probes: int):
+        self.ids, self.groups, self.q, self.wanted, self.centres = ids, groups, q, wanted, centres
+        if centres is not None:
+            near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+            self.looks = np.zeros((len(centres), len(q)), bool)
+            self.looks[near.ravel(), np.repeat(np.arange(len(q)), near.shape[1])] = True
+
+
 def _block_search(sent, k: int, same_group: bool, own: bool, kind: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, groups, q, wanted = sent.value
-        allowed = _allowed(wanted) if wanted is not None else None
-        floor = np.full(len(ids), -np.inf)
-        held: tuple[list, list, list] = ([], [], [])
-        n, most = 0, max(HELD, 2 * k * len(ids))
-
-        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            # Of a tie over the k-th place the smaller ids stay, so all rows held are ordered by both.
-            r, d, s = (np.concatenate(x) for x in held)
-            order = np.lexsort((d, -s, r))
-            r, d, s = r[order], d[order], s[order]
-            start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            place = np.arange(len(r)) - np.repeat(start, np.diff(np.r_[start, len(r)]))
-            last = place == k - 1
-            floor[r[last]] = s[last]
-            keep = place < k
-            return r[keep], d[keep], s[keep]
-
+        asked = sent.value
+        ids, groups, q = asked.ids, asked.groups, asked.q
+        allowed = _allowed(asked.wanted) if asked.wanted is not None else None
+        best = _Best(len(ids), k)
+        step = max(64, SLICE // len(ids))
         for batch in batches:
             column = batch.column("v")
-            sizes = column.value_lengths().fill_null(0).to_numpy()
-            at = np.flatnonzero(sizes == q.shape[1])
-            x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
-            with np.errstate(all="ignore"):
-                norm = np.sqrt((x * x).sum(1))
-                x = x / norm[:, None]
-            ok = np.isfinite(x).all(1) & (norm > 0)
-            x, at = x[ok], at[ok]
-            if not len(at):
-                continue
-            docs = batch.column("id").to_numpy()[at]
-            g = batch.column("grp").to_numpy(zero_copy_only=False)[at] if same_group else None
-            of = batch.column("versions").take(pa.array(at)).to_pylist() if allowed else None
-            step = max(64, SLICE // len(ids))
-            for i in range(0, len(docs), step):
-                doc = docs[i : i + step]
-                s = np.round(q @ x[i : i + step].T, 6)
+            at = np.flatnonzero(column.value_lengths().fill_null(0).to_numpy() == q.shape[1])
+            for i in range(0, len(at), step):
+                mine = at[i : i + step]
+                x = column.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mine), -1)
+                with np.errstate(all="ignore"):
+                    norm = np.sqrt((x * x).sum(1))
+                    x = x / norm[:, None]
+                ok = np.isfinite(x).all(1) & (norm > 0)
+                x, mine = x[ok], mine[ok]
+                if not len(mine):
+                    continue
+                doc = batch.column("id").to_numpy()[mine]
+                if asked.centres is None:
+                    s = np.round(x @ q.T, 6)
+                else:  # only queries that look into a vector's cell are compared with it
+                    s = np.full((len(mine), len(ids)), -np.inf)
+                    cell = (x @ asked.centres.T).argmax(1)
+                    for c in np.unique(cell):
+                        r, looking = np.flatnonzero(cell == c), np.flatnonzero(asked.looks[c])
+                        if len(looking):
+                            s[np.ix_(r, looking)] = np.round(x[r] @ q[looking].T, 6)
                 if own:
-                    s[ids[:, None] == doc[None, :]] = -np.inf
+                    s[doc[:, None] == ids[None, :]] = -np.inf
                 if same_group:
-                    s[groups[:, None] != g[i : i + step][None, :]] = -np.inf
+                    s[batch.column("grp").to_numpy(zero_copy_only=False)[mine][:, None] != groups[None, :]] = -np.inf
                 if allowed:
-                    s[~np.array([allowed(o) for o in of[i : i + step]]).T] = -np.inf
-                low = floor
-                if len(doc) > k and not np.isfinite(floor).all():
-                    low = np.maximum(floor, np.partition(s, len(doc) - k, axis=1)[:, len(doc) - k])
-                r, c = np.nonzero((s >= low[:, None]) & (s > -np.inf))
-                held[0].append(r)
-                held[1].append(doc[c])
-                held[2].append(s[r, c])
-                n += len(r)
-                if n > most or not np.isfinite(floor).all():
-                    r, d, s = best()
-                    held = ([r], [d], [s])
-                    n = len(r)
-        if n:
-            r, d, s = best()
+                    s[~np.array([allowed(o) for o in batch.column("versions").take(pa.array(mine)).to_pylist()])] = -np.inf
+                best.add(doc, s)
+        if best.n:
+            r, d, s = best.shrink()
             yield pa.record_batch([pa.array(ids[r].tolist(), kind), pa.array(d), pa.array(s)], names=["question_id", "content_id", "score"])
 
     return work
 
 
-def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False, own: bool = True) -> DataFrame:
-    """(question_id, content_id, score, rank): exact cosine neighbours of queries(id, grp, v) among corpus(id, grp, v), itself left out
+#: Vectors that the cells of an approximate search are fitted on, at most, and the most cells (which are sent).
+CELL_SAMPLE, CELLS_MOST = 20_000, 1024
+
+
+def _cells_of(corpus: DataFrame) -> dict[int, np.ndarray]:
+    """By length of the vectors: centres of their cells, about the root of their number, by k-means of a bounded sample by hash."""
+    counts = {r.d: r.n for r in corpus.where("size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    out = {}
+    for d, n in counts.items():
+        picked = corpus.where((F.size("v") == d) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, CELL_SAMPLE / n))).select("id", "v").orderBy("id")
+        x = np.array([r.v for r in picked.toLocalIterator()], np.float64).reshape(-1, d)
+        with np.errstate(all="ignore"):
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        x = x[np.isfinite(x).all(1)]
+        if not len(x):
+            continue
+        c = x[np.linspace(0, len(x) - 1, max(1, min(len(x) // 4, int(n**0.5), CELLS_MOST))).astype(int)]
+        for _ in range(6):
+            near = (x @ c.T).argmax(1)
+            c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        out[d] = c
+    return out
+
+
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False, own: bool = True, exact: bool = True, probes: int = 8) -> DataFrame:
+    """(question_id, content_id, score, rank): cosine neighbours of queries(id, grp, v) among corpus(id, grp, v), itself left out
     unless the two have different ids (own=False), which for queries may be text. Where queries have a version and corpus has versions, only rows of
     the version are neighbours (all, where it is null).
 
     The query set is sent in blocks of BLOCK vectors of one length, each block one pass over the corpus with a k-best per task, so neither
-    side is ever joined pairwise in rows. Null, zero, not finite and other-length vectors take no part. Scores are rounded to six places before ranking; ties go to the smaller id.
+    side is ever joined pairwise in rows. exact: all rows are compared; else only those in the `probes` cells nearest to a query, cells being fitted on a bounded sample.
+    Null, zero, not finite and other-length vectors take no part. Scores are rounded to six places before ranking; ties go to the smaller id.
     """
     spark = queries.sparkSession
-    parts = []
     text = dict(queries.dtypes)["id"] == "string"
     versioned = "version" in queries.columns and "versions" in corpus.columns
     schema = f"question_id {'string' if text else 'long'}, content_id long, score double"
+    columns = ["id", "grp", "v"]
+    cells = {} if exact else _cells_of(corpus)
 
-    def flush(rows: list) -> None:
+    def search(rows: list):
         by_size: dict[int, list] = {}
         for r in rows:
             x = np.array(r.v, np.float64)
             norm = np.sqrt((x * x).sum())
             if len(x) and np.isfinite(norm) and norm > 0:
                 by_size.setdefault(len(x), []).append((r.id, r.grp, x / norm, r.version if versioned else None))
-        for held in by_size.values():
-            sent = spark.sparkContext.broadcast((np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held] if versioned else None))
-            parts.append(corpus.select("id", "grp", "v", *(["versions"] if versioned else [])).mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema))
-
-    rows: list = []
-    for r in queries.where("v is not null").select("id", "grp", "v", *(["version"] if versioned else [])).toLocalIterator():
-        rows.append(r)
-        if len(rows) == BLOCK:
-            flush(rows)
-            rows = []
-    flush(rows)
+        for size, held in by_size.items():
+            sent = spark.sparkContext.broadcast(_Vectors(np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held] if versioned else None, cells.get(size), probes))
+            yield sent, corpus.select(*columns, *(["versions"] if versioned else [])).mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema)
+
+    parts = _in_blocks(queries.where("v is not null").select(*columns, *(["version"] if versioned else [])), search)
     if not parts:
         return spark.createDataFrame([], f"{schema}, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k)
 
 
-def rerank(candidates: DataFrame, score: Column, k: int) -> DataFrame:
-    """candidates(question_id, content_id, rank, ...) with new_rank: the k best by a score, ties in the order they came in."""
-    order = Window.partitionBy("question_id").orderBy(score.desc(), "rank")
+def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool = False, own: bool = True) -> DataFrame:
+    return vector_top_k(queries, corpus, k, same_group, own)
+
+
+def rerank(candidates: DataFrame, score: Column, k: int, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
+    """candidates(question_id, content_id, rank, ...) with new_rank: the k best of each list by a score, ties in the order they came in."""
+    order = Window.partitionBy(*by).orderBy(F.col("rerank_score").desc(), "rank")
     return candidates.withColumn("rerank_score", score).withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
 
 

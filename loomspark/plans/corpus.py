@@ -64,7 +64,7 @@ def version_set_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "metadata_differs",
-    f"""SELECT key, count(*) AS versions, count(DISTINCT meta) AS variants FROM (SELECT sha256(coalesce(text, '')) AS key, version, string_agg(DISTINCT concat_ws('|', coalesce(title, '~'), coalesce(content_type, '~')), ';' ORDER BY concat_ws('|', coalesce(title, '~'), coalesce(content_type, '~'))) AS meta
+    f"""SELECT key, count(*) AS versions, count(DISTINCT meta) AS variants FROM (SELECT sha256(coalesce(text, '')) AS key, version, string_agg(DISTINCT to_json(struct_pack(content_type := content_type, title := title)), ';' ORDER BY to_json(struct_pack(content_type := content_type, title := title))) AS meta
     FROM {CHUNKS} GROUP BY 1, 2) GROUP BY key HAVING count(DISTINCT meta) > 1""",
 )
 def metadata_differs(spark: SparkSession, d: str) -> DataFrame:
@@ -201,9 +201,13 @@ def tag_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "tidied_texts",
-    "SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10)) AS digest FROM contents WHERE text IS NOT NULL",
+    """WITH l AS (SELECT t.id, u.o AS n, u.line FROM contents t, unnest(string_split(t.text, chr(10))) WITH ORDINALITY u(line, o) WHERE t.text IS NOT NULL), f AS (SELECT *, CAST(regexp_matches(line, '^[ \\t]*(```|~~~)') AS INT) AS fence FROM l),
+    g AS (SELECT *, sum(fence) OVER (PARTITION BY id ORDER BY n) AS upto FROM f), s AS (SELECT *, CASE WHEN fence = 1 AND upto % 2 = 0 THEN upto - 1 ELSE upto END AS part, fence = 1 OR upto % 2 = 1 AS code FROM g),
+    p AS (SELECT id, part, code, min(n) AS first, string_agg(line || chr(10), '' ORDER BY n) AS t FROM s GROUP BY id, part, code), c AS (SELECT id, string_agg(CASE WHEN code THEN t ELSE regexp_replace(t, '(?s)<!--.*?-->', '', 'g') END, '' ORDER BY first) AS text FROM p GROUP BY id)
+    SELECT id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?m)[ \\t]+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') || chr(10)) AS digest FROM c""",
 )
 def tidied_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts without the comments of their prose and without needless space; the SQL goes line by line."""
     return table(spark, d, "contents").where("text is not null").select("id", F.md5(T.tidy(F.col("text"))).alias("digest"))
 
 
@@ -269,8 +273,9 @@ def rendered_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "page_skip_reasons",
-    f"SELECT CASE WHEN starts_with(source_path, 'content/docs/contribute/') OR starts_with(source_path, 'content/docs/setup/') THEN 'excluded' WHEN title IS NULL THEN 'headless' WHEN trim(coalesce(text, '')) = '' THEN 'empty' END AS skip, count(*) AS chunks FROM {CHUNKS} GROUP BY 1",
+    f"SELECT CASE WHEN starts_with(source_path, 'content/docs/contribute/') OR starts_with(source_path, 'content/docs/setup/') THEN 'excluded' WHEN title IS NULL THEN 'headless' WHEN coalesce(n_tokens = 0, false) THEN 'draft' WHEN content_type IS NULL THEN 'not rendered' WHEN trim(coalesce(text, '')) = '' THEN 'empty' END AS skip, count(*) AS chunks FROM {CHUNKS} GROUP BY 1",
 )
 def page_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rows = chunks(spark, d).select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), F.lit(False).alias("draft"), F.lit(True).alias("rendered"), "text")
+    """Why pages are left out. The tables have no front matter: a page without a title stands for a headless one, without counted tokens for a draft, without a content type for one that isn't rendered."""
+    rows = chunks(spark, d).select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), (F.col("n_tokens") == 0).alias("draft"), F.col("content_type").isNotNull().alias("rendered"), "text")
     return pages.skip_reasons(rows, ("content/docs/contribute/", "content/docs/setup/")).groupBy("skip").agg(F.count("*").alias("chunks"))

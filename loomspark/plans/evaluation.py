@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomspark.functions import requests as R
 from loomspark.functions import text as T
 from loomspark.operators import metrics, validation
 from loomspark.operators.rows import latest
@@ -12,7 +13,7 @@ from loomspark.plans.catalog import ANSWERS, CHUNKS, ITEMS, query
 from loomspark.plans.search import _FACTS, _NORM, _PAGE_KEYED
 from loomspark.session import table
 
-SEED, SAMPLES = 7, 200
+SEED, SAMPLES, DISPLAY_SAMPLES = 7, 10_000, 2_000
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +81,7 @@ def citation_hit_precision(spark: SparkSession, d: str) -> DataFrame:
     """Whether a cited source covers a fact of the item, and the share of sources that do; null where an item has no evidence, and the precision also without sources."""
     a = answers(spark, d).select("row_id", "id", "sources")
     golden = items(spark, d)
-    text = latest(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "text")
+    text = latest(table(spark, d, "chunks"), "chunk_id", keep=("text",))
     cited = a.select("row_id", "id", F.posexplode("sources").alias("pos", "s")).select("row_id", "id", "pos", T.page_identity(F.col("s.url")).alias("page"), F.col("s.chunk_id").alias("chunk_id")).join(text, "chunk_id", "left")
     facts = metrics.facts_of(golden)
     covering = cited.join(facts, ["id", "page"]).where(T.contains_quote(F.col("text"), F.col("quote"))).select("row_id", "pos").distinct().groupBy("row_id").agg(F.count("*").alias("covering"))
@@ -100,9 +101,9 @@ def _poisson_sql(u: str) -> str:
     return f"CASE {' '.join(cases)} ELSE 7 END"
 
 
-def _bootstrap_sql(values: str, group: str) -> str:
-    u = f"CAST(('0x' || substr(md5(concat_ws(':', '{SEED}', s, unit)), 1, 8)) AS BIGINT) / 4294967296.0"
-    return f"""V AS ({values}), D AS (SELECT {group}, s, x, {_poisson_sql(u)} AS w FROM V, range({SAMPLES}) r(s)), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
+def _bootstrap_sql(values: str, group: str, samples: int = SAMPLES) -> str:
+    u = "CAST(('0x' || substr(h, 8 * p + 1, 8)) AS BIGINT) / 4294967296.0"
+    return f"""V AS ({values}), Z AS (SELECT {group}, q, x, md5(concat_ws(':', '{SEED}', q, unit)) AS h FROM V, range({(samples + 3) // 4}) r(q)), D AS (SELECT {group}, 4 * q + p AS s, x, {_poisson_sql(u)} AS w FROM Z, range(4) t(p) WHERE 4 * q + p < {samples}), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
     O AS (SELECT {group}, count(*) AS n, round(avg(x), 4) AS mean FROM V GROUP BY 1) SELECT O.{group}, n, mean, round(ms[greatest(CAST(floor(len(ms) * 0.025) AS INT) + 1, 1)], 4) AS low, round(ms[greatest(CAST(floor(len(ms) * 0.975) AS INT), 1)], 4) AS high, round(len(list_filter(ms, lambda m: m <= 0)) / len(ms), 4) AS share_not_above_0 FROM O JOIN L ON L.{group} = O.{group}"""
 
 
@@ -173,10 +174,22 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", "category").withColumn("r", F.row_number().over(order)).where(F.col("r") <= 20).where(F.col("r") <= quota).select("id", "category")
 
 
+QUOTAS = {"fact": 40, "howto": 30, "version": 25, "multihop": 20, "unanswerable": 20, "false_premise": 10}
+
+
+@query("split_quotas", f"SELECT CAST(sum(q) AS BIGINT) AS dev, CAST(sum(n) AS BIGINT) AS items, CAST(0 AS BIGINT) AS torn_pairs FROM (SELECT count(*) AS n, least(count(*), CASE category WHEN 'fact' THEN 40 WHEN 'howto' THEN 30 WHEN 'version' THEN 25 WHEN 'multihop' THEN 20 WHEN 'unanswerable' THEN 20 WHEN 'false_premise' THEN 10 ELSE 0 END) AS q FROM {ITEMS} GROUP BY category)")
+def split_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """What the assignment comes to: dev holds exactly its quotas (a pair counts for the category of its first item), and no pair is torn apart."""
+    assigned = validation.assign_splits(items(spark, d), QUOTAS, SEED)
+    tags = items(spark, d).select("id", F.regexp_extract(F.coalesce("notes", F.lit("")), r"pair:([\w.-]+)", 1).alias("tag"))
+    torn = assigned.join(tags.where("tag <> ''"), "id").groupBy("tag").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn_pairs"))
+    return assigned.agg(F.count_if(F.col("split") == "dev").alias("dev"), F.count("*").alias("items")).crossJoin(torn)  # one row each
+
+
 @query("split_assignment")
 def split_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Items of each category go to dev up to a quota and else to test; items that share a pair tag stay together."""
-    return validation.assign_splits(items(spark, d), {"fact": 40, "howto": 30, "version": 25, "multihop": 20, "unanswerable": 20, "false_premise": 10}, SEED)
+    return validation.assign_splits(items(spark, d), QUOTAS, SEED)
 
 
 _TARGETS = "(VALUES ('fact', 0.30), ('howto', 0.22), ('version', 0.18), ('multihop', 0.12), ('unanswerable', 0.12), ('false_premise', 0.06)) t(category, target)"
@@ -218,20 +231,45 @@ def schema_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_EVIDENCE = f"""F AS (SELECT DISTINCT id, fact, {_PAGE_KEYED.format('w.url')} AS page, {_NORM.format('w.quote')} AS quote, regexp_extract(w.url, '#(.*)$', 1) AS section FROM (SELECT i.id, CAST(u.o - 1 AS INT) AS fact, unnest(list_concat([struct_pack(url := u.e.url, quote := u.e.quote)], coalesce(u.e.alternatives, []))) AS w FROM {ITEMS} i, unnest(i.evidence) WITH ORDINALITY u(e, o))),
+    C AS (SELECT {_PAGE_KEYED.format('url')} AS page, anchor, {_NORM.format('text')} AS text, record_id, ord, chunk_id FROM {CHUNKS})"""
+
+
 @query(
     "evidence_check",
-    f"""WITH F AS {_FACTS}, C AS (SELECT {_PAGE_KEYED.format('url')} AS page, {_NORM.format('text')} AS text FROM {CHUNKS}), P AS (SELECT DISTINCT page FROM C),
-    Q AS (SELECT DISTINCT F.id, F.fact, F.page, F.quote FROM F), H AS (SELECT DISTINCT Q.id, Q.fact, Q.page, Q.quote FROM Q JOIN C ON C.page = Q.page AND length({_NORM.format('Q.quote')}) > 0 AND contains(C.text, {_NORM.format('Q.quote')}))
-    SELECT Q.id, Q.fact, Q.page, CASE WHEN P.page IS NULL THEN 'page missing' WHEN H.id IS NULL THEN 'quote missing' ELSE 'ok' END AS result, count(*) AS ways FROM Q LEFT JOIN P ON P.page = Q.page LEFT JOIN H ON H.id = Q.id AND H.fact = Q.fact AND H.page = Q.page AND H.quote = Q.quote GROUP BY 1, 2, 3, 4""",
+    f"""WITH {_EVIDENCE}, P AS (SELECT DISTINCT page FROM C), A AS (SELECT DISTINCT page, anchor FROM C),
+    H AS (SELECT F.page, F.quote, F.section, bool_or(true) AS held, bool_or(C.anchor = F.section) AS here FROM (SELECT DISTINCT page, quote, section FROM F) F JOIN C ON C.page = F.page AND length(F.quote) > 0 AND contains(C.text, F.quote) GROUP BY 1, 2, 3)
+    SELECT F.id, F.fact, F.page, CASE WHEN P.page IS NULL THEN 'page missing' WHEN H.held IS NULL THEN 'quote missing' WHEN F.section <> '' AND A.page IS NULL THEN 'section missing' WHEN F.section <> '' AND NOT coalesce(H.here, false) THEN 'quote not in section' ELSE 'ok' END AS result, count(*) AS ways
+    FROM F LEFT JOIN P ON P.page = F.page LEFT JOIN A ON A.page = F.page AND A.anchor = F.section LEFT JOIN H ON H.page = F.page AND H.quote = F.quote AND H.section = F.section GROUP BY 1, 2, 3, 4""",
 )
 def evidence_check(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that each way to state a fact breaks: its page must exist, and a chunk of the page must hold its quote."""
-    c = latest(table(spark, d, "chunks"), "chunk_id").select(T.page_identity(F.col("url")).alias("page"), "text")
-    ways = metrics.facts_of(items(spark, d)).distinct()
-    pages = c.select("page").distinct().withColumn("known", F.lit(True))
-    held = ways.join(c, "page").where(T.contains_quote(F.col("text"), F.col("quote"))).select("id", "fact", "page", "quote").distinct().withColumn("held", F.lit(True))
-    result = F.when(F.col("known").isNull(), "page missing").when(F.col("held").isNull(), "quote missing").otherwise("ok")
-    return ways.join(pages, "page", "left").join(held, ["id", "fact", "page", "quote"], "left").withColumn("result", result).groupBy("id", "fact", "page", "result").agg(F.count("*").alias("ways"))
+    """The first rule that each way to state a fact breaks: its page must exist, a chunk of the page must hold its quote, and where the URL names a section, the section must exist and hold it."""
+    return validation.check_evidence(_ways(spark, d), _passages(spark, d))
+
+
+def _ways(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.facts_of(items(spark, d), section=True).select("id", "fact", "page", T.normalised(F.col("quote")).alias("quote"), "section").distinct()
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    c = latest(table(spark, d, "chunks"), "chunk_id", keep=("url", "anchor", "text", "record_id", "ord"))
+    return c.select(T.page_identity(F.col("url")).alias("page"), "anchor", T.normalised(F.col("text")).alias("text"), "record_id", "ord", "chunk_id")
+
+
+@query(
+    "straddling_quotes",
+    f"""WITH {_EVIDENCE}, N AS (SELECT page, text, lead(text) OVER (PARTITION BY record_id ORDER BY ord, chunk_id) AS after FROM C), Q AS (SELECT DISTINCT page, quote FROM F WHERE quote <> ''), H AS (SELECT DISTINCT Q.page, Q.quote FROM Q JOIN C ON C.page = Q.page AND contains(C.text, Q.quote)), S AS (SELECT DISTINCT Q.page, Q.quote FROM Q JOIN N ON N.page = Q.page AND contains(N.text || ' ' || N.after, Q.quote))
+    SELECT F.id, F.fact, F.page, F.quote FROM F JOIN S ON S.page = F.page AND S.quote = F.quote WHERE NOT EXISTS (SELECT 1 FROM H WHERE H.page = F.page AND H.quote = F.quote)""",
+)
+def straddling_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """A warning: quotes that no chunk holds, but two consecutive chunks of a record together."""
+    return validation.straddling(_ways(spark, d), _passages(spark, d)).select("id", "fact", "page", "quote")
+
+
+@query("quota_mismatch", f"SELECT category, count(*) AS items, least(count(*), CASE category WHEN 'fact' THEN 40 WHEN 'howto' THEN 30 WHEN 'version' THEN 25 WHEN 'multihop' THEN 20 WHEN 'unanswerable' THEN 20 WHEN 'false_premise' THEN 10 ELSE 0 END) AS fits, CASE category WHEN 'fact' THEN 40 WHEN 'howto' THEN 30 WHEN 'version' THEN 25 WHEN 'multihop' THEN 20 WHEN 'unanswerable' THEN 20 WHEN 'false_premise' THEN 10 ELSE 0 END AS quota FROM {ITEMS} GROUP BY category")
+def quota_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    """What each category can give of its quota; `validation.assert_quotas` refuses to go on where one can't be filled."""
+    return validation.quota_fit(items(spark, d), QUOTAS)
 
 
 @query("unknown_versions", f"SELECT i.id, i.version FROM {ITEMS} i WHERE i.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version = i.version)")
@@ -245,10 +283,10 @@ def unknown_versions(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT row_id, round(list_sum(list_transform(retrieved, lambda r: CASE WHEN list_contains(list_transform(sources, lambda s: s.chunk_id), r) THEN 1.0 WHEN list_contains(list_transform(sources, lambda s: split_part(s.chunk_id, '::', 1)), split_part(r, '::', 1)) THEN 0.5 ELSE 0.0 END)) / nullif(len(retrieved), 0), 6) AS support FROM {ANSWERS}""",
 )
 def faithfulness(spark: SparkSession, d: str) -> DataFrame:
-    """Mean weight (1, a half, 0) of an answer's claims: here how its retrieved chunks are backed by cited ones, in full or by the same record; null without claims."""
+    """Mean weight (1, a half, 0) of an answer's claims; null without claims. The tables hold no judged claims, so each retrieved chunk stands for one, supported if it is cited and partly if its record is."""
     cited, records = F.transform("sources", lambda s: s["chunk_id"]), F.transform("sources", lambda s: F.split_part(s["chunk_id"], F.lit("::"), F.lit(1)))
-    weights = F.transform("retrieved", lambda r: F.when(F.array_contains(cited, r), 1.0).when(F.array_contains(records, F.split_part(r, F.lit("::"), F.lit(1))), 0.5).otherwise(0.0))
-    return answers(spark, d).select("row_id", F.round(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x) / F.expr("nullif(size(retrieved), 0)"), 6).alias("support"))
+    claims = F.transform("retrieved", lambda r: F.struct(r.alias("claim"), F.when(F.array_contains(cited, r), "supported").when(F.array_contains(records, F.split_part(r, F.lit("::"), F.lit(1))), "partial").otherwise("unsupported").alias("support")))
+    return answers(spark, d).select("row_id", F.round(R.faithfulness(claims), 6).alias("support"))
 
 
 @query("report_table", f"SELECT concat('| ', run, ' | ', count(*), ' | ', printf('%.3f', avg(CASE WHEN isnan(citation_precision) THEN NULL ELSE citation_precision END)), ' | ', printf('%.2f', sum(usd)), ' |') AS line FROM {ANSWERS} GROUP BY run")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import requests as R
@@ -53,21 +53,11 @@ def batch_estimate(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("run").agg(F.count("*").alias("requests"), F.sum(worst.cast("decimal(18,9)")).cast("double").alias("worst"))
 
 
-@query("all_terms_match", f"SELECT question_id, count(*) AS contents, min(doc) AS first_id FROM (SELECT question_id, doc FROM (SELECT * FROM {_TERMS} QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY term) <= 2) t JOIN {_POSTS} p USING (term) GROUP BY question_id, doc HAVING count(*) = 2) GROUP BY question_id")
-def all_terms_match(spark: SparkSession, d: str) -> DataFrame:
-    """The AND match: contents that hold every term of a query, here of each question's first two terms."""
-    first = Window.partitionBy("question_id").orderBy("term")
-    terms = search.query_terms(questions(spark, d), "id", F.col("question")).withColumn("r", F.row_number().over(first)).where("r <= 2")
-    posts = search.postings(table(spark, d, "contents").where("text is not null"), "id", F.col("text"))
-    both = terms.join(posts, "term").groupBy("question_id", "doc").agg(F.count("*").alias("n")).where("n = 2")
-    return both.groupBy("question_id").agg(F.count("*").alias("contents"), F.min("doc").alias("first_id"))
-
-
 _ALL_TERMS = f"(SELECT question_id, doc FROM {_TERMS} t JOIN {_POSTS} p USING (term) GROUP BY question_id, doc HAVING count(*) = max(q_len))"
 
 
-@query("every_term_match", f"SELECT q.question_id, count(m.doc) AS contents, min(m.doc) AS first_id FROM {_QUESTIONS} q LEFT JOIN {_ALL_TERMS} m ON m.question_id = q.question_id GROUP BY q.question_id")
-def every_term_match(spark: SparkSession, d: str) -> DataFrame:
+@query("all_terms_match", f"SELECT q.question_id, count(m.doc) AS contents, min(m.doc) AS first_id FROM {_QUESTIONS} q LEFT JOIN {_ALL_TERMS} m ON m.question_id = q.question_id GROUP BY q.question_id")
+def all_terms_match(spark: SparkSession, d: str) -> DataFrame:
     """The AND match over all terms of each question; a question without a match has 0 contents."""
     q = questions(spark, d)
     matched = search.all_terms(q, "id", F.col("question"), table(spark, d, "contents"), "id", F.col("text"))

@@ -26,7 +26,7 @@ def _top(scores: str, k: int) -> str:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "golden_items"), "id").where("split in ('dev', 'test')")
+    return latest(table(spark, d, "golden_items"), "id", keep=("split", "question", "version", "category", "evidence")).where("split in ('dev', 'test')")
 
 
 def contents(spark: SparkSession, d: str) -> DataFrame:
@@ -50,26 +50,43 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _by_terms(spark, d, 10, BM25)
 
 
+_RANKED = f"(SELECT h.*, row_number() OVER (PARTITION BY h.question_id, h.config_id ORDER BY CASE WHEN c.score_kind = 'distance' THEN h.score ELSE -h.score END, h.content_id) AS rank FROM {HITS} h JOIN retrieval_configs c USING (config_id))"
+
+
+def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
+    """hits without redeliveries and without null or NaN scores, with their rank in the list of question and config (lists hold at most the config's candidates)."""
+    hits = latest(table(spark, d, "hits").where("score is not null and not isnan(score)"), "question_id", "config_id", "content_id", keep=("score", "url"))
+    kinds = table(spark, d, "retrieval_configs").select("config_id", "score_kind")
+    strength = F.when(F.col("score_kind") == "distance", F.col("score")).otherwise(-F.col("score"))
+    return hits.join(kinds, "config_id").withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "config_id").orderBy(strength, "content_id")))
+
+
 @query(
-    "hybrid_topk",
+    "lexical_fusion_topk",
     f"""WITH P AS {_POSTS}, r AS (SELECT question_id, content_id, rank, 1 AS list_no FROM {_top(_KEYWORD, 50)} UNION ALL SELECT question_id, content_id, rank, 2 FROM {_top(_BM25, 50)}),
     f AS (SELECT question_id, content_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(list_no) AS first_list FROM r GROUP BY 1, 2) SELECT question_id, content_id, score, first_list, rank FROM {_top('f', 10)}""",
 )
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+def lexical_fusion_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Two term lists, keyword and BM25, fused."""
     a = _by_terms(spark, d, 50).withColumn("list_no", F.lit(1))
     b = _by_terms(spark, d, 50, BM25).withColumn("list_no", F.lit(2))
     return search.rrf(a.unionByName(b), 10).select("question_id", "content_id", "score", "first_list", "rank")
 
 
-_RANKED = f"(SELECT h.*, row_number() OVER (PARTITION BY h.question_id, h.config_id ORDER BY CASE WHEN c.score_kind = 'distance' THEN h.score ELSE -h.score END, h.content_id) AS rank FROM {HITS} h JOIN retrieval_configs c USING (config_id))"
+_DENSE = f"(SELECT question_id, content_id, min(rank) AS rank FROM {_RANKED} WHERE config_id = (SELECT min(config_id) FROM retrieval_configs WHERE method = 'vector') AND rank <= 50 GROUP BY 1, 2)"
 
 
-def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
-    """hits without redeliveries and without null or NaN scores, with their rank in the list of question and config (lists hold at most the config's candidates)."""
-    hits = latest(table(spark, d, "hits").where("score is not null and not isnan(score)"), "question_id", "config_id", "content_id")
-    kinds = table(spark, d, "retrieval_configs").select("config_id", "score_kind")
-    strength = F.when(F.col("score_kind") == "distance", F.col("score")).otherwise(-F.col("score"))
-    return hits.join(kinds, "config_id").withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "config_id").orderBy(strength, "content_id")))
+@query(
+    "hybrid_topk",
+    f"""WITH r AS (SELECT question_id, content_id, rank, 1 AS list_no FROM {_DENSE} UNION ALL SELECT question_id, content_id, rank, 2 FROM {_top(_KEYWORD, 50)}),
+    f AS (SELECT question_id, content_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(list_no) AS first_list FROM r GROUP BY 1, 2) SELECT question_id, content_id, score, first_list, rank FROM {_top('f', 10)}""",
+)
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Dense and sparse: the first vector config's stored list of 50 and the keyword search's 50, fused. `answers.retrieve` does the same with embedded questions."""
+    first = table(spark, d, "retrieval_configs").where("method = 'vector'").agg(F.min("config_id").alias("config_id"))  # one row
+    dense = ranked_hits(spark, d).where("rank <= 50").join(F.broadcast(first), "config_id", "left_semi").select("question_id", "content_id", "rank", F.lit(1).alias("list_no"))
+    sparse = _by_terms(spark, d, 50).select("question_id", "content_id", "rank", F.lit(2).alias("list_no"))
+    return search.rrf(dense.unionByName(sparse), 10).select("question_id", "content_id", "score", "first_list", "rank")
 
 
 @query("rrf_fusion", f"WITH f AS (SELECT question_id, content_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(config_id) AS first_list FROM {_RANKED} GROUP BY 1, 2) SELECT question_id, content_id, score, first_list, rank FROM {_top('f', 8)}")
@@ -79,10 +96,10 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "candidate_union",
-    f"WITH u AS (SELECT question_id, content_id, min(struct_pack(l := config_id, r := rank)) AS a FROM {_RANKED} WHERE config_id IN (1, 2) GROUP BY 1, 2) SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY a.l, a.r) AS position FROM u",
+    f"WITH u AS (SELECT question_id, content_id, min(struct_pack(l := config_id, r := rank)) AS a FROM {_RANKED} GROUP BY 1, 2) SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY a.l, a.r) AS position FROM u",
 )
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    return search.union_of_candidates(ranked_hits(spark, d).where("config_id in (1, 2)").withColumnRenamed("config_id", "list_no"))
+    return search.union_of_candidates(ranked_hits(spark, d).withColumnRenamed("config_id", "list_no"))
 
 
 _OVERLAP = f"len(list_intersect(list_distinct({_TOK.format('q.question')}), list_distinct({_TOK.format('c.text')}))) / greatest(len(list_distinct({_TOK.format('q.question')})), 1)"
@@ -95,12 +112,11 @@ def _with_texts(spark: SparkSession, d: str) -> DataFrame:
     return ranked_hits(spark, d).select("question_id", "config_id", "content_id", "rank").join(q, "question_id").join(c, "content_id")
 
 
-@query("rerank_topk", f"SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, rank) AS new_rank FROM ({_RERANKED} WHERE r.config_id = 1) QUALIFY new_rank <= 5")
+@query("rerank_topk", f"SELECT *, row_number() OVER (PARTITION BY question_id, config_id ORDER BY rerank_score DESC, rank) AS new_rank FROM ({_RERANKED}) QUALIFY new_rank <= 5")
 def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
     q, t = F.array_distinct(T.tokens(F.col("question"))), F.array_distinct(T.tokens(F.col("text")))
     overlap = F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), 6)
-    rows = _with_texts(spark, d).where("config_id = 1")
-    return search.rerank(rows, overlap, 5).select("question_id", "config_id", "content_id", "rank", "rerank_score", "new_rank")
+    return search.rerank(_with_texts(spark, d), overlap, 5, ("question_id", "config_id")).select("question_id", "config_id", "content_id", "rank", "rerank_score", "new_rank")
 
 
 _WORDS = "len(list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> ''))"
@@ -123,7 +139,7 @@ _COS = "round(list_inner_product(CAST(a.{0} AS DOUBLE[]), CAST(b.{0} AS DOUBLE[]
 @query("vector_topk", f"WITH v AS {_VECTORS}, s AS (SELECT a.id AS question_id, b.id AS content_id, {_COS.format('embedding')} AS score FROM v a JOIN v b ON a.model = b.model AND a.id <> b.id WHERE a.id % 50 = 0) SELECT question_id, content_id, score, rank FROM {_top('s', 10)}")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """Exact neighbours of the query set (ids divisible by 50) among all vectors of the same model, told by its length."""
-    v = latest(table(spark, d, "content_vectors"), "content_id", "model").select(F.col("content_id").alias("id"), F.col("model").alias("grp"), F.col("embedding").alias("v"))
+    v = latest(table(spark, d, "content_vectors"), "content_id", "model", keep=("embedding",)).select(F.col("content_id").alias("id"), F.col("model").alias("grp"), F.col("embedding").alias("v"))
     return search.exact_vector_top_k(v.where("id % 50 = 0"), v, 10)
 
 
@@ -143,16 +159,43 @@ def occurrence_choice(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "hits").where("score is not null and not isnan(score)").select("question_id", "content_id").distinct()
     q = questions(spark, d).select(F.col("id").alias("question_id"), F.col("version").alias("wanted_version"))
     c = contents(spark, d).select(F.col("id").alias("content_id"), F.sha2("text", 256).alias("content_hash"))
-    o = latest(table(spark, d, "chunks"), "chunk_id").select("content_hash", "chunk_id", "version")
+    o = latest(table(spark, d, "chunks"), "chunk_id", keep=("content_hash", "version"))
     wanted = hits.join(q, "question_id").join(c, "content_id")
     return search.choose_occurrence(wanted, o, "content_hash", T.version_key(F.col("version"))).select("question_id", "content_id", "wanted_version", "chunk_id", "version")
 
 
-@query("missing_embeddings", f"SELECT c.id, c.index_name FROM contents c WHERE NOT EXISTS (SELECT 1 FROM {_VECTORS} v WHERE v.id = c.id AND v.model = 'lumen-embed-mini')")
+@query("missing_embeddings", f"SELECT m.model, c.id, c.index_name FROM contents c, (SELECT DISTINCT model FROM content_vectors WHERE model IS NOT NULL) m WHERE NOT EXISTS (SELECT 1 FROM {_VECTORS} v WHERE v.id = c.id AND v.model = m.model)")
 def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The contents that have no usable vector, for each model, in the order of their ids."""
+    v = _usable(spark, d).select("model", F.col("content_id").alias("id"))
+    models = table(spark, d, "content_vectors").where("model is not null").select("model").distinct()  # a handful of rows
+    return table(spark, d, "contents").select("id", "index_name").crossJoin(F.broadcast(models)).join(v, ["model", "id"], "left_anti").select("model", "id", "index_name").sortWithinPartitions("model", "id")
+
+
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that are finite, not zero and of their model's length."""
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = latest(table(spark, d, "content_vectors"), "content_id", "model").where((F.col("model") == "lumen-embed-mini") & (F.size("embedding") == 64) & finite)
-    return table(spark, d, "contents").join(v.select(F.col("content_id").alias("id")), "id", "left_anti").select("id", "index_name")
+    dim = F.when(F.col("model") == "lumen-embed-2", 96).otherwise(64)
+    return latest(table(spark, d, "content_vectors"), "content_id", "model", keep=("embedding",)).where((F.size("embedding") == dim) & finite)
+
+
+@query("embedded_counts", f"SELECT model, count(DISTINCT id) AS contents FROM {_VECTORS} WHERE id IN (SELECT id FROM contents) GROUP BY model")
+def embedded_counts(spark: SparkSession, d: str) -> DataFrame:
+    v = _usable(spark, d).select("model", F.col("content_id").alias("id"))
+    return v.join(table(spark, d, "contents").select("id"), "id", "left_semi").groupBy("model").agg(F.count("*").alias("contents"))
+
+
+_L2 = "round(sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 5)"
+
+
+@query("vector_distances", f"WITH v AS {_VECTORS}, s AS (SELECT a.model, a.id AS question_id, b.id AS content_id, {_L2} AS distance FROM v a JOIN v b ON a.model = b.model AND a.id <> b.id WHERE a.id % 50 = 0) SELECT model, question_id, content_id, distance FROM s QUALIFY row_number() OVER (PARTITION BY model, question_id ORDER BY distance, content_id) <= 3")
+def vector_distances(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest vectors by Euclidean distance of the query set (ids divisible by 50), by model."""
+    v = _usable(spark, d).select("model", F.col("content_id").alias("id"), "embedding")
+    asked = v.where("id % 50 = 0").select("model", F.col("id").alias("question_id"), F.col("embedding").alias("e"))
+    pairs = v.join(F.broadcast(asked), "model").where("id <> question_id").select("model", "question_id", F.col("id").alias("content_id"), F.round(T.euclidean(F.col("e"), F.col("embedding")), 5).alias("distance"))
+    order = Window.partitionBy("model", "question_id").orderBy("distance", "content_id")
+    return pairs.withColumn("r", F.row_number().over(order)).where("r <= 3").drop("r")
 
 
 _PAGE = "regexp_replace(regexp_replace({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', '')"
@@ -171,7 +214,7 @@ _METRICS = _METRICS.replace("(SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i)
 def covered(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "contents").select(F.col("id").alias("content_id"), "text")
     ranked = ranked_hits(spark, d).select("config_id", F.col("question_id").alias("id"), "rank", T.page_identity(F.col("url")).alias("page"), "content_id").join(c, "content_id")
-    facts = metrics.facts_of(latest(table(spark, d, "golden_items"), "id"))
+    facts = metrics.facts_of(latest(table(spark, d, "golden_items"), "id", keep=("evidence",)))
     return metrics.first_covering_rank(ranked, facts, ["config_id"])
 
 
@@ -191,6 +234,6 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
 )
 def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
     """Means overall and by category in one pass."""
-    m = metrics.retrieval_metrics(covered(spark, d), ["config_id"]).join(latest(table(spark, d, "golden_items"), "id").select("id", "category"), "id")
+    m = metrics.retrieval_metrics(covered(spark, d), ["config_id"]).join(latest(table(spark, d, "golden_items"), "id", keep=("category",)), "id")
     means = [F.round(F.avg(c), 4).alias(c) for c in ("recall_5", "recall_10", "mrr", "ndcg_10")]
     return m.rollup("config_id", "category").agg(F.count("*").alias("items"), *means).where("config_id is not null").withColumn("category", F.coalesce("category", F.lit("all")))
