@@ -17,6 +17,16 @@ def html_to_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.convert(t) if t is not None else None)
 
 
+@F.pandas_udf("double")
+def weighted_median(values: pd.Series, weights: pd.Series) -> float:
+    """A group's value at half of its weight; null for a group without weight. The group lies in one task, so it is for groups of a known size."""
+    kept = pd.DataFrame({"v": values, "w": weights}).dropna()
+    kept = kept[kept["w"] > 0].sort_values("v", kind="stable")
+    if kept.empty:
+        return None
+    return float(kept["v"].to_numpy()[(kept["w"].cumsum().to_numpy() >= kept["w"].sum() / 2).argmax()])
+
+
 @F.udtf(returnType="ord int, anchor string, heading_path array<string>, text string, n_tokens int")
 class ChunkText:
     """chunk_text(title, text, most, least): the chunks of a page, for LATERAL joins."""
@@ -29,4 +39,5 @@ class ChunkText:
 
 def register(spark: SparkSession) -> None:
     spark.udf.register("html_to_markdown", html_to_markdown)
+    spark.udf.register("weighted_median", weighted_median)
     spark.udtf.register("chunk_text", ChunkText)

@@ -72,3 +72,31 @@ def stage_line(stage: Column, since: Column, until: Column, on: Column) -> Colum
 
 def index_name(model: Column, dim: Column) -> Column:
     return F.concat(F.lit("vectors_"), F.regexp_replace(F.lower(model), "[^a-z0-9]+", "_"), F.lit("_"), dim.cast("string"))
+
+
+def rerank_key(model: Column, question: Column, texts: Column) -> Column:
+    """The cache key of a rerank call; texts is one string of the hashes of its texts."""
+    return F.sha2(F.concat(model, F.lit("\n"), question, F.lit("\n"), texts), 256)
+
+
+def rendered_answer(answer: Column, stop_reason: Column, urls: Column) -> Column:
+    """An answer's text, a note if it was cut off, and its sources by number."""
+    note = F.when(stop_reason == "max_tokens", "\n\n(answer cut off)").otherwise("")
+    listed = F.array_join(F.transform(urls, lambda u, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), u)), "\n")
+    return F.concat(F.coalesce(answer, F.lit("")), note, F.coalesce(F.concat(F.lit("\n\n"), F.nullif(listed, F.lit(""))), F.lit("")))
+
+
+def gate_stage(stage: Column, since: Column, until: Column, on: Column, locked: Column) -> Column:
+    """'- beta (enabled by default, locked): 1.43+': a stage that has no end goes on, one that ends where it began is one version."""
+    span = F.when(until.isNull(), F.concat(since, F.lit("+"))).when(until == since, since).otherwise(F.concat(since, F.lit("–"), until))
+    return F.concat(F.lit("- "), stage, F.lit(" ("), F.when(on, "enabled").otherwise("disabled"), F.lit(" by default"), F.when(locked, ", locked").otherwise(""), F.lit("): "), span)
+
+
+def gate_text(name: Column, version: Column, stages: Column, removed: Column, description: Column, product: str) -> Column:
+    """The text of a feature gate's record: whether and how it is there in a version, its stages(stage, fromVersion, toVersion, defaultValue, locked) and its description."""
+    now = F.element_at(stages, -1)
+    there = F.concat(F.lit(f"In {product} v"), version, F.lit(", the `"), name, F.lit("` feature gate is at the "), now["stage"], F.lit(" stage and is "), F.when(F.coalesce(now["defaultValue"], F.lit(False)), "enabled").otherwise("disabled"), F.lit(" by default."))
+    gone = F.concat(F.lit("The `"), name, F.lit(f"` feature gate has been removed from {product}."))
+    lines = F.array_join(F.transform(stages, lambda s: gate_stage(s["stage"], s["fromVersion"], s["toVersion"], F.coalesce(s["defaultValue"], F.lit(False)), F.coalesce(s["locked"], F.lit(False)))), "\n")
+    body = F.concat(F.lit("# Feature gate: "), name, F.lit("\n\n"), F.when(removed, gone).otherwise(there), F.lit("\n\nStage history:\n"), lines, F.lit("\n\n"), F.trim(F.coalesce(description, F.lit(""))))
+    return F.concat(F.regexp_replace(body, r"\s+$", ""), F.lit("\n"))

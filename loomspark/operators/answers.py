@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import embedding, search
-from loomspark.session import spread
+from loomspark.session import spread, written
 
 
 @dataclass(frozen=True)
 class RetrievalConfig:
     """method: vector, keyword, bm25 or hybrid (vector and keyword, fused); rerank: reorder the candidates by word overlap; k of them are
-    kept; model: the embedder of the questions, out of the registry; index_name: the index searched, where contents name theirs (None: all)."""
+    kept; model: the embedder of the questions, out of the registry; index_name: the index searched, where contents name theirs (None: all); exact: compare all
+    vectors, or only those in the cells nearest to a question; reranker: the scorer's name."""
 
     method: str = "hybrid"
     rerank: bool = True
@@ -23,13 +26,15 @@ class RetrievalConfig:
     k: int = 8
     model: str = "hashed-64"
     index_name: str | None = "heading-plain"
+    exact: bool = True
+    reranker: str = "overlap"
 
     def __post_init__(self) -> None:
-        if self.method not in ("vector", "keyword", "bm25", "hybrid") or not 0 < self.k <= self.candidates:
+        if self.reranker not in RERANKERS or self.method not in ("vector", "keyword", "bm25", "hybrid") or not 0 < self.k <= self.candidates:
             raise ValueError(f"not a retrieval config: {self}")
 
 
-def _by_vectors(questions: DataFrame, contents: DataFrame, vectors: DataFrame | None, model: str, k: int) -> DataFrame:
+def _by_vectors(questions: DataFrame, contents: DataFrame, vectors: DataFrame | None, model: str, k: int, exact: bool) -> DataFrame:
     """The k contents nearest to each question; vectors(id, model, embedding) are used where the model has one, others are made."""
     asked = embedding.embed_texts(questions, "question_id", "question", model)
     rows = contents.select(F.col("id").cast("long").alias("id"), "text").where("id is not null and text is not null")
@@ -41,7 +46,7 @@ def _by_vectors(questions: DataFrame, contents: DataFrame, vectors: DataFrame |
     if "version" in questions.columns and "versions" in contents.columns:
         parts[0] = parts[0].join(questions.select(F.col("question_id").alias("id"), "version"), "id")
         parts[1] = parts[1].join(contents.select(F.col("id").cast("long").alias("id"), "versions"), "id")
-    return search.exact_vector_top_k(*parts, k, own=False)
+    return search.vector_top_k(*parts, k, own=False, exact=exact)
 
 
 def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None) -> DataFrame:
@@ -56,7 +61,7 @@ def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig,
     if versioned:
         terms = terms.join(questions.select("question_id", "version"), "question_id")
     by = lambda bm25: search.term_search(terms, contents, "id", F.col("text"), depth, bm25, F.col("versions") if versioned else None)
-    lists = {"keyword": lambda: by(None), "bm25": lambda: by((1.2, 0.75)), "vector": lambda: _by_vectors(questions, contents, vectors, config.model, depth)}
+    lists = {"keyword": lambda: by(None), "bm25": lambda: by((1.2, 0.75)), "vector": lambda: _by_vectors(questions, contents, vectors, config.model, depth, config.exact)}
     if config.method == "hybrid":
         both = [lists[m]().withColumn("list_no", F.lit(i)) for i, m in enumerate(("vector", "keyword"))]
         ranked = search.rrf(both[0].unionByName(both[1]), depth)
@@ -64,10 +69,70 @@ def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig,
         ranked = lists[config.method]()
     if not config.rerank:
         return ranked.select("question_id", "content_id", "rank", "score")
-    q, t = F.array_distinct(T.tokens(F.col("question"))), F.array_distinct(T.tokens(F.col("text")))
-    overlap = F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), 6)
     rows = ranked.join(questions.select("question_id", "question"), "question_id").join(contents.select(F.col("id").alias("content_id"), "text"), "content_id")
-    return search.rerank(rows, overlap, config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+    return search.rerank(rows, reranker(config.reranker)(F.col("question"), F.col("text")), config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+
+
+#: Rerank scorers by name: a function of the question's and the text's columns. Models of one's own are put in by name; others are refused.
+RERANKERS = {"overlap": lambda q, t: F.round(F.size(F.array_intersect(F.array_distinct(T.tokens(q)), F.array_distinct(T.tokens(t)))) / F.greatest(F.size(F.array_distinct(T.tokens(q))), F.lit(1)), 6)}
+
+
+def reranker(name: str):
+    if name not in RERANKERS:
+        raise ValueError(f"no rerank model {name}; allowed are {', '.join(sorted(RERANKERS))}")
+    return RERANKERS[name]
+
+
+QUERY_MODES = ("original", "rewrite", "hyde", "union")
+
+
+def searched_questions(questions: DataFrame, rewrites: DataFrame | None, mode: str) -> DataFrame:
+    """(question_id, list_no, question, …) that is searched for by a query mode: the question itself, its rewrite(question_id, rewrite, hyde), a passage that would answer it, or question and rewrite, whose
+    candidates are united. A question without a rewrite is searched for as it is; reranking always uses the question."""
+    if mode not in QUERY_MODES:
+        raise ValueError(f"no query mode {mode}")
+    if mode == "original" or rewrites is None:
+        return questions.withColumn("list_no", F.lit(1))
+    joined = questions.join(rewrites.select("question_id", "rewrite", "hyde"), "question_id", "left")
+    other = F.coalesce(F.col("hyde" if mode == "hyde" else "rewrite"), F.col("question"))
+    changed = joined.withColumn("question", other).withColumn("list_no", F.lit(2 if mode == "union" else 1)).drop("rewrite", "hyde")
+    return questions.withColumn("list_no", F.lit(1)).unionByName(changed) if mode == "union" else changed
+
+
+def retrieve_by_mode(questions: DataFrame, contents: DataFrame, config: RetrievalConfig, rewrites: DataFrame | None = None, mode: str = "original", vectors: DataFrame | None = None) -> DataFrame:
+    """`retrieve` for a query mode: lists of candidates are united, those of the question first, and reranked by the question itself, or cut at k."""
+    plain = replace(config, rerank=False, k=config.candidates if config.rerank or mode == "union" else config.k)
+    asked = searched_questions(questions, rewrites, mode)
+    lists = [retrieve(asked.where(F.col("list_no") == n).drop("list_no"), contents, plain, vectors).withColumn("list_no", F.lit(n)) for n in ((1, 2) if mode == "union" else (1,))]
+    united = search.union_of_candidates(reduce(DataFrame.unionByName, lists)).withColumnRenamed("position", "rank")
+    if not config.rerank:
+        return united.where(F.col("rank") <= config.k)
+    rows = united.join(questions.select("question_id", "question"), "question_id").join(contents.select(F.col("id").alias("content_id"), "text"), "content_id")
+    return search.rerank(rows, reranker(config.reranker)(F.col("question"), F.col("text")), config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+
+
+@dataclass(frozen=True)
+class Asked:
+    """Answers of a table of questions, the versions chosen, and the seconds that each stage took."""
+
+    answers: DataFrame
+    versions: DataFrame
+    seconds: dict[str, float]
+
+
+def ask(questions: DataFrame, versions: DataFrame, contents: DataFrame, config: RetrievalConfig, vectors: DataFrame | None = None) -> Asked:
+    """All questions(question_id, question) through the pipeline, stage by stage, each written so that its time can be told: versions(question_id, version, note), retrieval in the version, answers."""
+    seconds, began = {}, time.perf_counter()
+
+    def done(stage: str, df: DataFrame) -> DataFrame:
+        nonlocal began
+        out = written(df)
+        seconds[stage], began = round(time.perf_counter() - began, 3), time.perf_counter()
+        return out
+
+    chosen = done("version", versions)
+    hits = done("retrieve", retrieve(questions.join(chosen.select("question_id", "version"), "question_id"), contents, config, vectors))
+    return Asked(done("answer", extractive_answers(questions, hits, contents)), chosen, seconds)
 
 
 def extractive_answers(questions: DataFrame, ranked: DataFrame, contents: DataFrame, least: float = 0.2) -> DataFrame:

@@ -73,3 +73,14 @@ def heading_paths(df: DataFrame, record: str, order: str, level: str, title: str
         latest_higher = F.coalesce(F.greatest(*higher) if len(higher) > 1 else higher[0] if higher else F.lit(None), F.lit(-1))
         open_heads.append(F.when(levels[k]["o"] > latest_higher, levels[k]["t"]))
     return out.withColumn("path", F.array_compact(F.array(*open_heads))).drop(*[f"_h{k}" for k in range(deepest + 1)])
+
+
+#: name -> function of (texts, id column, text) that gives a row per chunk. Strategies of one's own are put in by name.
+STRATEGIES = {"fixed-128": lambda df, id, text: fixed_windows(df, id, text, 128, 16), "fixed-512": lambda df, id, text: fixed_windows(df, id, text, 512, 64)}
+
+
+def chunked(strategy: str, df: DataFrame, id: str, text: Column) -> DataFrame:
+    """The chunks of a strategy by name."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"no strategy {strategy}; there are {', '.join(sorted(STRATEGIES))}")
+    return STRATEGIES[strategy](df, id, text)

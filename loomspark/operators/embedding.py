@@ -45,6 +45,21 @@ def embed_texts(df: DataFrame, key: str, text: str, model: str) -> DataFrame:
     return df.select(key, F.col(text).alias("t")).mapInArrow(work, f"{key} {kind}, model string, embedding array<float>")
 
 
+def verified(embedded: DataFrame, contents: DataFrame, key: str) -> DataFrame:
+    """embedded, after a check that every different key of the contents has a vector of its model's length; raises with the number that lack one."""
+    lack = contents.select(key).distinct().join(embedded.where("size(embedding) > 0").select(key), key, "left_anti").count()
+    if lack:
+        raise ValueError(f"{lack} contents without a vector")
+    return embedded
+
+
+def with_cache(rows: DataFrame, cache: DataFrame, key: str, value: str, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(value of every row's key, what is new and has to be added to the cache): keys that the append-only cache(key, value, seq) lacks are made, once each; the last write of a key counts."""
+    last = cache.groupBy(key).agg(F.max_by(value, "seq").alias(value))
+    made = make(rows.dropDuplicates([key]).join(last, key, "left_anti")).select(key, value)
+    return rows.join(last.unionByName(made), key), made
+
+
 def embed_missing(contents: DataFrame, cache: DataFrame, key: str, text: str, model: str) -> DataFrame:
     """(key, model, embedding) for all contents: out of the cache where the model has the key, else made, once per key."""
     wanted = contents.groupBy(key).agg(F.first(text).alias(text))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,14 +62,14 @@ def admitted(requests: DataFrame, client: str, ts: str, id: str, most: int, seco
     in order as a stream, however many there are."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, recent = object(), []
+        current, recent = object(), deque()
         for pdf in batches:
             flags = []
             for who, t in zip(pdf[client], pdf["_t"]):
                 if who != current:
-                    current, recent = who, []
+                    current, recent = who, deque()
                 while recent and recent[0] <= t - seconds:
-                    recent.pop(0)
+                    recent.popleft()
                 ok = len(recent) < most
                 if ok:
                     recent.append(t)

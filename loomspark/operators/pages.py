@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.functions import html, sections, shortcodes
+from loomspark.functions import html, sections, shortcodes, sites
 from loomspark.functions.text import tag_count
 from loomspark.session import cut
 
@@ -134,6 +134,19 @@ def chunk_pages(df: DataFrame, id: str, title: str, text: str, states: str | Non
     return rows.mapInPandas(work, f"chunk_id string, id string, ord int, heading_path array<string>, anchor string, text string, n_tokens int, feature_states array<{STATE}>")
 
 
+def chunk_rows(chunks: DataFrame, records: DataFrame, id: str = "id") -> DataFrame:
+    """Chunks as they are stored: with their URL (the record's with the first section's anchor), the hash of their text, and the record's version, source and commit.
+
+    chunks: as `chunk_pages` gives them; records: id, url, version, kind, title, source_path, commit."""
+    rows = chunks.join(records.select(F.col("id").cast("string").alias(id), "url", "version", "kind", "title", "source_path", "commit"), id)
+    return rows.withColumn("url", sites.chunk_url(F.lit(""), F.col("url"), F.col("anchor"))).withColumn("content_hash", F.sha2("text", 256))
+
+
+def state_mismatches(pages: DataFrame, text: str, states: str) -> DataFrame:
+    """The pages whose text has another number of state lines than the page has states."""
+    return pages.withColumn("lines", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"(?m)^Feature state: "))).where(F.col("lines") != F.size(F.coalesce(F.col(states), F.array().cast(f"array<{STATE}>"))))
+
+
 def skip_reasons(pages: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
     """pages(path, headless, draft, rendered, text) with skip: why a page is left out, null if it isn't; the first reason that holds counts."""
     out = F.lit(False)

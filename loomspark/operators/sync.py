@@ -24,8 +24,23 @@ def sync_plan(existing: DataFrame, incoming: DataFrame, key: str = "key", id: st
     return kept.unionByName(inserted.select(key, F.col("id").cast("long").alias("id"), F.lit("insert").alias("action")))
 
 
-def sync_stats(plan: DataFrame) -> DataFrame:
-    return plan.groupBy("action").agg(F.count("*").alias("contents"))
+def sync_stats(plan: DataFrame, occurrences: DataFrame | None = None, key: str = "key") -> DataFrame:
+    """(action, contents, and with occurrences(key) how many of them the contents have)."""
+    if occurrences is None:
+        return plan.groupBy("action").agg(F.count("*").alias("contents"))
+    counts = occurrences.groupBy(key).agg(F.count("*").alias("_n"))
+    return plan.join(counts, key, "left").groupBy("action").agg(F.count("*").alias("contents"), F.sum(F.coalesce("_n", F.lit(0))).alias("occurrences"))
+
+
+def replace_partitions(rows: DataFrame, path: str, *by: str) -> None:
+    """Writes rows over the partitions that they belong to, wholesale; other partitions, as of other indexes or versions, are left as they are. A partition is only replaced when its new files are complete."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def stage(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a temporary view for SQL, as a bulk load stages them."""
+    rows.createOrReplaceTempView(name)
+    return rows.sparkSession.table(name)
 
 
 def surviving(rows: DataFrame, plan: DataFrame, id: str) -> DataFrame:

@@ -17,25 +17,26 @@ _FIRST = f"SELECT key, arg_min(struct_pack(content_hash := content_hash, kind :=
 _JOINED = "array_to_string(list_transform(vs, lambda v: array_to_string(list_transform(v, lambda p: CAST(p AS VARCHAR)), '.')), ',')"
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "chunks"), "chunk_id")
+def chunks(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    """The chunks without redeliveries, with the columns that a query needs (all, if none are named)."""
+    return latest(table(spark, d, "chunks"), "chunk_id", keep=keep or None)
 
 
 @query("dedupe_contents", f"SELECT key, f.content_hash AS content_hash, f.kind AS kind, f.n AS n_tokens, {_JOINED} AS versions, occurrences FROM ({_FIRST})")
 def dedupe_contents(spark: SparkSession, d: str) -> DataFrame:
-    c = dedupe.contents_of(chunks(spark, d), F.col("text"))
+    c = dedupe.contents_of(chunks(spark, d, "version", "ord", "content_hash", "kind", "text", "n_tokens"), F.col("text"))
     return c.select("key", "content_hash", "kind", "n_tokens", F.array_join("versions", ",").alias("versions"), "occurrences")
 
 
 @query("dedupe_occurrences", f"SELECT sha256(coalesce(text, '')) AS key, chunk_id, version, url, title, array_to_string(heading_path, ' > ') AS path, content_type FROM {CHUNKS}")
 def dedupe_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "chunk_id", "version", "url", "title", F.array_join("heading_path", " > ").alias("path"), "content_type")
+    return chunks(spark, d, "text", "version", "url", "title", "heading_path", "content_type").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "chunk_id", "version", "url", "title", F.array_join("heading_path", " > ").alias("path"), "content_type")
 
 
 @query("breadcrumb_dedupe", f"SELECT sha256(concat(array_to_string(heading_path, ' > '), chr(10), chr(10), text)) AS key, count(*) AS occurrences, min(chunk_id) AS first_chunk FROM {CHUNKS} GROUP BY 1")
 def breadcrumb_dedupe(spark: SparkSession, d: str) -> DataFrame:
     key = F.sha2(T.breadcrumb(F.coalesce("heading_path", F.array().cast("array<string>")), F.coalesce("text", F.lit(""))), 256)
-    return chunks(spark, d).groupBy(key.alias("key")).agg(F.count("*").alias("occurrences"), F.min("chunk_id").alias("first_chunk"))
+    return chunks(spark, d, "heading_path", "text").groupBy(key.alias("key")).agg(F.count("*").alias("occurrences"), F.min("chunk_id").alias("first_chunk"))
 
 
 @query(
@@ -47,7 +48,7 @@ def breadcrumb_dedupe(spark: SparkSession, d: str) -> DataFrame:
     CAST(count(*) FILTER (most > 1) AS BIGINT) AS on_several_pages, CAST(count(*) FILTER (occ > pages) AS BIGINT) AS repeated_in_a_page FROM k JOIN m USING (key)""",
 )
 def dedupe_report(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "version", "record_id", F.coalesce("n_tokens", F.lit(0)).alias("n"))
+    c = chunks(spark, d, "text", "version", "record_id", "n_tokens").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "version", "record_id", F.coalesce("n_tokens", F.lit(0)).alias("n"))
     per_version = c.groupBy("key", "version").agg(F.count("*").alias("occ"), F.countDistinct("record_id").alias("pages"), F.min("n").alias("least"), F.sum("n").alias("all"))
     per_key = per_version.groupBy("key").agg(F.sum("occ").alias("occ"), F.max("pages").alias("most"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.sum("all").alias("all"))
     return per_key.agg(
@@ -58,7 +59,7 @@ def dedupe_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("version_set_histogram", f"SELECT {_JOINED} AS versions, count(*) AS contents FROM ({_FIRST}) GROUP BY 1")
 def version_set_histogram(spark: SparkSession, d: str) -> DataFrame:
-    c = dedupe.contents_of(chunks(spark, d), F.col("text"))
+    c = dedupe.contents_of(chunks(spark, d, "version", "ord", "content_hash", "kind", "text", "n_tokens"), F.col("text"))
     return c.groupBy(F.array_join("versions", ",").alias("versions")).agg(F.count("*").alias("contents")).orderBy(F.desc("contents"), "versions")
 
 
@@ -68,7 +69,7 @@ def version_set_histogram(spark: SparkSession, d: str) -> DataFrame:
     FROM {CHUNKS} GROUP BY 1, 2) GROUP BY key HAVING count(DISTINCT meta) > 1""",
 )
 def metadata_differs(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.metadata_differs(chunks(spark, d), F.sha2(F.coalesce("text", F.lit("")), 256), ["title", "content_type"])
+    return dedupe.metadata_differs(chunks(spark, d, "text", "version", "title", "content_type"), F.sha2(F.coalesce("text", F.lit("")), 256), ["title", "content_type"])
 
 
 @query(
@@ -78,7 +79,7 @@ def metadata_differs(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """The element at int(n * p), counted from 0, of the sorted word counts; by a histogram, as counts repeat while chunks grow."""
-    n = chunks(spark, d).where("text is not null").groupBy("version", T.word_count(F.col("text")).cast("long").alias("w")).agg(F.count("*").alias("c"))
+    n = chunks(spark, d, "version", "text").where("text is not null").groupBy("version", T.word_count(F.col("text")).cast("long").alias("w")).agg(F.count("*").alias("c"))
     by = Window.partitionBy("version").orderBy("w")
     run = n.withColumn("upto", F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy("version")))
     at = lambda p: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("all") * p), F.col("all") - 1), F.col("w")))
@@ -91,7 +92,7 @@ def token_percentiles(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT *, array_length(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM {CHUNKS}) GROUP BY version, kind""",
 )
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).withColumn("n", T.word_count(F.col("text")))
+    c = chunks(spark, d, "version", "kind", "text", "content_hash", "n_tokens").withColumn("n", T.word_count(F.col("text")))
     return c.groupBy("version", "kind").agg(
         F.count("*").alias("chunks"), F.count_if(F.col("n") > 300).alias("over_limit"), F.count_if(F.col("n") < 64).alias("under_least"), F.countDistinct("content_hash").alias("contents"),
         F.count_if(F.col("content_hash") != F.sha2("text", 256)).alias("wrong_hash"), F.count_if(F.expr("n_tokens is null or n_tokens <= 0")).alias("no_count"),
@@ -139,8 +140,8 @@ def pack_batches(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY record_id, slug ORDER BY ord) - 1 AS n FROM s) SELECT section_id, CASE WHEN n = 0 THEN slug ELSE slug || '-' || n END AS anchor FROM r""",
 )
 def heading_anchor(spark: SparkSession, d: str) -> DataFrame:
-    s = latest(table(spark, d, "sections"), "section_id")
-    return chunking.anchors(s.drop("anchor"), "record_id", "ord", "title", T.anchor(F.coalesce("title", F.lit("")))).select("section_id", "anchor")
+    s = latest(table(spark, d, "sections"), "section_id", keep=("record_id", "ord", "title"))
+    return chunking.anchors(s, "record_id", "ord", "title", T.anchor(F.coalesce("title", F.lit("")))).select("section_id", "anchor")
 
 
 @query(
@@ -151,13 +152,13 @@ def heading_anchor(spark: SparkSession, d: str) -> DataFrame:
     SELECT section_id, string_agg(title, ' > ' ORDER BY ord) AS path FROM a GROUP BY section_id""",
 )
 def section_paths(spark: SparkSession, d: str) -> DataFrame:
-    s = latest(table(spark, d, "sections"), "section_id").withColumn("title", F.coalesce("title", F.lit("")))
+    s = latest(table(spark, d, "sections"), "section_id", keep=("record_id", "ord", "level", "title")).withColumn("title", F.coalesce("title", F.lit("")))
     return chunking.heading_paths(s, "record_id", "ord", "level", "title").select("section_id", F.array_join("path", " > ").alias("path"))
 
 
 @query("url_page_identity", "SELECT chunk_id, CASE WHEN regexp_replace(p, '\\?.*$', '') IN ('/docs/reference/toggle-register/') THEN l ELSE p END AS page, regexp_extract(url, '#(.*)$', 1) AS fragment FROM (SELECT chunk_id, url, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS l, regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS p FROM " + CHUNKS + ")")
 def url_page_identity(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", T.page_identity(F.col("url")).alias("page"), T.fragment(F.col("url")).alias("fragment"))
+    return chunks(spark, d, "url").select("chunk_id", T.page_identity(F.col("url")).alias("page"), T.fragment(F.col("url")).alias("fragment"))
 
 
 @query(
@@ -165,7 +166,7 @@ def url_page_identity(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT chunk_id, '/' || regexp_extract(i, '^(.*/)?[^/]*$', 1) || CASE WHEN regexp_extract(i, '([^/]*)$', 1) IN ('_index', 'index') THEN '' ELSE regexp_extract(i, '([^/]*)$', 1) || '/' END AS path FROM (SELECT chunk_id, regexp_replace(regexp_replace(source_path, '^(?:.*/)?content/', ''), '\\.(?:md|html)$', '') AS i FROM {CHUNKS})",
 )
 def source_url_paths(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", T.url_path(F.col("source_path")).alias("path"))
+    return chunks(spark, d, "source_path").select("chunk_id", T.url_path(F.col("source_path")).alias("path"))
 
 
 @query(
@@ -173,12 +174,12 @@ def source_url_paths(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT chunk_id, coalesce(nullif(trim(title), ''), nullif(trim(regexp_extract(text, '(?m)^#{{1,6}}[ \\t]+(.+?)[ \\t]*$', 1)), ''), nullif(trim(regexp_extract(source_path, '([^/]+?)(?:\\.[^./]*)?$', 1)), '')) AS title FROM {CHUNKS}",
 )
 def page_titles(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("chunk_id", T.page_title(F.col("title"), F.lit(None).cast("string"), F.col("text"), F.col("source_path")).alias("title"))
+    return chunks(spark, d, "title", "text", "source_path").select("chunk_id", T.page_title(F.col("title"), F.lit(None).cast("string"), F.col("text"), F.col("source_path")).alias("title"))
 
 
 @query("chunks_per_page", f"SELECT version, regexp_replace(url, '#.*$', '') AS page, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters FROM {CHUNKS} GROUP BY 1, 2")
 def chunks_per_page(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).groupBy("version", T.page_identity(F.col("url"), ()).alias("page")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
+    return chunks(spark, d, "version", "url", "text").groupBy("version", T.page_identity(F.col("url"), ()).alias("page")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 
 
 @query(
@@ -186,7 +187,7 @@ def chunks_per_page(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT c.chunk_id, CAST(u.o - 1 AS INT) AS line_no, u.line FROM {CHUNKS} c, unnest(string_split(c.text, chr(10))) WITH ORDINALITY u(line, o) WHERE regexp_matches(u.line, '(?i)drains? (?:a|the) ')",
 )
 def passage_search(spark: SparkSession, d: str) -> DataFrame:
-    lines = chunks(spark, d).select("chunk_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = chunks(spark, d, "text").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return lines.where(F.col("line").rlike("(?i)drains? (?:a|the) "))
 
 
@@ -216,7 +217,7 @@ def tidied_texts(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT s.feature_gate AS gate, s.state AS state, min(s.since) AS since, count(DISTINCT c.version) AS versions, count(*) AS chunks FROM {CHUNKS} c, unnest(c.feature_states) AS u(s) GROUP BY 1, 2",
 )
 def feature_gate_history(spark: SparkSession, d: str) -> DataFrame:
-    s = chunks(spark, d).select("version", F.explode("feature_states").alias("s"))
+    s = chunks(spark, d, "version", "feature_states").select("version", F.explode("feature_states").alias("s"))
     return s.groupBy(F.col("s.feature_gate").alias("gate"), F.col("s.state").alias("state")).agg(F.min("s.since").alias("since"), F.countDistinct("version").alias("versions"), F.count("*").alias("chunks"))
 
 
@@ -226,7 +227,7 @@ def feature_gate_history(spark: SparkSession, d: str) -> DataFrame:
 )
 def document_contexts(spark: SparkSession, d: str) -> DataFrame:
     states = F.when(F.size("feature_states") > 0, F.concat(F.lit("\nFeature state: "), T.state_label(F.col("feature_states")))).otherwise("")
-    return chunks(spark, d).select("chunk_id", F.concat(F.lit("URL: "), "url", F.lit("\nVersion: "), "version", states).alias("context"))
+    return chunks(spark, d, "url", "version", "feature_states").select("chunk_id", F.concat(F.lit("URL: "), "url", F.lit("\nVersion: "), "version", states).alias("context"))
 
 
 @query(
@@ -243,13 +244,13 @@ def glossary_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("file_inventory", f"SELECT version, split_part(source_path, '/', 2) AS class, count(DISTINCT source_path) AS files FROM {CHUNKS} GROUP BY 1, 2")
 def file_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).groupBy("version", F.split_part("source_path", F.lit("/"), F.lit(2)).alias("class")).agg(F.countDistinct("source_path").alias("files"))
+    return chunks(spark, d, "version", "source_path").groupBy("version", F.split_part("source_path", F.lit("/"), F.lit(2)).alias("class")).agg(F.countDistinct("source_path").alias("files"))
 
 
 @query("heading_chunks")
 def heading_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the pages that were parsed and not chunked yet: a page's sections, put together in their order, through the heading chunker."""
-    s = latest(table(spark, d, "sections"), "section_id")
+    s = latest(table(spark, d, "sections"), "section_id", keep=("record_id", "ord", "level", "title", "blocks", "feature_states"))
     body = F.array_join(F.transform("blocks", lambda b: F.coalesce(b["text"], F.lit(""))), "\n\n")
     head = F.when((F.col("level") > 0) & F.col("title").isNotNull(), F.concat(F.repeat(F.lit("#"), F.col("level") + 1), F.lit(" "), "title", F.lit("\n\n"))).otherwise("")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(head, body).alias("t")))), lambda x: x["t"])  # a page's sections
@@ -277,5 +278,5 @@ def rendered_terms(spark: SparkSession, d: str) -> DataFrame:
 )
 def page_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why pages are left out. The tables have no front matter: a page without a title stands for a headless one, without counted tokens for a draft, without a content type for one that isn't rendered."""
-    rows = chunks(spark, d).select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), (F.col("n_tokens") == 0).alias("draft"), F.col("content_type").isNotNull().alias("rendered"), "text")
+    rows = chunks(spark, d, "source_path", "title", "n_tokens", "content_type", "text").select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), (F.col("n_tokens") == 0).alias("draft"), F.col("content_type").isNotNull().alias("rendered"), "text")
     return pages.skip_reasons(rows, ("content/docs/contribute/", "content/docs/setup/")).groupBy("skip").agg(F.count("*").alias("chunks"))

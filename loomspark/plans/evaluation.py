@@ -17,11 +17,11 @@ SEED, SAMPLES, DISPLAY_SAMPLES = 7, 10_000, 2_000
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "generation_rows"), "row_id")
+    return latest(table(spark, d, "generation_rows"), "row_id", keep=("run", "id", "category", "answerable", "found", "stop_reason", "sources", "retrieved", "citation_hit", "citation_precision", "usage", "usd"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "golden_items"), "id")
+    return latest(table(spark, d, "golden_items"), "id", keep=("split", "question", "version", "category", "answerable", "reference_answer", "evidence", "notes"))
 
 
 _RATE = "round(avg(CASE WHEN {0} THEN CAST(NOT coalesce(found, false) AS INT) END), 4)"
@@ -272,10 +272,13 @@ def quota_mismatch(spark: SparkSession, d: str) -> DataFrame:
     return validation.quota_fit(items(spark, d), QUOTAS)
 
 
-@query("unknown_versions", f"SELECT i.id, i.version FROM {ITEMS} i WHERE i.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version = i.version)")
+@query("unknown_versions", f"SELECT 'golden_items' AS src, i.id AS key, i.version FROM {ITEMS} i WHERE i.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version = i.version) UNION ALL SELECT 'sections', s.section_id, s.version FROM (SELECT DISTINCT section_id, version FROM sections) s WHERE s.version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version = s.version)")
 def unknown_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Items and sections of versions that the chunks don't have."""
     known = table(spark, d, "chunks").select("version").distinct()
-    return items(spark, d).where("version is not null").join(known, "version", "left_anti").select("id", "version")
+    asked = items(spark, d).select(F.lit("golden_items").alias("src"), F.col("id").alias("key"), "version")
+    parsed = table(spark, d, "sections").select(F.lit("sections").alias("src"), F.col("section_id").alias("key"), "version").distinct()
+    return asked.unionByName(parsed).where("version is not null").join(known, "version", "left_anti").select("src", "key", "version")
 
 
 @query(

@@ -20,7 +20,7 @@ SELECT key, (SELECT max(id) FROM {_OLD}) + row_number() OVER (ORDER BY substr(md
 
 def _old_and_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The index of versions 1.41 and 1.42, and the contents of 1.42 and 1.43 that replace it. Old ids are the key order by ranges of the key's first digits."""
-    c = latest(table(spark, d, "chunks"), "chunk_id").where("text is not null").select("version", F.sha2("text", 256).alias("key"))
+    c = latest(table(spark, d, "chunks"), "chunk_id", keep=("version", "text")).where("text is not null").select("version", F.sha2("text", 256).alias("key"))
     old = c.where("version in ('1.41', '1.42')").select("key").distinct().withColumn("_r", F.substring("key", 1, 2))
     before = old.groupBy("_r").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("_r")) - F.col("c")).select("_r", "before")
     numbered = old.join(F.broadcast(before), "_r").select("key", (F.col("before") + F.row_number().over(Window.partitionBy("_r").orderBy("key"))).alias("id"))
@@ -32,9 +32,11 @@ def sync_plan(spark: SparkSession, d: str) -> DataFrame:
     return sync.sync_plan(*_old_and_new(spark, d))
 
 
-@query("sync_stats", f"WITH {_PLAN} SELECT action, count(*) AS contents FROM P GROUP BY action")
+@query("sync_stats", f"WITH {_PLAN} SELECT action, count(*) AS contents, CAST(sum(coalesce(o.n, 0)) AS BIGINT) AS occurrences FROM P LEFT JOIN (SELECT sha256(text) AS key, count(*) AS n FROM {CHUNKS} WHERE version IN ('1.42', '1.43') AND text IS NOT NULL GROUP BY 1) o USING (key) GROUP BY action")
 def sync_stats(spark: SparkSession, d: str) -> DataFrame:
-    return sync.sync_stats(sync.sync_plan(*_old_and_new(spark, d)))
+    """Contents by action, and their occurrences in the new versions."""
+    old, new = _old_and_new(spark, d)
+    return sync.sync_stats(sync.sync_plan(old, new), new)
 
 
 @query("cascade_survivors", f"WITH {_PLAN} SELECT v.content_id, v.model FROM (SELECT DISTINCT content_id, model FROM content_vectors) v WHERE v.content_id IN (SELECT id FROM P WHERE action <> 'delete')")
@@ -73,7 +75,7 @@ _PRICES = "(VALUES ('baseline', 1.0, 5.0, 1.25), ('default', 1.0, 5.0, 1.25), ('
 def usage_cost(spark: SparkSession, d: str) -> DataFrame:
     """Costs from a price table of a few rows; every second answer came in a batch. A run without a price has null costs."""
     prices = spark.createDataFrame([("baseline", 1.0, 5.0, 1.25), ("default", 1.0, 5.0, 1.25), ("e5-rerank", 3.0, 15.0, 3.75), ("e7-hyde", 3.0, 15.0, 3.75), ("e8-small", 0.25, 1.25, 0.3)], "run string, i double, o double, c double")
-    a = latest(table(spark, d, "generation_rows"), "row_id").join(F.broadcast(prices), "run", "left")
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("run", "usage")).join(F.broadcast(prices), "run", "left")
     tokens = (F.col("usage.input_tokens"), F.col("usage.output_tokens"))
     return a.select("row_id", ledger.usage_cost(*tokens, F.col("i"), F.col("o"), F.col("row_id") % 2 == 0).alias("cost"), ledger.worst_case(tokens[0], F.lit(1024), F.col("i"), F.col("c"), F.col("o")).alias("worst"))
 
@@ -95,7 +97,13 @@ def rate_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return ledger.requests_in_window(table(spark, d, "events"), "user_id", "ts", 60).select("event_id", "user_id", "n")
 
 
-@query("rate_limiter")
+@query(
+    "rate_limiter",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL), r AS (
+    SELECT user_id, event_id, n, true AS admitted, [t] AS recent FROM e WHERE n = 1 UNION ALL
+    SELECT e.user_id, e.event_id, e.n, len(list_filter(r.recent, lambda x: x > e.t - 3600000000)) < 5, CASE WHEN len(list_filter(r.recent, lambda x: x > e.t - 3600000000)) < 5 THEN list_append(list_filter(r.recent, lambda x: x > e.t - 3600000000), e.t) ELSE list_filter(r.recent, lambda x: x > e.t - 3600000000) END
+    FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) SELECT user_id, event_id, admitted FROM r""",
+)
 def rate_limiter(spark: SparkSession, d: str) -> DataFrame:
     """Admitted requests only count against the limit, so each decision hangs on those before it."""
     return ledger.admitted(table(spark, d, "events"), "user_id", "ts", "event_id", 5, 3600)
@@ -122,7 +130,7 @@ _MENTIONS = "(SELECT id, version, list_filter(list_transform(list_filter(string_
 
 @query("version_mentions", f"SELECT id, array_to_string(mentions, ',') AS mentions FROM {_MENTIONS} WHERE len(mentions) > 0")
 def version_mentions(spark: SparkSession, d: str) -> DataFrame:
-    i = latest(table(spark, d, "golden_items"), "id").select("id", T.version_mentions(F.col("question")).alias("m"))
+    i = latest(table(spark, d, "golden_items"), "id", keep=("version", "question")).select("id", T.version_mentions(F.col("question")).alias("m"))
     return i.where(F.size("m") > 0).select("id", F.array_join("m", ",").alias("mentions"))
 
 
@@ -134,7 +142,7 @@ def version_mentions(spark: SparkSession, d: str) -> DataFrame:
 def version_choice(spark: SparkSession, d: str) -> DataFrame:
     """The version asked for, else the first one named in the question, else the newest; one that isn't indexed gives the newest and a note."""
     known = table(spark, d, "chunks").groupBy().agg(F.array_sort(F.transform(F.collect_set("version"), lambda v: F.struct(T.version_key(v).alias("k"), v.alias("v")))).alias("vs"))  # one row
-    i = latest(table(spark, d, "golden_items"), "id").select("id", F.coalesce("version", F.try_element_at(T.version_mentions(F.col("question")), F.lit(1))).alias("wanted")).crossJoin(F.broadcast(known))
+    i = latest(table(spark, d, "golden_items"), "id", keep=("version", "question")).select("id", F.coalesce("version", F.try_element_at(T.version_mentions(F.col("question")), F.lit(1))).alias("wanted")).crossJoin(F.broadcast(known))
     names = F.transform("vs", lambda s: s["v"])
     indexed = F.coalesce(F.array_contains(names, F.col("wanted")), F.lit(False))
     note = F.when(F.col("wanted").isNull() | indexed, "").otherwise(F.concat(F.lit("version "), "wanted", F.lit(" is not indexed")))
@@ -143,7 +151,7 @@ def version_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("response_cache_keys", "SELECT md5(trim(regexp_replace(lower(question), '\\s+', ' ', 'g'), ' ') || '|' || coalesce(version, '')) AS key, count(*) AS items, min(id) AS first_id FROM " + ITEMS + " WHERE question IS NOT NULL GROUP BY 1")
 def response_cache_keys(spark: SparkSession, d: str) -> DataFrame:
-    i = latest(table(spark, d, "golden_items"), "id").where("question is not null")
+    i = latest(table(spark, d, "golden_items"), "id", keep=("question", "version")).where("question is not null")
     key = F.md5(F.concat(T.normalised(F.lower("question")), F.lit("|"), F.coalesce("version", F.lit(""))))
     return i.groupBy(key.alias("key")).agg(F.count("*").alias("items"), F.min("id").alias("first_id"))
 
@@ -156,7 +164,7 @@ def embed_estimate(spark: SparkSession, d: str) -> DataFrame:
 @query("query_log", f"SELECT row_id, concat('{{\"id\":\"', id, '\",\"version\":\"', version, '\",\"hits\":', len(retrieved), ',\"cited\":', len(list_distinct(list_transform(sources, lambda s: s.url))), '}}') AS line FROM {ANSWERS}")
 def query_log(spark: SparkSession, d: str) -> DataFrame:
     """One JSON line per answer, as the log sink appends it."""
-    a = latest(table(spark, d, "generation_rows"), "row_id")
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("id", "version", "retrieved", "sources"))
     line = F.to_json(F.struct("id", "version", F.size("retrieved").alias("hits"), F.size(F.array_distinct(F.transform("sources", lambda s: s["url"]))).alias("cited")))
     return a.select("row_id", line.alias("line"))
 
@@ -166,7 +174,7 @@ def query_log(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT row_id, CAST(u.o - 1 AS INT) AS pos, concat('event: ', u.e, chr(10), 'data: ', row_id, chr(10), chr(10)) AS frame FROM (SELECT row_id, CASE WHEN coalesce(found, false) THEN ['version', 'hits', 'answer'] ELSE ['version', 'hits', 'error'] END AS es FROM {ANSWERS}) a, unnest(a.es) WITH ORDINALITY u(e, o)",
 )
 def sse_events(spark: SparkSession, d: str) -> DataFrame:
-    a = latest(table(spark, d, "generation_rows"), "row_id")
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("found",))
     names = F.array(F.lit("version"), F.lit("hits"), F.when(F.coalesce("found", F.lit(False)), "answer").otherwise("error"))
     return a.select("row_id", F.posexplode(names).alias("pos", "e")).select("row_id", "pos", F.concat(F.lit("event: "), "e", F.lit("\ndata: "), F.col("row_id").cast("string"), F.lit("\n\n")).alias("frame"))
 
@@ -178,8 +186,8 @@ def sse_events(spark: SparkSession, d: str) -> DataFrame:
 )
 def example_export(spark: SparkSession, d: str) -> DataFrame:
     """The texts of an answer's retrieved chunks, cut at 700 characters, in their order; lists are as short as a config's k."""
-    a = latest(table(spark, d, "generation_rows"), "row_id").select("row_id", F.posexplode("retrieved").alias("pos", "chunk_id"))
-    c = latest(table(spark, d, "chunks"), "chunk_id").select("chunk_id", F.left("text", F.lit(700)).alias("t"), F.lit(True).alias("known"))
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("retrieved",)).select("row_id", F.posexplode("retrieved").alias("pos", "chunk_id"))
+    c = latest(table(spark, d, "chunks"), "chunk_id", keep=("text",)).select("chunk_id", F.left("text", F.lit(700)).alias("t"), F.lit(True).alias("known"))
     joined = a.join(c, "chunk_id", "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("t", F.lit("(missing)")).alias("t")))), lambda s: s["t"])
     return joined.groupBy("row_id").agg(F.array_join(ordered, "\n---\n").alias("passages"), F.count_if(F.col("known").isNull()).alias("missing"))
@@ -193,5 +201,5 @@ def hits_per_page(spark: SparkSession, d: str) -> DataFrame:
 
 @query("late_rows", f"SELECT config_id, count(*) AS hits, CAST(count(*) FILTER (epoch(loaded_at) - epoch(retrieved_at) > 86400) AS BIGINT) AS late FROM {HITS} GROUP BY config_id")
 def late_rows(spark: SparkSession, d: str) -> DataFrame:
-    h = latest(table(spark, d, "hits").where("score is not null and not isnan(score)"), "question_id", "config_id", "content_id")
+    h = latest(table(spark, d, "hits").where("score is not null and not isnan(score)"), "question_id", "config_id", "content_id", keep=("loaded_at", "retrieved_at"))
     return h.groupBy("config_id").agg(F.count("*").alias("hits"), F.count_if(F.col("loaded_at").cast("double") - F.col("retrieved_at").cast("double") > 86400).alias("late"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomspark.plans import catalog, corpus, evaluation, operations, requests, search  # noqa: F401
+from loomspark.plans import billing, catalog, corpus, evaluation, judging, operations, records, requests, search  # noqa: F401
 from loomspark.plans.catalog import Query
 
 FLAGSHIP = "retrieval_metrics"

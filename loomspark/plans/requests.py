@@ -18,7 +18,7 @@ from loomspark.session import table
 
 @query("found_flags", f"SELECT row_id, NOT starts_with(coalesce(answer, '{R.NOT_FOUND.replace(chr(39), chr(39) * 2)}'), '{R.NOT_FOUND.replace(chr(39), chr(39) * 2)}') AS found FROM {ANSWERS}")
 def found_flags(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "generation_rows"), "row_id").select("row_id", R.found(F.col("answer")).alias("found"))
+    return latest(table(spark, d, "generation_rows"), "row_id", keep=("answer",)).select("row_id", R.found(F.col("answer")).alias("found"))
 
 
 _SRC = f"SELECT a.row_id, list(coalesce(c.text, '(missing)') ORDER BY u.o) AS texts FROM {ANSWERS} a, unnest(a.sources) WITH ORDINALITY u(s, o) LEFT JOIN {CHUNKS} c ON c.chunk_id = u.s.chunk_id GROUP BY a.row_id"
@@ -30,11 +30,11 @@ _SRC = f"SELECT a.row_id, list(coalesce(c.text, '(missing)') ORDER BY u.o) AS te
     FROM {ANSWERS} a JOIN {ITEMS} i ON i.id = a.id LEFT JOIN ({_SRC}) s ON s.row_id = a.row_id WHERE a.answer IS NOT NULL AND a.question IS NOT NULL""",
 )
 def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
-    a = latest(table(spark, d, "generation_rows"), "row_id").where("answer is not null and question is not null")
-    texts = latest(table(spark, d, "chunks"), "chunk_id").select("chunk_id", "text")
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("id", "question", "answer", "sources")).where("answer is not null and question is not null")
+    texts = latest(table(spark, d, "chunks"), "chunk_id", keep=("text",))
     cited = a.select("row_id", F.posexplode("sources").alias("pos", "s")).select("row_id", "pos", F.col("s.chunk_id").alias("chunk_id")).join(texts, "chunk_id", "left")
     gathered = cited.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("texts"))  # the few sources of an answer
-    i = latest(table(spark, d, "golden_items"), "id").select("id", "reference_answer")
+    i = latest(table(spark, d, "golden_items"), "id", keep=("reference_answer",))
     rows = a.join(i, "id").join(gathered, "row_id", "left")
     return rows.select("row_id", F.md5(R.judge_prompt(F.col("question"), F.col("reference_answer"), F.col("answer"), F.coalesce("texts", F.array().cast("array<string>")))).alias("digest"))
 
@@ -48,7 +48,7 @@ def rewrite_requests(spark: SparkSession, d: str) -> DataFrame:
 @query("batch_estimate", f"SELECT run, count(*) AS requests, CAST(sum(CAST((usage.input_tokens * greatest(i, c)::DOUBLE + 1024 * o::DOUBLE) / 1000000 AS DECIMAL(18,9))) AS DOUBLE) AS worst FROM {ANSWERS} a JOIN {_PRICES} USING (run) GROUP BY run")
 def batch_estimate(spark: SparkSession, d: str) -> DataFrame:
     prices = spark.createDataFrame([("baseline", 1.0, 5.0, 1.25), ("default", 1.0, 5.0, 1.25), ("e5-rerank", 3.0, 15.0, 3.75), ("e7-hyde", 3.0, 15.0, 3.75), ("e8-small", 0.25, 1.25, 0.3)], "run string, i double, o double, c double")
-    a = latest(table(spark, d, "generation_rows"), "row_id").join(F.broadcast(prices), "run")
+    a = latest(table(spark, d, "generation_rows"), "row_id", keep=("run", "usage")).join(F.broadcast(prices), "run")
     worst = (F.col("usage.input_tokens") * F.greatest("i", "c") + 1024 * F.col("o")) / 1_000_000
     return a.groupBy("run").agg(F.count("*").alias("requests"), F.sum(worst.cast("decimal(18,9)")).cast("double").alias("worst"))
 
@@ -68,7 +68,7 @@ def all_terms_match(spark: SparkSession, d: str) -> DataFrame:
 @query("next_ids", f"SELECT split, CAST(max(CAST(split_part(id, '-', 2) AS BIGINT)) + 1 AS BIGINT) AS next_no, count(*) AS items FROM {ITEMS} GROUP BY split")
 def next_ids(spark: SparkSession, d: str) -> DataFrame:
     """Where new ids of a split go on."""
-    i = latest(table(spark, d, "golden_items"), "id")
+    i = latest(table(spark, d, "golden_items"), "id", keep=("split",))
     return i.groupBy("split").agg((F.max(F.split_part("id", F.lit("-"), F.lit(2)).cast("long")) + 1).alias("next_no"), F.count("*").alias("items"))
 
 
@@ -84,7 +84,7 @@ def best_per_metric(spark: SparkSession, d: str) -> DataFrame:
 
 @query("examples_by_category", f"SELECT category, count(*) AS examples, min(id) AS first_id FROM {ITEMS} WHERE answerable AND len(evidence) > 0 GROUP BY category")
 def examples_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "golden_items"), "id").where("answerable and size(evidence) > 0").groupBy("category").agg(F.count("*").alias("examples"), F.min("id").alias("first_id"))
+    return latest(table(spark, d, "golden_items"), "id", keep=("answerable", "evidence", "category")).where("answerable and size(evidence) > 0").groupBy("category").agg(F.count("*").alias("examples"), F.min("id").alias("first_id"))
 
 
 @query(
@@ -95,7 +95,7 @@ def examples_by_category(spark: SparkSession, d: str) -> DataFrame:
 )
 def gate_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text of a feature gate's record: its stages in order."""
-    s = latest(table(spark, d, "chunks"), "chunk_id").select(F.explode("feature_states").alias("s")).where("s.feature_gate is not null").select("s.*").distinct()
+    s = latest(table(spark, d, "chunks"), "chunk_id", keep=("feature_states",)).select(F.explode("feature_states").alias("s")).where("s.feature_gate is not null").select("s.*").distinct()
     line = F.concat(F.lit("- "), R.stage_line(F.col("state"), F.col("since"), F.lit(None).cast("string"), F.col("default_enabled")))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("since", line.alias("line")))), lambda x: x["line"])  # the few stages of a gate
     return s.groupBy(F.col("feature_gate").alias("gate")).agg(F.concat(F.lit("# Feature gate: "), F.first("feature_gate"), F.lit("\n\n"), F.array_join(ordered, "\n")).alias("text"))
@@ -111,7 +111,7 @@ def vector_index_names(spark: SparkSession, d: str) -> DataFrame:
 def link_targets(spark: SparkSession, d: str) -> DataFrame:
     """How many links of the glossary lead to a page of the corpus."""
     refs = table(spark, d, "glossary_terms").where("full_link is not null").select(F.lit("/").alias("page"), F.col("full_link").alias("target"), "row_id")
-    pages = latest(table(spark, d, "chunks"), "chunk_id").select(F.regexp_replace("url", "#.*$", "").alias("path"))
+    pages = latest(table(spark, d, "chunks"), "chunk_id", keep=("url",)).select(F.regexp_replace("url", "#.*$", "").alias("path"))
     found = answers.resolve_refs(refs.select("page", "target").distinct(), pages).select("target", "path")
     return refs.join(found, "target").agg(F.count("*").alias("links"), F.count("path").alias("resolved"))
 
@@ -140,6 +140,7 @@ def keyword_topk_version(spark: SparkSession, d: str) -> DataFrame:
 @query("embedded_contents")
 def embedded_contents(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of all contents by the default embedder; each different text is embedded once."""
-    c = table(spark, d, "contents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text")
-    empty = spark.createDataFrame([], "key string, model string, embedding array<float>")
-    return embedding.embed_missing(c, empty, "key", "text", "hashed-64").select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+    c = table(spark, d, "contents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text", "index_name")
+    # What one index embedded before is the cache of the load of all.
+    cache = embedding.embed_texts(c.where("index_name = 'heading-plain'").groupBy("key").agg(F.first("text").alias("text")), "key", "text", "hashed-64")
+    return embedding.verified(embedding.embed_missing(c, cache, "key", "text", "hashed-64"), c, "key").select("key", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))

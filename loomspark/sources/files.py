@@ -110,3 +110,21 @@ def create_tables(spark: SparkSession, root: str) -> None:
     spark.sql(f"CREATE TABLE IF NOT EXISTS contents_tbl (id BIGINT, key STRING, kind STRING, text STRING, embed_text STRING, n_tokens INT, versions ARRAY<STRING>, index_name STRING) USING parquet PARTITIONED BY (index_name) LOCATION '{root}/contents'")
     spark.sql(f"CREATE TABLE IF NOT EXISTS occurrences_tbl (content_id BIGINT, chunk_id STRING, record_id STRING, url STRING, title STRING, heading_path ARRAY<STRING>, anchor STRING, feature_states {state}, content_type STRING, source_path STRING, commit STRING, version STRING) USING parquet PARTITIONED BY (version) LOCATION '{root}/occurrences'")
     spark.sql(f"CREATE TABLE IF NOT EXISTS embeddings_tbl (content_id BIGINT, embedding ARRAY<FLOAT>, model STRING) USING parquet PARTITIONED BY (model) LOCATION '{root}/embeddings'")
+
+
+LOCK = "version string, branch string, commit string, files map<string,int>"
+
+
+def write_lock(sources: DataFrame, path: str) -> None:
+    """The sources of a load (version, branch, commit, files by class), one JSON object each, in the order of their versions; a lock has as many rows as there are versions."""
+    sources.select("version", "branch", "commit", "files").coalesce(1).sortWithinPartitions("version").write.mode("overwrite").json(path)
+
+
+def read_lock(spark: SparkSession, path: str) -> DataFrame:
+    """The locked sources; a missing lock is empty."""
+    try:
+        return spark.read.schema(LOCK).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], LOCK)
+        raise
