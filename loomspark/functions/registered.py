@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from loomspark.functions import html, sections
 
@@ -17,7 +17,7 @@ def html_to_markdown(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.convert(t) if t is not None else None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def weighted_median(values: pd.Series, weights: pd.Series) -> float:
     """A group's value at half of its weight; null for a group without weight. The group lies in one task, so it is for groups of a known size."""
     kept = pd.DataFrame({"v": values, "w": weights}).dropna()
