@@ -280,3 +280,39 @@ def page_skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Why pages are left out. The tables have no front matter: a page without a title stands for a headless one, without counted tokens for a draft, without a content type for one that isn't rendered."""
     rows = chunks(spark, d, "source_path", "title", "n_tokens", "content_type", "text").select(F.col("source_path").alias("path"), F.col("title").isNull().alias("headless"), (F.col("n_tokens") == 0).alias("draft"), F.col("content_type").isNotNull().alias("rendered"), "text")
     return pages.skip_reasons(rows, ("content/docs/contribute/", "content/docs/setup/")).groupBy("skip").agg(F.count("*").alias("chunks"))
+
+
+_PAGE_SECTIONS = f"""S AS (SELECT record_id, ord, least(coalesce(level, 0), 5) + 1 AS lv, coalesce(nullif(trim(title), ''), 'Untitled') AS t, row_number() OVER (PARTITION BY record_id ORDER BY ord) AS n FROM {SECTIONS} WHERE record_id IS NOT NULL), T AS (SELECT record_id, t AS page FROM S WHERE n = 1),
+    H AS (SELECT * FROM S WHERE NOT (n = 1 AND lv = 1)), G AS (SELECT *, regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM H), A AS (SELECT record_id, n, slug, row_number() OVER (PARTITION BY record_id, slug ORDER BY n) - 1 AS k FROM G),
+    P AS (SELECT b.record_id, b.n, string_agg(h.t, ' > ' ORDER BY h.n) AS path FROM H b JOIN H h ON h.record_id = b.record_id AND h.n <= b.n AND (h.lv < b.lv OR h.n = b.n) WHERE NOT EXISTS (SELECT 1 FROM H x WHERE x.record_id = b.record_id AND x.n > h.n AND x.n <= b.n AND x.lv <= h.lv) GROUP BY 1, 2)"""
+
+
+@query(
+    "heading_chunk_paths",
+    f"WITH {_PAGE_SECTIONS} SELECT S.record_id, CAST(S.n - 1 AS INT) AS ord, concat(T.page, coalesce(' > ' || P.path, '')) AS path, CASE WHEN A.slug IS NULL THEN '' WHEN A.k = 0 THEN A.slug ELSE A.slug || '-' || A.k END AS anchor FROM S JOIN T ON T.record_id = S.record_id LEFT JOIN P ON P.record_id = S.record_id AND P.n = S.n LEFT JOIN A ON A.record_id = S.record_id AND A.n = S.n",
+)
+def heading_chunk_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The heading chunker over pages of headings alone, without limits: a chunk a section, with its path and anchor, which SQL can tell from the sections."""
+    s = latest(table(spark, d, "sections"), "section_id", keep=("record_id", "ord", "level", "title")).where("record_id is not null")
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.lit("Untitled"))
+    line = F.concat(F.repeat(F.lit("#"), F.least(F.coalesce("level", F.lit(0)), F.lit(5)) + 1), F.lit(" "), title)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x["t"])  # a page's sections
+    one_page = s.groupBy("record_id").agg(F.min_by(title, "ord").alias("title"), F.array_join(ordered, "\n\n").alias("text"))
+    return pages.chunk_pages(one_page, "record_id", "title", "text", most=1 << 30, least=0).select(F.col("id").alias("record_id"), "ord", F.array_join("heading_path", " > ").alias("path"), "anchor")
+
+
+@query("html_tables", "SELECT row_id, concat('- `', id, '` (required): ', title, chr(10), '- ', 'See: [', title, '](', coalesce(full_link, '/'), ')') AS text FROM glossary_terms WHERE id IS NOT NULL AND title IS NOT NULL")
+def html_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the glossary as an HTML table each, converted: what the table becomes is known from the columns."""
+    g = table(spark, d, "glossary_terms").where("id is not null and title is not null")
+    markup = F.concat(F.lit("<table class='x'><tbody>\n<tr><td><code>"), "id", F.lit("</code>&nbsp;<strong>*</strong></td>\n<td><p>"), "title", F.lit("</p></td></tr><tr><td>See<td><a href=\""), F.coalesce("full_link", F.lit("/")), F.lit("\"><span>"), "title", F.lit("</span></a></table>"))
+    return pages.convert_html(g.select("row_id", markup.alias("t")), "row_id", "t").select("row_id", F.trim(F.regexp_replace("text", r"^\n|\n$", "")).alias("text"))
+
+
+@query("rendered_calls", "SELECT row_id, concat('**Note:** ', title, ' since 1.43, not 1.42.', chr(10), chr(10), '# Also', chr(10), chr(10), '[', id, '](', coalesce(full_link, '/'), ') {{< kept >}}', chr(10)) AS text, CAST(1 AS INT) AS warnings FROM glossary_terms WHERE id IS NOT NULL AND title IS NOT NULL")
+def rendered_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the glossary as calls: paired and single ones, values in quotes, an escaped and an unknown one."""
+    g = table(spark, d, "glossary_terms").where("id is not null and title is not null")
+    site = shortcodes.Site("1.43", "1.44", labels={"note": "Note:", "also_heading": "Also"})
+    text = F.concat(F.lit("{{< note >}}\n{{< glossary_tooltip text=\""), "title", F.lit("\" term_id=\"x\" >}} since {{< skew currentVersion >}}, not {{< skew currentVersionAddMinor -1 >}}.\n{{< /note >}}\n\n\n# {{% heading \"also\" %}}<!-- gone -->\n\n{{< link text=`"), "id", F.lit("` url=\""), F.coalesce("full_link", F.lit("/")), F.lit("\" >}} {{</* kept */>}}{{< unknown >}}"))
+    return pages.render_pages(g.select("row_id", text.alias("t")), "row_id", "t", site).select("row_id", "text", F.size("warnings").alias("warnings"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -68,10 +69,24 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet into the shared folder and read back: narrower on disk than a checkpoint, and reusable by several plans.
 
-    The file outlives an executor. It is deleted with the session's checkpoint folder by whoever owns that folder.
-    """
+    The files outlive an executor. They lie in a folder of the application, which is deleted when the driver ends as it should."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/loomspark-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/loomspark-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone; the owner of the shared folder clears it
+        pass
