@@ -126,18 +126,29 @@ class Hnsw:
             expanded[active, best] = True
             near = graph[ids[active, best]]
             fresh = (near >= 0) & ~seen[active[:, None], np.maximum(near, 0)]
-            some = fresh.any(1)
-            a, near, fresh = active[some], near[some], fresh[some]
-            if not len(a):
-                continue
             r, c = np.nonzero(fresh)
-            seen[a[r], near[r, c]] = True
-            s = np.full(near.shape, -np.inf, np.float32)
-            s[r, c] = np.einsum("ij,ij->i", self.x[near[r, c]], q[a[r]])
-            all_ids, all_sims = np.concatenate([ids[a], near], 1), np.concatenate([sims[a], s], 1)
-            all_expanded = np.concatenate([expanded[a], np.zeros(near.shape, bool)], 1)
+            if not len(r):
+                continue
+            a, b = active[r], near[r, c]
+            seen[a, b] = True
+            sim = np.einsum("ij,ij->i", self.x[b], q[a])
+            good = sim > sims.min(1)[a]  # others don't come into the beam
+            if not good.any():
+                continue
+            r, a, b, sim = r[good], a[good], b[good], sim[good]
+            # The rows that change, with their new nodes side by side.
+            start = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            count = np.diff(np.r_[start, len(r)])
+            row, width = np.repeat(np.arange(len(start)), count), int(count.max())
+            place = np.arange(len(r)) - np.repeat(start, count)
+            rows_ = a[start]
+            new_ids, new_sims = np.full((len(start), width), -1, np.int64), np.full((len(start), width), -np.inf, np.float32)
+            new_ids[row, place], new_sims[row, place] = b, sim
+            all_ids, all_sims = np.concatenate([ids[rows_], new_ids], 1), np.concatenate([sims[rows_], new_sims], 1)
+            all_expanded = np.concatenate([expanded[rows_], np.zeros((len(start), width), bool)], 1)
             keep = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-            ids[a], sims[a], expanded[a] = (np.take_along_axis(v, keep, 1) for v in (all_ids, all_sims, all_expanded))
+            at = np.arange(len(start))[:, None]
+            ids[rows_], sims[rows_], expanded[rows_] = all_ids[at, keep], all_sims[at, keep], all_expanded[at, keep]
         by = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, by, 1), np.take_along_axis(sims, by, 1)
 
