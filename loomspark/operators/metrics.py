@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomspark.functions.text import contains_quote, fragment, page_identity
 
 CUTS = (1, 3, 5, 10, 20)
+#: Added before a mean is rounded, so that a tie goes up whatever the order of the sum.
+TIE = 1e-9
 
 
 def facts_of(items: DataFrame, section: bool = False) -> DataFrame:
@@ -68,8 +70,8 @@ def bootstrap(values: DataFrame, group: str, unit: str, value: str, samples: int
     means = drawn.groupBy(group, "_s").agg(F.sum(F.col("_w") * F.col("_x")).alias("t"), F.sum("_w").alias("w")).where("w > 0").select(group, (F.col("t") / F.col("w")).alias("m"))
     sorted_ = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # `samples` numbers a group
     at = lambda share, less: F.element_at("ms", F.greatest(F.floor(F.size("ms") * share) + 1 - less, F.lit(1)).cast("int"))
-    overall = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg("_x"), 4).alias("mean"))
-    ends = sorted_.select(group, F.round(at(0.025, 0), 4).alias("low"), F.round(at(0.975, 1), 4).alias("high"), F.round(F.size(F.filter("ms", lambda m: m <= 0)) / F.size("ms"), 4).alias("share_not_above_0"))
+    overall = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg("_x") + TIE, 4).alias("mean"))
+    ends = sorted_.select(group, F.round(at(0.025, 0) + TIE, 4).alias("low"), F.round(at(0.975, 1) + TIE, 4).alias("high"), F.round(F.size(F.filter("ms", lambda m: m <= 0)) / F.size("ms"), 4).alias("share_not_above_0"))
     return overall.join(ends, group)
 
 

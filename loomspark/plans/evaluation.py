@@ -104,7 +104,7 @@ def _poisson_sql(u: str) -> str:
 def _bootstrap_sql(values: str, group: str, samples: int = SAMPLES) -> str:
     u = "CAST(('0x' || substr(h, 8 * p + 1, 8)) AS BIGINT) / 4294967296.0"
     return f"""V AS ({values}), Z AS (SELECT {group}, q, x, md5(concat_ws(':', '{SEED}', q, unit)) AS h FROM V, range({(samples + 3) // 4}) r(q)), D AS (SELECT {group}, 4 * q + p AS s, x, {_poisson_sql(u)} AS w FROM Z, range(4) t(p) WHERE 4 * q + p < {samples}), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
-    O AS (SELECT {group}, count(*) AS n, round(avg(x), 4) AS mean FROM V GROUP BY 1) SELECT O.{group}, n, mean, round(ms[greatest(CAST(floor(len(ms) * 0.025) AS INT) + 1, 1)], 4) AS low, round(ms[greatest(CAST(floor(len(ms) * 0.975) AS INT), 1)], 4) AS high, round(len(list_filter(ms, lambda m: m <= 0)) / len(ms), 4) AS share_not_above_0 FROM O JOIN L ON L.{group} = O.{group}"""
+    O AS (SELECT {group}, count(*) AS n, round(avg(x) + 1e-9, 4) AS mean FROM V GROUP BY 1) SELECT O.{group}, n, mean, round(ms[greatest(CAST(floor(len(ms) * 0.025) AS INT) + 1, 1)] + 1e-9, 4) AS low, round(ms[greatest(CAST(floor(len(ms) * 0.975) AS INT), 1)] + 1e-9, 4) AS high, round(len(list_filter(ms, lambda m: m <= 0)) / len(ms), 4) AS share_not_above_0 FROM O JOIN L ON L.{group} = O.{group}"""
 
 
 @query("bootstrap_ci", "WITH " + _bootstrap_sql(f"SELECT run, row_id AS unit, citation_precision AS x FROM {ANSWERS} WHERE citation_precision IS NOT NULL AND NOT isnan(citation_precision)", "run"))
