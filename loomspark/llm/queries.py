@@ -90,6 +90,12 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.defect_report(table(spark, sf_dir, "generation_rows"))
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of each run that the report is of."""
+    kinds = pair_defects.pair_kinds(table(spark, sf_dir, "generation_rows"))
+    return kinds.groupBy("run").agg(F.count("*").alias("pairs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vectors.most_similar(table(spark, sf_dir, "content_vectors"))
     return near.select("model", F.least("id", "neighbour").alias("content_id_a"), F.greatest("id", "neighbour").alias("content_id_b")).distinct()
@@ -108,6 +114,11 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_statistics(table(spark, sf_dir, "documents"))
 
 
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and empty texts by source, out of the encoded corpus."""
+    return bpe.token_statistics(table(spark, sf_dir, "documents")).select("source", "texts", "without_tokens")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_passages")).select("doc_id", "item_id").distinct()
 
@@ -126,6 +137,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_rates(table(spark, sf_dir, "documents"))
 
 
+def p10_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each source that the rates are of."""
+    return truncation.truncation_rates(table(spark, sf_dir, "documents")).select("source", "texts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
@@ -158,5 +174,8 @@ def oracle_sql() -> dict[str, str]:
         V AS (SELECT component, string_agg(DISTINCT v, ',' ORDER BY v) AS versions FROM (SELECT component, unnest(versions) AS v FROM G JOIN contents USING (id)) GROUP BY 1) SELECT id, rep, G.component, count(*) OVER (PARTITION BY G.component) AS contents, versions FROM G LEFT JOIN V ON V.component = G.component""",
         "p4_ranking": f"WITH {_P4} SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) AS place, round(least(1, p * n), 6) AS significance, CAST(lists AS INT) AS lists FROM B QUALIFY place <= 10",
         "p4_places": f"WITH {_P4} SELECT question_id, content_id, row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) AS place, round(least(1, p * n), 6) AS significance, CAST(lists AS INT) AS lists FROM B",
+        "p6_totals": "SELECT run, count(*) AS pairs FROM (SELECT * FROM generation_rows WHERE row_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY loaded_at DESC) = 1) GROUP BY run",
+        "p8_totals": "SELECT source, count(*) AS texts, CAST(count(*) FILTER (coalesce(text, '') = '') AS BIGINT) AS without_tokens FROM documents GROUP BY source",
+        "p10_totals": "SELECT coalesce(source, '') AS source, count(*) AS texts FROM documents WHERE regexp_matches(text, '[^\\s\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\x{0b}]') GROUP BY 1",
         "p4_found": f"WITH {_P4} SELECT question_id, content_id FROM B QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(least(1, p * n), 12), lists DESC, round(mean, 12), content_id) = 1",
     }
