@@ -291,8 +291,10 @@ def most_similar(df: DataFrame, id: str = "content_id", embedding: str = "embedd
             ids_of[m] = np.array([i for i, _ in vectors], np.int64)
             centres[m] = Centres.fit(x, max(1, min(len(x) // 4, counts[m] // CELL, CENTRES_MOST)))
     sent = spark.sparkContext.broadcast(_placed(rows, vectors_of, ids_of, centres, counts, k))
-    sizes = rows.mapInArrow(_cells(sent, None), "model string, cell long").groupBy("model", "cell").agg(F.count("*").alias("n")).where(F.col("n") > CELL_MOST)
-    subs = {(r.model, r.cell): -(-r.n // (CELL_MOST * 2 // 3)) for r in sizes.collect()}  # at most CENTRES_MOST a model
+    # A model that is searched everywhere has shards by hash, small enough for many tasks; of others only cells that grew too large are split.
+    limit = {m: CELL_MOST if len(c) > 1 else min(CELL_MOST, EVERYWHERE * 3 // 2) for m, (c, _) in sent.value.items()}
+    sizes = rows.mapInArrow(_cells(sent, None), "model string, cell long").groupBy("model", "cell").agg(F.count("*").alias("n")).where(F.col("n") > min(limit.values(), default=0))
+    subs = {(r.model, r.cell): -(-r.n // (limit[r.model] * 2 // 3)) for r in sizes.collect() if r.n > limit[r.model]}  # at most CENTRES_MOST a model
     shards = rows.mapInArrow(_cells(sent, spark.sparkContext.broadcast(subs)), "model string, cell long, sub long, part long, role int, id long, v binary")
     found = shards.groupBy("model", "cell", "sub", "part").applyInPandas(_search(k), "model string, a long, b long, sim double")
     pairs = found.where("a <> b").repartition("model", "a").groupBy("model", "a", "b").agg(F.max("sim").alias("sim"))
