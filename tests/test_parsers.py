@@ -65,7 +65,7 @@ def test_rendering(text, want):
 
 
 def test_states_and_warnings():
-    r = shortcodes.clean('{{< feature-state feature_gate_name="ShallowCache" >}}\n{{< feature-state state="stable" for_k8s_version="v1.42" >}}\n{{< nothing-such >}}kept{{< /nothing-such >}}', SITE)
+    r = shortcodes.clean('{{< feature-state feature_gate_name="ShallowCache" >}}\n{{< feature-state state="stable" for_server_version="v1.42" >}}\n{{< nothing-such >}}kept{{< /nothing-such >}}', SITE)
     assert r.text == "Feature state: `Quorvane v1.43 [beta]` enabled by default\nFeature state: `Quorvane v1.42 [stable]`\nkept\n"
     assert [(s["feature_gate"], s["state"], s["since"], s["default_enabled"]) for s in r.states] == [("ShallowCache", "beta", "1.43", True), (None, "stable", "1.42", None)]
     assert r.warnings == ["unknown call: nothing-such"]
