@@ -22,7 +22,7 @@ COUNT_BUCKETS = 1 << 16
 #: with the length. Two records of which one is longer and one isn't share single words.
 PAIRS_MOST = 60
 #: Characters of all evaluation records up to which their n-grams are broadcast; more are partitioned by hash together with those of the training records.
-SENT_MOST = 32 << 20
+SENT_MOST = 16 << 20
 #: Hits that a task holds at once.
 HELD = 1 << 20
 
