@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -69,12 +69,15 @@ def retrieve(questions: DataFrame, contents: DataFrame, config: RetrievalConfig,
         ranked = lists[config.method]()
     if not config.rerank:
         return ranked.select("question_id", "content_id", "rank", "score")
-    rows = ranked.join(questions.select("question_id", "question"), "question_id").join(contents.select(F.col("id").alias("content_id"), "text"), "content_id")
-    return search.rerank(rows, reranker(config.reranker)(F.col("question"), F.col("text")), config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+    return _reranked(ranked, questions, contents, config)
 
 
-#: Rerank scorers by name: a function of the question's and the text's columns. Models of one's own are put in by name; others are refused.
-RERANKERS = {"overlap": lambda q, t: F.round(F.size(F.array_intersect(F.array_distinct(T.tokens(q)), F.array_distinct(T.tokens(t)))) / F.greatest(F.size(F.array_distinct(T.tokens(q))), F.lit(1)), 6)}
+def _terms(text: Column) -> Column:
+    return F.array_distinct(T.tokens(text))
+
+
+#: Rerank scorers by name: what is made of each question and text once, before they meet, and the score of the two. Models of one's own are put in by name; others are refused.
+RERANKERS = {"overlap": (_terms, lambda q, t: F.round(F.size(F.array_intersect(q, t)) / F.greatest(F.size(q), F.lit(1)), 6))}
 
 
 def reranker(name: str):
@@ -83,6 +86,15 @@ def reranker(name: str):
     return RERANKERS[name]
 
 
+def _reranked(ranked: DataFrame, questions: DataFrame, contents: DataFrame, config: RetrievalConfig) -> DataFrame:
+    """The k best of ranked(question_id, content_id, rank) by the config's scorer; questions and texts are prepared once each, not once a pair."""
+    prepare, score = reranker(config.reranker)
+    q = questions.select("question_id", prepare(F.col("question")).alias("_q"))
+    c = contents.select(F.col("id").alias("content_id"), prepare(F.col("text")).alias("_t"))
+    rows = ranked.select("question_id", "content_id", "rank").join(q, "question_id").join(c, "content_id")
+    return search.rerank(rows, score(F.col("_q"), F.col("_t")), config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+
+
 QUERY_MODES = ("original", "rewrite", "hyde", "union")
 
 
@@ -107,8 +119,7 @@ def retrieve_by_mode(questions: DataFrame, contents: DataFrame, config: Retrieva
     united = search.union_of_candidates(reduce(DataFrame.unionByName, lists)).withColumnRenamed("position", "rank")
     if not config.rerank:
         return united.where(F.col("rank") <= config.k)
-    rows = united.join(questions.select("question_id", "question"), "question_id").join(contents.select(F.col("id").alias("content_id"), "text"), "content_id")
-    return search.rerank(rows, reranker(config.reranker)(F.col("question"), F.col("text")), config.k).select("question_id", "content_id", F.col("new_rank").alias("rank"), F.col("rerank_score").alias("score"))
+    return _reranked(united, questions, contents, config)
 
 
 @dataclass(frozen=True)
@@ -137,10 +148,11 @@ def ask(questions: DataFrame, versions: DataFrame, contents: DataFrame, config:
 
 def extractive_answers(questions: DataFrame, ranked: DataFrame, contents: DataFrame, least: float = 0.2) -> DataFrame:
     """(question_id, answer, content_id, found): the sentence of the retrieved contents that shares most terms with the question; below `least` nothing is found."""
-    rows = ranked.join(questions.select("question_id", "question"), "question_id").join(contents.select(F.col("id").alias("content_id"), "text"), "content_id")
-    sentences = rows.select("question_id", "question", "content_id", "rank", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "sentence"))
-    q, s = F.array_distinct(T.tokens(F.col("question"))), F.array_distinct(T.tokens(F.col("sentence")))
-    scored = sentences.withColumn("score", F.round(F.size(F.array_intersect(q, s)) / F.greatest(F.size(q), F.lit(1)), 6))
+    q = questions.select("question_id", _terms(F.col("question")).alias("_q"))
+    cut = F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.struct(s.alias("sentence"), _terms(s).alias("terms")))
+    rows = ranked.select("question_id", "content_id", "rank").join(q, "question_id").join(contents.select(F.col("id").alias("content_id"), cut.alias("_s")), "content_id")
+    sentences = rows.select("question_id", "_q", "content_id", "rank", F.posexplode("_s").alias("pos", "s"))
+    scored = sentences.select("question_id", "content_id", "rank", "pos", "s.sentence", F.round(F.size(F.array_intersect("_q", "s.terms")) / F.greatest(F.size("_q"), F.lit(1)), 6).alias("score"))
     best = scored.groupBy("question_id").agg(F.max(F.struct("score", (-F.col("rank")).alias("r"), (-F.col("pos")).alias("p"), "content_id", "sentence")).alias("b"))
     return best.select("question_id", F.when(F.col("b.score") >= least, F.trim("b.sentence")).alias("answer"), F.col("b.content_id").alias("content_id"), (F.col("b.score") >= least).alias("found"))
 

@@ -14,14 +14,27 @@ from pyspark.sql import functions as F
 EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
+class _Hashes(dict):
+    """word -> hash, filled as words come; emptied when it grows large, as a value can always be made again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 def hashed_bag(dim: int) -> Callable[[list[str]], np.ndarray]:
     """Signed word hashes summed up, of length 1: deterministic, and needs no model."""
+    hashes = _Hashes()
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
-        for i, t in enumerate(texts):
-            for w in t.lower().split():
-                h = xxhash.xxh3_64_intdigest(w)
-                out[i, h % dim] += 1 if h >> 63 else -1
+        words = [t.lower().split() for t in texts]
+        get = hashes.__getitem__
+        h = np.fromiter((x for w in words for x in map(get, w)), np.uint64, sum(map(len, words)))
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+        out = np.bincount(row * dim + (h % np.uint64(dim)).astype(np.int64), sign, len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 

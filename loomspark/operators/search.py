@@ -51,14 +51,14 @@ class _Best:
 
     def add(self, docs: np.ndarray, s: np.ndarray) -> None:
         """-inf is no hit. What lies under the k-th best score so far, or under that of this block, is dropped where it stands."""
-        low = self.floor
-        open_ = not np.isfinite(low).all()
-        if open_ and len(docs) > self.k:
-            low = np.maximum(low, np.partition(s, len(docs) - self.k, axis=0)[len(docs) - self.k])
+        low, open_ = self.floor, np.flatnonzero(~np.isfinite(self.floor))
+        if len(open_) and len(docs) > self.k:
+            low = low.copy()
+            low[open_] = np.partition(s[:, open_].T, len(docs) - self.k, axis=1)[:, len(docs) - self.k]
         d, q = np.nonzero((s >= low) & (s > -np.inf))
         self.held.append((q, docs[d], s[d, q]))
         self.n += len(q)
-        if self.n > self.most or open_ and self.n > 4 * self.k * len(self.floor):
+        if self.n > self.most or len(open_) and self.n > 4 * self.k * len(self.floor):
             self.shrink()
 
     def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
