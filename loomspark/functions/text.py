@@ -117,9 +117,3 @@ def euclidean(a: Column, b: Column) -> Column:
     """Euclidean distance in double precision; null for nulls and unequal lengths."""
     squares = F.zip_with(a, b, lambda u, v: (u.cast("double") - v.cast("double")) * (u.cast("double") - v.cast("double")))
     return F.when(F.size(a) == F.size(b), F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, z: s + z)))
-
-
-def sampler(seed: int, *parts: Column) -> Column:
-    """A number of 32 bits from a hash of the seed and the parts: the same in every engine, and whatever the partitioning."""
-    key = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")

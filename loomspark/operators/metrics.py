@@ -45,29 +45,39 @@ def retrieval_metrics(covered: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def poisson_weight(uniform: Column, most: int = 7) -> Column:
-    """A Poisson(1) number from a uniform one: how often a value is drawn in a resample of a large set."""
-    cdf, p, weight = 0.0, math.exp(-1), F.lit(most)
-    limits = []
+#: Bits of a draw, and draws that one hash gives.
+BITS, DRAWS = 15, 8
+
+
+def poisson_limits(most: int = 7) -> list[tuple[int, float]]:
+    """(k, limit): a draw of BITS bits below the limit, and none before, is k; one below none is `most`. So values are drawn as often as in a resample of a large set."""
+    cdf, p, out = 0.0, math.exp(-1), []
     for k in range(most):
         cdf += p
-        limits.append((k, cdf))
+        out.append((k, cdf * (1 << BITS)))
         p /= k + 1
-    for k, limit in reversed(limits):
-        weight = F.when(uniform < limit, k).otherwise(weight)
+    return out
+
+
+def poisson_weight(draw: Column, most: int = 7) -> Column:
+    weight = F.lit(most)
+    for k, limit in reversed(poisson_limits(most)):
+        weight = F.when(draw < limit, k).otherwise(weight)
     return weight
 
 
 def bootstrap(values: DataFrame, group: str, unit: str, value: str, samples: int, seed: int) -> DataFrame:
     """(group, n, mean, low, high, share_not_above_0): Poisson bootstrap of means.
 
-    A value's weight in a sample comes from a hash of seed, sample and unit (one hash for four samples), so nothing is indexed or sorted per group: resamples are sums
-    with map-side combine. low and high are the sorted means at int(0.025 S) and int(0.975 S) - 1. Null values don't count; a group without values is left out."""
+    A value's weight in a sample comes from a hash of seed, sample and unit (one hash for DRAWS samples), so nothing is indexed or sorted per group: resamples are sums
+    with map-side combine, of DRAWS samples side by side. low and high are the sorted means at int(0.025 S) and int(0.975 S) - 1. Null values don't count; a group without values is left out."""
     rows = values.where(F.col(value).isNotNull()).select(group, unit, F.col(value).cast("double").alias("_x"))
-    hashed = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // 4)))).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_q", F.col(unit).cast("string"))))
-    drawn = hashed.select(group, "_x", "_q", F.posexplode(F.array(*[F.substring("_h", 8 * i + 1, 8) for i in range(4)])).alias("_p", "_d")).withColumn("_s", F.col("_q") * 4 + F.col("_p")).where(F.col("_s") < samples)
-    drawn = drawn.withColumn("_w", poisson_weight(F.conv("_d", 16, 10).cast("long") / float(1 << 32)))
-    means = drawn.groupBy(group, "_s").agg(F.sum(F.col("_w") * F.col("_x")).alias("t"), F.sum("_w").alias("w")).where("w > 0").select(group, (F.col("t") / F.col("w")).alias("m"))
+    hashed = rows.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS)))).withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "_q", F.col(unit).cast("string"))))
+    halves = hashed.select(group, "_x", "_q", *[F.conv(F.substring("_h", at, BITS), 16, 10).cast("long").alias(name) for at, name in ((1, "_a"), (BITS + 1, "_b"))])
+    weights = [poisson_weight(F.shiftright("_a" if i < DRAWS // 2 else "_b", BITS * (i % (DRAWS // 2))).bitwiseAND(F.lit((1 << BITS) - 1))).alias(f"_w{i}") for i in range(DRAWS)]
+    summed = halves.select(group, "_x", "_q", *weights).groupBy(group, "_q").agg(*[F.sum(F.col(f"_w{i}") * F.col("_x")).alias(f"_t{i}") for i in range(DRAWS)], *[F.sum(f"_w{i}").alias(f"_n{i}") for i in range(DRAWS)])
+    samples_ = summed.select(group, "_q", F.posexplode(F.array(*[F.struct(F.col(f"_t{i}").alias("t"), F.col(f"_n{i}").alias("w")) for i in range(DRAWS)])).alias("_p", "_s"))
+    means = samples_.where((F.col("_q") * DRAWS + F.col("_p") < samples) & (F.col("_s.w") > 0)).select(group, (F.col("_s.t") / F.col("_s.w")).alias("m"))
     sorted_ = means.groupBy(group).agg(F.sort_array(F.collect_list("m")).alias("ms"))  # `samples` numbers a group
     at = lambda share, less: F.element_at("ms", F.greatest(F.floor(F.size("ms") * share) + 1 - less, F.lit(1)).cast("int"))
     overall = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg("_x") + TIE, 4).alias("mean"))

@@ -90,20 +90,11 @@ def citation_hit_precision(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", F.when(F.col("has_evidence"), F.col("covering") > 0).alias("hit"), F.when(F.col("has_evidence") & (F.size("sources") > 0), F.round(F.col("covering") / F.size("sources"), 6)).alias("precision"))
 
 
-def _poisson_sql(u: str) -> str:
-    import math
-
-    cdf, p, cases = 0.0, math.exp(-1), []
-    for k in range(7):
-        cdf += p
-        cases.append(f"WHEN {u} < {cdf!r} THEN {k}")
-        p /= k + 1
-    return f"CASE {' '.join(cases)} ELSE 7 END"
-
-
 def _bootstrap_sql(values: str, group: str, samples: int = SAMPLES) -> str:
-    u = "CAST(('0x' || substr(h, 8 * p + 1, 8)) AS BIGINT) / 4294967296.0"
-    return f"""V AS ({values}), Z AS (SELECT {group}, q, x, md5(concat_ws(':', '{SEED}', q, unit)) AS h FROM V, range({(samples + 3) // 4}) r(q)), D AS (SELECT {group}, 4 * q + p AS s, x, {_poisson_sql(u)} AS w FROM Z, range(4) t(p) WHERE 4 * q + p < {samples}), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
+    bits, draws = metrics.BITS, metrics.DRAWS
+    weight = " ".join(f"WHEN d < {limit!r} THEN {k}" for k, limit in metrics.poisson_limits())
+    return f"""V AS ({values}), Z AS (SELECT {group}, q, x, CAST(('0x' || substr(h, 1, {bits})) AS BIGINT) AS a, CAST(('0x' || substr(h, {bits + 1}, {bits})) AS BIGINT) AS b FROM (SELECT {group}, q, x, md5(concat_ws(':', '{SEED}', q, unit)) AS h FROM V, range({-(-samples // draws)}) r(q))),
+    D AS (SELECT {group}, {draws} * q + p AS s, x, CASE {weight} ELSE 7 END AS w FROM (SELECT {group}, q, p, x, (CASE WHEN p < {draws // 2} THEN a ELSE b END >> CAST({bits} * (p % {draws // 2}) AS INT)) & {(1 << bits) - 1} AS d FROM Z, range({draws}) t(p)) WHERE {draws} * q + p < {samples}), B AS (SELECT {group}, s, sum(w * x) / sum(w) AS m FROM D GROUP BY 1, 2 HAVING sum(w) > 0), L AS (SELECT {group}, list_sort(list(m)) AS ms FROM B GROUP BY 1),
     O AS (SELECT {group}, count(*) AS n, round(avg(x) + 1e-9, 4) AS mean FROM V GROUP BY 1) SELECT O.{group}, n, mean, round(ms[greatest(CAST(floor(len(ms) * 0.025) AS INT) + 1, 1)] + 1e-9, 4) AS low, round(ms[greatest(CAST(floor(len(ms) * 0.975) AS INT), 1)] + 1e-9, 4) AS high, round(len(list_filter(ms, lambda m: m <= 0)) / len(ms), 4) AS share_not_above_0 FROM O JOIN L ON L.{group} = O.{group}"""
 
 
