@@ -128,11 +128,6 @@ class _Asked:
         width = len(self.ids)
         return np.bincount(np.repeat(row, n) * width + self.flat[at], np.repeat(weight, n), docs * width).reshape(docs, width)
 
-    def shared(self, docs: list[list[str]]) -> np.ndarray:
-        """(documents, questions): how many different terms they share."""
-        row, term, tf = self._postings(docs)
-        return self._sums(len(docs), row, term, np.ones(len(tf)))
-
     def scores(self, docs: list[list[str]]) -> np.ndarray:
         """(documents, questions), -inf where no term is shared."""
         row, term, tf = self._postings(docs)
@@ -228,15 +223,29 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
     return top_k(reduce(DataFrame.unionByName, parts), k)
 
 
+class _Wanted:
+    """A block of questions, each under the one of its terms that the fewest questions of the block have, with all its terms."""
+
+    def __init__(self, block: list):
+        often = Counter(t.term for r in block for t in r.ts)
+        self.under: dict[str, list[tuple[str, frozenset]]] = {}
+        for r in block:
+            terms = frozenset(t.term for t in r.ts)
+            self.under.setdefault(min(terms, key=lambda t: (often[t], t)), []).append((r.question_id, terms))
+        self.keys = frozenset(self.under)
+
+
 def _all_terms(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        step = max(16, SLICE // len(asked.ids))
+        wanted = sent.value
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                d, q = np.nonzero(asked.shared(part.column("terms").to_pylist()) == asked.norms[None, :])
-                yield pa.record_batch([pa.array(asked.ids[q].tolist(), pa.string()), pa.array(part.column("id").to_numpy()[d])], names=["question_id", "content_id"])
+            questions, docs = [], []
+            for doc, terms in zip(batch.column("id").to_pylist(), batch.column("terms").to_pylist()):
+                held = frozenset(terms)
+                found = [q for t in held & wanted.keys for q, own in wanted.under[t] if own <= held]
+                questions += found
+                docs += [doc] * len(found)
+            yield pa.record_batch([pa.array(questions, pa.string()), pa.array(docs, pa.int64())], names=["question_id", "content_id"])
 
     return work
 
@@ -244,13 +253,13 @@ def _all_terms(sent):
 def all_terms(questions: DataFrame, id: str, text: Column, docs: DataFrame, doc_id: str, doc_text: Column) -> DataFrame:
     """(question_id, content_id): the AND match, documents that hold every term of a question. A question without terms matches nothing.
 
-    Questions are sent in blocks as in `term_search`; a scan of the documents counts the terms that each shares with each question, so only matches leave it."""
+    Questions are sent in blocks as in `term_search`, each under its rarest term in the block; a scan of the documents looks only at the questions under a document's terms, and only matches leave it."""
     spark = questions.sparkSession
     rows = spread(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), doc_text.alias("text"))).select("id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
     per_question = query_terms(questions, id, text).groupBy("question_id").agg(F.collect_list(F.struct("term")).alias("ts"), F.first("q_len").alias("q_len"))
 
     def search(block: list):
-        sent = spark.sparkContext.broadcast(_Asked(block, None, 0, 1.0, False))
+        sent = spark.sparkContext.broadcast(_Wanted(block))
         yield sent, rows.mapInArrow(_all_terms(sent), "question_id string, content_id long")
 
     parts = _in_blocks(per_question, search)
