@@ -211,9 +211,8 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
     held = {"rows": rows}
 
     def search(block: list):
-        if len(block) == BLOCK and "written" not in held:
-            held["rows"] = rows if bm25 else written(rows)
-            held["written"] = True
+        if len(block) == BLOCK and held["rows"] is rows and not bm25:  # several blocks: the texts are cut into terms once
+            held["rows"] = written(rows)
         sent = spark.sparkContext.broadcast(_Asked(block, bm25, total, mean, versions is not None))
         yield sent, held["rows"].mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double")
 
@@ -258,9 +257,13 @@ def all_terms(questions: DataFrame, id: str, text: Column, docs: DataFrame, doc_
     rows = spread(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), doc_text.alias("text"))).select("id", tokens(F.col("text")).alias("terms")).where(F.size("terms") > 0)
     per_question = query_terms(questions, id, text).groupBy("question_id").agg(F.collect_list(F.struct("term")).alias("ts"), F.first("q_len").alias("q_len"))
 
+    held = {"rows": rows}
+
     def search(block: list):
+        if len(block) == BLOCK and held["rows"] is rows:  # several blocks: the texts are cut into terms once
+            held["rows"] = written(rows)
         sent = spark.sparkContext.broadcast(_Wanted(block))
-        yield sent, rows.mapInArrow(_all_terms(sent), "question_id string, content_id long")
+        yield sent, held["rows"].mapInArrow(_all_terms(sent), "question_id string, content_id long")
 
     parts = _in_blocks(per_question, search)
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "question_id string, content_id long")

@@ -121,3 +121,14 @@ def test_embedding_uses_the_cache(spark):
     cache = spark.createDataFrame([("k3", "hashed-64", [9.0]), ("k1", "other", [1.0])], "key string, model string, embedding array<float>")
     got = {r.key: r.embedding for r in embedding.embed_missing(rows, cache, "key", "text", "hashed-64").collect()}
     assert len(got) == 3 and got["k3"] == [9.0] and abs(np.linalg.norm(got["k1"]) - 1) < 1e-6 and not any(got["k2"])
+
+
+def test_all_terms_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w{i % 7}") for i in range(60)] + [(99, None), (None, "w1")], "id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"W{i % 3} w{i % 7}?") for i in range(9)] + [("none", "the of"), ("null", None), ("odd", "w1 nothing")], "id string, question string")
+    words = lambda t: set(t.lower().strip("?").split())
+    want = {(q.id, d.id) for q in asked.collect() for d in docs.collect() if q.question and d.text and d.id is not None and q.id not in ("none",) and words(q.question) <= words(d.text)}
+    for size in (8192, 4):
+        monkeypatch.setattr(search, "BLOCK", size)
+        assert {(r.question_id, r.content_id) for r in search.all_terms(asked, "id", F.col("question"), docs, "id", F.col("text")).collect()} == want
+    assert len(want) > 20
