@@ -162,9 +162,9 @@ def _term_search(sent, k: int):
     return work
 
 
-def _in_blocks(rows: DataFrame, search) -> list[DataFrame]:
+def _in_blocks(rows: DataFrame, search, finish=lambda result: result) -> list[DataFrame]:
     """search(block) for BLOCK rows at a time, which is all the driver holds. search gives the broadcast of a block and its result; with more than one block
-    each result is written before the next block is read, and its broadcast given up."""
+    each result is finished (the tasks' k best reduced to those of each question) and written before the next block is read, and its broadcast given up."""
     first = rows.limit(BLOCK + 1).collect()
     if len(first) <= BLOCK:
         return [result for _, result in search(first)] if first else []
@@ -173,7 +173,7 @@ def _in_blocks(rows: DataFrame, search) -> list[DataFrame]:
 
     def flush() -> None:
         for sent, result in search(block):
-            parts.append(written(result))
+            parts.append(written(finish(result)))
             sent.destroy()
         block.clear()
 
@@ -216,7 +216,7 @@ def term_search(terms: DataFrame, docs: DataFrame, id: str, text: Column, k: int
         sent = spark.sparkContext.broadcast(_Asked(block, bm25, total, mean, versions is not None))
         yield sent, held["rows"].mapInArrow(_term_search(sent, k), "question_id string, content_id long, score double")
 
-    parts = _in_blocks(per_question, search)
+    parts = _in_blocks(per_question, search, lambda result: top_k(result, k).drop("rank"))
     if not parts:
         return spark.createDataFrame([], "question_id string, content_id long, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k)
@@ -390,7 +390,7 @@ def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group: bool
             sent = spark.sparkContext.broadcast(_Vectors(np.array([h[0] for h in held], object if text else np.int64), np.array([h[1] for h in held]), np.array([h[2] for h in held]), [h[3] for h in held] if versioned else None, cells.get(size), probes))
             yield sent, corpus.select(*columns, *(["versions"] if versioned else [])).mapInArrow(_block_search(sent, k, same_group, own, pa.string() if text else pa.int64()), schema)
 
-    parts = _in_blocks(queries.where("v is not null").select(*columns, *(["version"] if versioned else [])), search)
+    parts = _in_blocks(queries.where("v is not null").select(*columns, *(["version"] if versioned else [])), search, lambda result: top_k(result, k).drop("rank"))
     if not parts:
         return spark.createDataFrame([], f"{schema}, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k)
