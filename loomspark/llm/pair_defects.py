@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ def is_empty(answer: str | None) -> bool:
 # ---- refusal grammar
 
 #: A context-free grammar over lower-cased words. An alternative is a row of symbols (capitals), words, and word choices by bars; a symbol or word with ? may be left out, a symbol with * may come
-#: any number of times. REFUSAL is derived from the first words of an answer.
+#: any number of times. REFUSAL is derived from the beginning of an answer.
 GRAMMAR: dict[str, tuple[str, ...]] = {
     "REFUSAL": ("OPENER* CLAUSE", "OPENER* FOREIGN"),
     "OPENER": (
@@ -85,85 +85,82 @@ GRAMMAR: dict[str, tuple[str, ...]] = {
     "PURTROPPO": ("purtroppo|spiacente|scusa|mi|dispiace|ma",),
     "HELAAS": ("helaas|sorry|maar",),
 }
-#: Words that a derivation by ANY* may skip, and words of an answer that are read.
-_SKIP, _READ = 12, 48
+#: Words that a derivation by ANY* may skip.
+_SKIP = 12
 _RULES = {name: tuple(tuple((s.rstrip("?*"), s[-1] if len(s) > 1 and s[-1] in "?*" else "") if s.rstrip("?*").isupper() else (frozenset(s.rstrip("?").split("|")), "?" if s[-1] == "?" else "") for s in row.split()) for row in rows) for name, rows in GRAMMAR.items() if name != "ANY"}
 _TOKEN = re.compile(r"n't\b|'(?:m|ve|d|re|s|ll|t)\b|n'ai\b|[^\W\d_]+(?=n't\b)|[^\W\d_]+|\d+")
 
 
-def _tokens(answer: str) -> tuple[str, ...]:
-    out = []
-    for m in _TOKEN.finditer(answer.replace("’", "'")[:600].lower()):
-        out.append(m.group())
-        if len(out) == _READ:
+def _tokens(answer: str) -> Iterator[str]:
+    return (m.group() for m in _TOKEN.finditer(answer.replace("’", "'").lower()))
+
+
+def _heads(stack: tuple | None, out: set) -> bool:
+    """Adds to `out` the (words, stack after one of them) with which a stack may go on, and says whether it may end here. A stack is what is left of a row and the stack below it, or None at the end; no symbol may begin with itself."""
+    if stack is None:
+        return True
+    row, below = stack
+    what, times = row[0]
+    rest = (row[1:], below) if len(row) > 1 else below
+    ends = _heads(rest, out) if times or what == "ANY" else False
+    if isinstance(what, frozenset):
+        out.add((what, rest))
+    elif what == "ANY":
+        left = times if isinstance(times, int) else _SKIP
+        if left:
+            out.add((None, ((("ANY", left - 1), *row[1:]), below)))
+    else:
+        for own in _RULES[what]:
+            ends |= _heads((own, stack if times == "*" else rest), out)
+    return ends
+
+
+class _State(dict):
+    """The heads of all stacks after some words, and by a next word the state after it, which is made when it is first asked for. REFUSAL has 202."""
+
+    known: dict[frozenset, _State] = {}
+
+    def __init__(self, heads: frozenset):
+        self.heads = heads
+
+    @classmethod
+    def of(cls, stacks: list[tuple | None]) -> _State | None:
+        """The state of some stacks, or None if one of them may end."""
+        out: set = set()
+        if any([_heads(s, out) for s in stacks]):
+            return None
+        heads = frozenset(out)
+        if heads not in cls.known:
+            cls.known[heads] = cls(heads)
+        return cls.known[heads]
+
+    def __missing__(self, word: str | None) -> _State | None:
+        after = _State.of([stack for words, stack in self.heads if words is None or word in words])
+        self[word] = after
+        return after
+
+
+_VOCABULARY = frozenset(w for rows in _RULES.values() for row in rows for what, _ in row if isinstance(what, frozenset) for w in what)
+
+
+@lru_cache
+def _start(symbol: str) -> _State | None:
+    return _State.of([(row, None) for row in _RULES[symbol]])
+
+
+def derived(symbol: str, tokens: Iterable[str]) -> bool:
+    """Whether some beginning of the tokens is derived from a symbol of the grammar: all stacks of its pushdown automaton are followed side by side, a word at a time, until one ends or none is left."""
+    state = _start(symbol)
+    for t in tokens:
+        if state is None or not state.heads:
             break
-    return tuple(out)
-
-
-def derived(symbol: str, tokens: tuple[str, ...]) -> bool:
-    """Whether some beginning of the tokens is derived from a symbol of the grammar (memoised recursive descent over sets of ends)."""
-    memo: dict[tuple[str, int], frozenset[int]] = {}
-
-    def ends(name: str, at: int) -> frozenset[int]:
-        key = (name, at)
-        if key not in memo:
-            memo[key] = frozenset()  # a left recursion ends here
-            out: set[int] = set()
-            for row in _RULES[name]:
-                here = {at}
-                for what, times in row:
-                    if not here:
-                        break
-                    if isinstance(what, frozenset):
-                        after = {i + 1 for i in here if i < len(tokens) and tokens[i] in what}
-                        here = here | after if times else after
-                    elif what == "ANY":
-                        here = {j for i in here for j in range(i, min(len(tokens), i + _SKIP) + 1)}
-                    else:
-                        after = {j for i in here for j in ends(what, i)}
-                        if times == "*":
-                            new = after - here
-                            all_ = here | after
-                            while new:
-                                new = {j for i in new for j in ends(what, i)} - all_
-                                all_ |= new
-                            here = all_
-                        else:
-                            here = here | after if times == "?" else after
-                out |= here
-            memo[key] = frozenset(out)
-        return memo[key]
-
-    return bool(ends(symbol, 0))
-
-
-@lru_cache(1)
-def _first_words() -> frozenset[str]:
-    """Words with which a refusal may begin."""
-    out: set[str] = set()
-    seen: set[str] = set()
-
-    def walk(name: str) -> None:
-        if name in seen:
-            return
-        seen.add(name)
-        for row in _RULES[name]:
-            for what, times in row:
-                if isinstance(what, frozenset):
-                    out.update(what)
-                elif what != "ANY":
-                    walk(what)
-                if not times:
-                    break
-
-    walk("REFUSAL")
-    return frozenset(out)
+        state = state[t if t in _VOCABULARY else None]
+    return state is None
 
 
 def is_refusal(answer: str) -> bool:
-    """The first words are derived by the grammar; an apology or a 'cannot' about the matter itself isn't."""
-    tokens = _tokens(answer)
-    return bool(tokens) and tokens[0] in _first_words() and derived("REFUSAL", tokens)
+    """An answer that begins with what the grammar derives, however far that goes; an apology or a 'cannot' about the matter itself isn't."""
+    return derived("REFUSAL", _tokens(answer))
 
 
 # ---- copies of the question: greedy string tiling

@@ -240,6 +240,20 @@ def test_refusals(answer, want):
     assert pair_defects.is_refusal(answer) == want
 
 
+LONG_REFUSAL = "I am very sorry, but honestly, " * 40 + "the excerpts do not mention it."
+
+
+@pytest.mark.parametrize(
+    "answer,want",
+    [
+        (LONG_REFUSAL, True), (" " * 700 + "I do not know.", True), ("— " * 400 + "I do not know.", True), ("as an " + "helpful " * 60 + "assistant I cannot answer", True), ("Sorry. " * 20_000 + "I cannot help.", True),
+        ("Sorry. " * 20_000 + "The flag is set first.", False), ("that " * 20_000 + "is a cache", False), (" " * 579 + "The text says nothingness.", False),
+    ],
+)
+def test_refusals_are_read_to_their_end(answer, want):
+    assert pair_defects.is_refusal(answer) == want
+
+
 @pytest.mark.parametrize(
     "lang,text",
     [
@@ -264,6 +278,12 @@ def test_pairs_table(spark):
     assert pair_defects.pair_kinds(df.limit(0)).count() == 0
 
 
+def test_long_refusals_in_a_table(spark):
+    kind = "row_id long, run string, question string, answer string, answerable boolean, stop_reason string, loaded_at timestamp"
+    df = spark.createDataFrame([(1, "r", Q, LONG_REFUSAL, True, "end_turn", None), (2, "r", Q, LONG_REFUSAL, False, "end_turn", None), (3, "r", Q, " " * 700 + "I do not know.", None, None, None)], kind)
+    assert {r.row_id: r.defect for r in pair_defects.pair_kinds(df).collect()} == {1: "refusal", 2: None, 3: "refusal"}
+
+
 # ---- 8
 
 
