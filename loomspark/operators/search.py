@@ -400,6 +400,140 @@ def exact_vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, same_group
     return vector_top_k(queries, corpus, k, same_group, own)
 
 
+#: Half a step of the fifth decimal place, to which distances are rounded before they are ranked.
+HALF = 0.5e-5
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To five places, halves away from zero, as the SQL engine does it."""
+    y = x * 1e5
+    whole = np.trunc(y)
+    return (whole + (y - whole >= 0.5)) / 1e5
+
+
+class _Nearest:
+    """Query vectors of one group and length, sorted by id, and the k nearest vectors of each so far, by rounded distance and then by id.
+
+    A block of vectors is compared by one matrix product that bounds each distance from below. Only pairs that may still come among the k nearest by that bound are
+    computed as the definition says, so the bound decides nothing but what is computed."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.k, self.qt = ids, k, np.ascontiguousarray(q.T)
+        #: Relative error of products, norms and sums of differences over so many numbers, with room.
+        self.slack = 8 * (len(self.qt) + 8) * np.finfo(float).eps
+        self.qq = (q * q).sum(1)
+        self.factor = np.vstack([2 * self.qt, np.full(len(q), -1.0)])
+        #: Distance and id of the k-th nearest so far, or of one that is farther.
+        self.far, self.last = np.full(len(q), np.inf), np.full(len(q), np.iinfo(np.int64).max)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n, self.most = 0, max(1 << 16, 4 * k * len(q))
+
+    def _distances(self, xt: np.ndarray, d: np.ndarray, q: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(d))
+        for a, b in zip(xt, self.qt):  # in the order of the numbers, as the sum of a list
+            z = a[d] - b[q]
+            total += z * z
+        return _rounded(np.sqrt(total))
+
+    def _floor(self, distance: np.ndarray) -> np.ndarray:
+        """What |q|² - d² is at least, as computed, for distances d up to this one; with infinity there is no bound, under zero nothing is that near."""
+        square = np.square(np.maximum(distance, 0.0)) * (1 + 1e-12)
+        least = self.qq - square - self.slack * (self.qq + square)
+        return np.where(distance < 0, np.inf, np.maximum(least, -np.finfo(float).max))
+
+    def add(self, docs: np.ndarray, x: np.ndarray) -> None:
+        xt = np.ascontiguousarray(x.T)
+        s = np.column_stack([x, (x * x).sum(1) * (1 - self.slack)]) @ self.factor
+        at = np.searchsorted(self.ids, docs)
+        own = np.flatnonzero(self.ids[np.minimum(at, len(self.ids) - 1)] == docs)
+        s[own, at[own]] = -np.inf
+        far, last = self.far, self.last
+        open_ = np.flatnonzero(~np.isfinite(far))
+        if len(open_) and len(docs) > self.k:  # any k vectors of the block are as near as the nearest k or farther
+            some = np.argpartition(s[:, open_], len(docs) - self.k, axis=0)[len(docs) - self.k :]
+            whole = np.isfinite(np.take_along_axis(s[:, open_], some, axis=0)).all(0)
+            open_, some = open_[whole], some[:, whole]
+            near = self._distances(xt, some.ravel(), np.tile(open_, self.k)).reshape(some.shape)
+            far[open_] = near.max(0)
+            last[open_] = np.where(near == far[open_], docs[some], np.iinfo(np.int64).min).max(0)
+        d, q = np.nonzero(s >= self._floor(far + 1.2 * HALF))
+        # At the k-th distance itself only smaller ids count.
+        may = (docs[d] <= last[q]) | (s[d, q] >= self._floor(far - 0.8 * HALF)[q])
+        d, q = d[may], q[may]
+        distance = self._distances(xt, d, q)
+        may = distance <= far[q]
+        self.held.append((q[may], docs[d[may]], distance[may]))
+        self.n += len(self.held[-1][0])
+        if self.n > self.most:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, d, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((d, s, q))
+        q, d, s = q[order], d[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self.far[q[last]], self.last[q[last]] = s[last], d[last]
+        keep = place < self.k
+        self.held = [(q[keep], d[keep], s[keep])]
+        self.n = int(keep.sum())
+        return self.held[0]
+
+
+def _nearest_search(sent, k: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, int], _Nearest] = {}
+        for batch in batches:
+            column, docs, groups = batch.column("v"), batch.column("id").to_numpy(), batch.column("grp").dictionary_encode()
+            sizes, codes = column.value_lengths().to_numpy(), groups.indices.to_numpy()
+            by_group = np.argsort(codes, kind="stable")
+            bounds = np.searchsorted(codes[by_group], np.arange(len(groups.dictionary) + 1))
+            for g, group in enumerate(groups.dictionary.to_pylist()):
+                mine = by_group[bounds[g] : bounds[g + 1]]
+                for size, (ids, q) in sent.value.get(group, {}).items():
+                    at = mine[sizes[mine] == size]
+                    if (group, size) not in best:
+                        best[group, size] = _Nearest(ids, q, k)
+                    step = max(64, SLICE // len(ids))
+                    for i in range(0, len(at), step):
+                        part = at[i : i + step]
+                        x = column.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), size)
+                        best[group, size].add(docs[part], x)
+        for (group, _), found in best.items():
+            if found.n:
+                q, d, s = found.shrink()
+                yield pa.record_batch([pa.array([group] * len(q), pa.string()), pa.array(found.ids[q]), pa.array(d), pa.array(s)], names=["grp", "question_id", "content_id", "distance"])
+
+    return work
+
+
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """(grp, question_id, content_id, distance): the k nearest vectors by Euclidean distance of each of queries(id, grp, v) among corpus(id, grp, v) of the same group and
+    length, without the one of the same id. Ids are unique in a group; nothing is null and all numbers are finite. All pairs are compared.
+
+    Queries are sent in blocks as in `vector_top_k`, those of all groups together; a block is one pass over the corpus (written once, if there are several blocks) with a
+    k-best per task, so pairs are never rows. Distances are rounded to five places before ranking; ties go to the smaller id."""
+    spark = queries.sparkSession
+    schema = "grp string, question_id long, content_id long, distance double"
+    columns = ["id", "grp", "v"]
+    rows = corpus.select(*columns)
+    held = {"rows": rows}
+    order = Window.partitionBy("grp", "question_id").orderBy("distance", "content_id")
+    best = lambda result: result.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+    def search(block: list):
+        if len(block) == BLOCK and held["rows"] is rows:  # several blocks: the corpus is made once
+            held["rows"] = written(rows)
+        asked: dict[str, dict[int, list]] = {}
+        for r in sorted(block, key=lambda r: r.id):
+            asked.setdefault(r.grp, {}).setdefault(len(r.v), []).append(r)
+        sent = spark.sparkContext.broadcast({g: {n: (np.array([r.id for r in rs], np.int64), np.array([r.v for r in rs], np.float64).reshape(len(rs), n)) for n, rs in of.items()} for g, of in asked.items()})
+        yield sent, held["rows"].mapInArrow(_nearest_search(sent, k), schema)
+
+    parts = _in_blocks(queries.select(*columns), search, best)
+    return best(reduce(DataFrame.unionByName, parts)) if parts else spark.createDataFrame([], schema)
+
+
 def rerank(candidates: DataFrame, score: Column, k: int, by: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """candidates(question_id, content_id, rank, ...) with new_rank: the k best of each list by a score, ties in the order they came in."""
     order = Window.partitionBy(*by).orderBy(F.col("rerank_score").desc(), "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -172,11 +172,16 @@ def missing_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "contents").select("id", "index_name").crossJoin(F.broadcast(models)).join(v, ["model", "id"], "left_anti").select("model", "id", "index_name").sortWithinPartitions("model", "id")
 
 
-def _usable(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors that are finite, not zero and of their model's length."""
+def _is_usable() -> Column:
+    """Of a row of content_vectors: its vector is finite, not zero and of its model's length."""
     finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     dim = F.when(F.col("model") == "lumen-embed-2", 96).otherwise(64)
-    return latest(table(spark, d, "content_vectors"), "content_id", "model", keep=("embedding",)).where((F.size("embedding") == dim) & finite)
+    return (F.size("embedding") == dim) & finite
+
+
+def _usable(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors that are finite, not zero and of their model's length."""
+    return latest(table(spark, d, "content_vectors"), "content_id", "model", keep=("embedding",)).where(_is_usable())
 
 
 @query("embedded_counts", f"SELECT model, count(DISTINCT id) AS contents FROM {_VECTORS} WHERE id IN (SELECT id FROM contents) GROUP BY model")
@@ -190,12 +195,10 @@ _L2 = "round(sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[])
 
 @query("vector_distances", f"WITH v AS {_VECTORS}, s AS (SELECT a.model, a.id AS question_id, b.id AS content_id, {_L2} AS distance FROM v a JOIN v b ON a.model = b.model AND a.id <> b.id WHERE a.id % 50 = 0) SELECT model, question_id, content_id, distance FROM s QUALIFY row_number() OVER (PARTITION BY model, question_id ORDER BY distance, content_id) <= 3")
 def vector_distances(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest vectors by Euclidean distance of the query set (ids divisible by 50), by model."""
-    v = _usable(spark, d).select("model", F.col("content_id").alias("id"), "embedding")
-    asked = v.where("id % 50 = 0").select("model", F.col("id").alias("question_id"), F.col("embedding").alias("e"))
-    pairs = v.join(F.broadcast(asked), "model").where("id <> question_id").select("model", "question_id", F.col("id").alias("content_id"), F.round(T.euclidean(F.col("e"), F.col("embedding")), 5).alias("distance"))
-    order = Window.partitionBy("model", "question_id").orderBy("distance", "content_id")
-    return pairs.withColumn("r", F.row_number().over(order)).where("r <= 3").drop("r")
+    """The three nearest vectors by Euclidean distance of the query set (ids divisible by 50), by model. Of a redelivered vector the last usable one counts."""
+    sound = table(spark, d, "content_vectors").where(F.col("content_id").isNotNull() & F.col("model").isNotNull() & _is_usable())
+    v = latest(sound, "content_id", "model", keep=("embedding",)).select(F.col("content_id").alias("id"), F.col("model").alias("grp"), F.col("embedding").alias("v"))
+    return search.nearest_vectors(v.where("id % 50 = 0"), v, 3).withColumnRenamed("grp", "model")
 
 
 _PAGE = "regexp_replace(regexp_replace({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', '')"
